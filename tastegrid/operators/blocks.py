@@ -433,7 +433,7 @@ class NeighbourTask(BlockTask):
         l, r = code >> 32, code & 0xFFFFFFFF
         est[l, r] = self._estimate(self.default["l"][l], self.default["r"][r], avg, cnt)
         votes[l, r] = cnt
-        l, r, v = self._best(est[np.ix_(lk, rk)], lk, rk, self.n, self.per)
+        l, r, v = self._best(np.round(est[np.ix_(lk, rk)], 8), lk, rk, self.n, self.per)
         l, r = lk[l], rk[r]
         yield from self._out(l, r, v, votes[l, r])
 
@@ -442,7 +442,7 @@ class NeighbourTask(BlockTask):
         shift = 0.0 if self.basic else mean_l
         est = np.where(cnt >= self.min_k, shift + avg, self.mu if self.basic else mean_l)
         est = np.where(np.isnan(mean_l) | np.isnan(mean_r), self.mu, est)
-        return np.round(np.clip(est, *self.scale) if self.scale else est, 8)
+        return np.clip(est, *self.scale) if self.scale else est
 
     def _out(self, l, r, est, cnt):
         yield from _emit(["l", "r", "est", "neighbours"], self.id["l"][l], self.id["r"][r], est,

@@ -124,9 +124,9 @@ def _reranked(spark, sf):
     return users, items, ratings, before, liked, quality.rerank_all(users, items, before, liked, ratings)
 
 
-@query("rerank_weighted", "SELECT user_id, item_id, round(adjusted_score, 6) AS adjusted_score, rank FROM reranked")
+@query("rerank_weighted", "SELECT user_id, item_id, adjusted_score, rank FROM reranked")
 def rerank_weighted(spark, sf):
-    return _reranked(spark, sf)[-1].select("user_id", "item_id", r("adjusted_score", "adjusted_score"), "rank")
+    return _reranked(spark, sf)[-1].select("user_id", "item_id", r("adjusted_score", "adjusted_score", 8), "rank")
 
 
 @query("rerank_candidates", """SELECT user_id, item_id, adjusted_score, rn AS rank FROM (SELECT *, ROW_NUMBER() OVER
@@ -227,11 +227,11 @@ def tfidf_documents(spark, sf):
 
 @query("item_content_similarity", """WITH s AS (SELECT a.item_id, b.item_id AS other_id, round(SUM(a.weight * b.weight), 8) AS score
       FROM weights a JOIN weights b ON a.token = b.token AND a.item_id <> b.item_id GROUP BY a.item_id, b.item_id)
-    SELECT item_id, other_id, round(score, 6) AS score, rn AS rank FROM (SELECT *, ROW_NUMBER() OVER
+    SELECT item_id, other_id, score, rn AS rank FROM (SELECT *, ROW_NUMBER() OVER
       (PARTITION BY item_id ORDER BY score DESC, other_id) AS rn FROM s) WHERE rn <= 5""")
 def item_content_similarity(spark, sf):
     return content.similar_items(weights_of(spark, sf), v.items(spark, sf)).select(
-        "item_id", "other_id", r("score", "score"), "rank")
+        "item_id", "other_id", r("score", "score", 8), "rank")
 
 
 @query("user_profile", "SELECT user_id, token, round(weight, 6) AS weight FROM profile")
@@ -260,7 +260,7 @@ def _content_topn_sql(weights: str, profile: str, seen: str) -> str:
     scored AS (SELECT u.user_id, i.item_id, round(COALESCE(s, 0.0), 8) AS score FROM (SELECT DISTINCT user_id FROM ratings) u
       CROSS JOIN items i ANTI JOIN {seen} x ON x.user_id = u.user_id AND x.item_id = i.item_id
       LEFT JOIN hit h ON h.user_id = u.user_id AND h.item_id = i.item_id)
-    SELECT user_id, item_id, round(score, 6) AS score, rn AS rank FROM (SELECT *, ROW_NUMBER() OVER
+    SELECT user_id, item_id, score, rn AS rank FROM (SELECT *, ROW_NUMBER() OVER
       (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn FROM scored) WHERE rn <= 5"""
 
 
@@ -268,7 +268,7 @@ def _content_topn_sql(weights: str, profile: str, seen: str) -> str:
 def content_topn(spark, sf):
     ratings = stage(v.ratings(spark, sf), "ratings")
     return content.content_topn(ratings.select("user_id"), liked_of(ratings), weights_of(spark, sf), v.items(spark, sf)).select(
-        "user_id", "item_id", r("score", "score"), "rank")
+        "user_id", "item_id", r("score", "score", 8), "rank")
 
 
 @query("content_topn_counts", _content_topn_sql("(SELECT item_id, token, CAST(tf AS DOUBLE) AS weight FROM counts)", """(
@@ -279,7 +279,7 @@ def content_topn_counts(spark, sf):
     ratings, items = stage(v.ratings(spark, sf), "ratings"), v.items(spark, sf)
     counts = stage(content.term_weights(content.item_text(items), "count"), "counts")
     return content.content_topn(ratings.select("user_id"), liked_of(ratings), counts, items, exclude=ratings).select(
-        "user_id", "item_id", r("score", "score"), "rank")
+        "user_id", "item_id", r("score", "score", 8), "rank")
 
 
 # --- hybrid and explanations -----------------------------------------------------------------
@@ -294,19 +294,21 @@ def _hybrid(spark, sf, alphas=(0.5,)):
     return users, items, ratings, hybrid.hybrid(cands, profile, weights, alphas)
 
 
-_HYBRID_COLS = ["cf_score", "content_score", "hybrid_score"]
-_HYBRID_SQL = """SELECT user_id, item_id, {}round(cf_score, 6) AS cf_score, round(content_score, 6) AS content_score,
-    round(hybrid_score, 6) AS hybrid_score, rank FROM hybrid WHERE rank <= 5 {}"""
+def _hybrid_cols():
+    return [r("cf_score", "cf_score", 8), r("content_score", "content_score"), r("hybrid_score", "hybrid_score", 10)]
+
+_HYBRID_SQL = """SELECT user_id, item_id, {}cf_score, round(content_score, 6) AS content_score,
+    hybrid_score, rank FROM hybrid WHERE rank <= 5 {}"""
 
 
 @query("hybrid_score", _HYBRID_SQL.format("", "AND alpha = 0.5"))
 def hybrid_score(spark, sf):
-    return _hybrid(spark, sf)[-1].select("user_id", "item_id", *[r(c, c) for c in _HYBRID_COLS], "rank")
+    return _hybrid(spark, sf)[-1].select("user_id", "item_id", *_hybrid_cols(), "rank")
 
 
 @query("hybrid_alpha_sweep", _HYBRID_SQL.format("alpha, ", ""))
 def hybrid_alpha_sweep(spark, sf):
-    return _hybrid(spark, sf, ALPHAS)[-1].select("user_id", "item_id", "alpha", *[r(c, c) for c in _HYBRID_COLS], "rank")
+    return _hybrid(spark, sf, ALPHAS)[-1].select("user_id", "item_id", "alpha", *_hybrid_cols(), "rank")
 
 
 @query("hybrid_als")
@@ -318,23 +320,24 @@ def hybrid_als(spark, sf):
     weights = weights_of(spark, sf)
     profile = content.user_profile(liked_of(ratings), weights, items)
     top = hybrid.hybrid(cands, profile, weights)
-    return top.join(items, "item_id").select("user_id", "item_id", "title", "genres", *_HYBRID_COLS, "rank")
+    return top.join(items, "item_id").select("user_id", "item_id", "title", "genres", *_hybrid_cols(), "rank")
 
 
-_VECTORS_SQL = f"""SELECT l.user_id, MAX(u.vec) AS user_vector,
-    '{{' || string_agg('"' || l.item_id || '":' || v.vec, ',' ORDER BY l.rank) || '}}' AS item_vectors FROM {{}} l
+def _vectors_sql(lists: str) -> str:
+    return f"""SELECT l.user_id, MAX(u.vec) AS user_vector,
+    '{{' || string_agg('"' || l.item_id || '":' || v.vec, ',' ORDER BY l.rank) || '}}' AS item_vectors FROM {lists} l
     JOIN (SELECT id, {JSON_VEC} AS vec FROM factors) v ON v.id = l.item_id
     JOIN (SELECT id, {JSON_VEC} AS vec FROM factors) u ON u.id = l.user_id GROUP BY l.user_id"""
 
 
-@query("latent_vectors_json", _VECTORS_SQL.format("lists"))
+@query("latent_vectors_json", _vectors_sql("lists"))
 def latent_vectors_json(spark, sf):
     f = v.factors(spark, sf)
     return hybrid.latent_vectors_json(top_lists(spark, sf), f, f)
 
 
 @query("explain_prompts", f"""WITH recs AS (SELECT * FROM hybrid WHERE rank <= 5 AND alpha = 0.5),
-    vectors AS ({_VECTORS_SQL.format("recs")}),
+    vectors AS ({_vectors_sql("recs")}),
     rec_text AS (SELECT user_id, string_agg('- ' || title || ' (' || genres || ') ' || printf('%.3f', round(content_score, 3)),
       chr(10) ORDER BY rank) AS t FROM recs JOIN items USING (item_id) GROUP BY user_id),
     liked_text AS (SELECT user_id, string_agg('- ' || title || ' (' || genres || ')', chr(10) ORDER BY rn) AS t FROM

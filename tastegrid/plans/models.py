@@ -146,7 +146,7 @@ def _topn_sql(own: str, other: str, near: str, a: str, b: str) -> str:
       ANTI JOIN ratings s ON s.user_id = u.user_id AND s.item_id = i.item_id
       LEFT JOIN user_mean um ON um.user_id = u.user_id LEFT JOIN item_mean im ON im.item_id = i.item_id
       LEFT JOIN est e ON e.user_id = u.user_id AND e.item_id = i.item_id)
-    SELECT user_id, item_id, round(est, 6) AS est, neighbours, rn AS rank FROM (SELECT *, ROW_NUMBER() OVER
+    SELECT user_id, item_id, est, neighbours, rn AS rank FROM (SELECT *, ROW_NUMBER() OVER
       (PARTITION BY user_id ORDER BY est DESC, item_id) AS rn FROM scored) WHERE rn <= 5"""
 
 
@@ -154,7 +154,7 @@ def _knn_topn(spark, sf, axis):
     ratings, train, _ = parts(spark, sf, keep=True)
     sim = stage(knn.similarity(train, axis), "sim")
     return knn.knn_topn(train, sim, n=5, axis=axis, seen=ratings).select(
-        "user_id", "item_id", r("est", "est"), "neighbours", "rank")
+        "user_id", "item_id", r("est", "est", 8), "neighbours", "rank")
 
 
 @query("knn_user_topn", _topn_sql("user", "item", "near_user", "u", "v"))
@@ -346,11 +346,11 @@ def dot_predict(spark, sf):
     return als.dot_predict(v.ratings(spark, sf), f, f).select("user_id", "item_id", "rating", r("est", "est"))
 
 
-@query("dot_topn", "SELECT user_id, item_id, round(score, 6) AS score, rank FROM cf_top")
+@query("dot_topn", "SELECT user_id, item_id, score, rank FROM cf_top")
 def dot_topn(spark, sf):
     """Best unseen items by given factors over all users and items that have them."""
     users, items, ratings = cf_sides(spark, sf)
-    return als.dot_topn(users, items, 5, ratings).select("user_id", "item_id", r("score", "score"), "rank")
+    return als.dot_topn(users, items, 5, ratings).select("user_id", "item_id", r("score", "score", 8), "rank")
 
 
 def cf_sides(spark, sf):

@@ -97,7 +97,7 @@ VIEWS: dict[str, str] = {
           GROUP BY c.user_id, c.item_id) USING (user_id, item_id)""",
     "hybrid": """SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, alpha ORDER BY hybrid_score DESC, item_id) AS rank
         FROM (SELECT user_id, item_id, CAST(alpha AS DOUBLE) AS alpha, cf_score, content_score,
-          round(alpha * content_score + (1 - alpha) * cf_score, 8) AS hybrid_score
+          round(alpha * content_score + (1 - alpha) * cf_score, 10) AS hybrid_score
           FROM cand_scores CROSS JOIN (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) a(alpha))""",
     "user_sim": """SELECT a.user_id AS a, b.user_id AS b, COUNT(*) AS common,
         round(SUM(a.rating*b.rating) / sqrt(CAST(SUM(a.rating*a.rating) AS DOUBLE) * SUM(b.rating*b.rating)), 8) AS sim
