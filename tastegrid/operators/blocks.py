@@ -8,7 +8,9 @@ row to the block pairs that need it, sorts each block pair by key, and a task st
 through it, holding only block × block accumulators. Only reduced results leave a task:
 finished similarities, predictions for requested pairs, or the best n per id and block.
 
-A row travels at most once per opposite block, and only to blocks that hold its key.
+Rows of one key and block travel packed as arrays, never longer than a block, at most once
+per opposite block, and only to blocks that hold the key. So a key in most of the rows costs
+no more than a few arrays per block pair.
 """
 
 from __future__ import annotations
@@ -18,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048           # ids per block: bounds the accumulators in a task
 VOTE_BLOCK = 1024      # smaller where a pair may hold up to k neighbours
 PAIR_CHUNK = 1 << 21   # pairs expanded at a time inside a task
+HEAVY = 32             # a key reaching 1/32 of a block pair's cells is added as a matrix product
+COLUMNS = 128          # such keys per matrix product
 
 L_UNIVERSE, R_UNIVERSE, MASK, L_ENTRY, R_ENTRY = range(5)
-FIELDS = ["at", "kind", "key", "id", "slot", "w"]
+ROWS_AT_ONCE = 1 << 20  # unpacked rows a task looks at together
 
 
 class Blocked:
@@ -49,41 +53,68 @@ class Blocked:
         return df.join(t, col)
 
 
-def _rows(df: DataFrame, kind: int, key, id_, slot, w, vec: bool) -> DataFrame:
-    cols = [F.col("lb"), F.col("rb"), F.lit(kind).alias("kind"), key.cast("long").alias("key"),
-            id_.cast("long").alias("id"), slot.cast("int").alias("slot"), w.cast("double").alias("w")]
-    if vec:
-        has = "vec" in df.columns
-        cols.append((F.col("vec") if has else F.lit(None).cast("array<double>")).alias("vec"))
-    return df.select(*cols)
+_PACK = ["lb", "rb", "kind", "key", "slots", "ids", "ws"]
 
 
-def _universe(blocked: Blocked, df: DataFrame, col: str, side: str, other: int, vec: bool) -> DataFrame:
-    """Each id once per opposite block, with its default value in ``w``."""
+def _packed(df: DataFrame, *by: str) -> DataFrame:
+    """(by..., slots, ids, ws): the rows of a key and block as arrays of at most block length."""
+    p = df.groupBy(*by).agg(F.collect_list(F.struct(
+        F.col("slot").cast("int").alias("slot"), F.col("id").cast("long").alias("id"),
+        F.col("w").cast("double").alias("w"))).alias("p"))
+    return p.select(*by, F.col("p.slot").alias("slots"), F.col("p.id").alias("ids"), F.col("p.w").alias("ws"))
+
+
+def _as(df: DataFrame, kind: int, key=None) -> DataFrame:
+    key = F.lit(-1) if key is None else key
+    extra = ["vec"] if "vec" in df.columns else []
+    return df.withColumns({"kind": F.lit(kind), "key": key.cast("long")}).select(*_PACK, *extra)
+
+
+def _universe(blocked: Blocked, df: DataFrame, col: str, side: str, other: int) -> DataFrame:
+    """Each id once per opposite block, with its default value in ``w`` and any vector."""
     mine, theirs = ("lb", "rb") if side == "l" else ("rb", "lb")
-    placed = blocked.place(df, col, mine, "slot")
-    fan = placed.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
-    w = F.col("w") if "w" in df.columns else F.lit(0.0)
-    return _rows(fan, L_UNIVERSE if side == "l" else R_UNIVERSE, F.lit(-1), F.col(col), F.col("slot"), w, vec)
+    placed = blocked.place(df, col, mine, "slot").withColumn("id", F.col(col))
+    placed = placed if "w" in df.columns else placed.withColumn("w", F.lit(0.0))
+    if "vec" in df.columns:
+        rows = placed.select(mine, F.array(F.col("slot").cast("int")).alias("slots"), F.array("id").alias("ids"),
+                             F.array(F.col("w").cast("double")).alias("ws"), "vec")
+    else:
+        rows = _packed(placed, mine)
+    fan = rows.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+    return _as(fan, L_UNIVERSE if side == "l" else R_UNIVERSE)
 
 
 def _entries(left: DataFrame, right: DataFrame, lblk: Blocked, rblk: Blocked,
-             l_id: str, r_id: str, upper: bool) -> DataFrame:
-    lp = lblk.place(left, l_id, "lb", "slot")
-    rp = rblk.place(right, r_id, "rb", "slot")
+             l_id: str, r_id: str) -> DataFrame:
+    lp = lblk.place(left, l_id, "lb", "slot").withColumn("id", F.col(l_id))
+    rp = rblk.place(right, r_id, "rb", "slot").withColumn("id", F.col(r_id))
     r_at = rp.groupBy("key").agg(F.collect_set("rb").alias("at"))  # at most one entry per block
     l_at = lp.groupBy("key").agg(F.collect_set("lb").alias("at"))
-    keep_r: Column = F.filter("at", lambda b: b >= F.col("lb")) if upper else F.col("at")
-    keep_l: Column = F.filter("at", lambda b: b <= F.col("rb")) if upper else F.col("at")
-    lrows = lp.join(r_at, "key").withColumn("rb", F.explode(keep_r))
-    rrows = rp.join(l_at, "key").withColumn("lb", F.explode(keep_l))
-    return (_rows(lrows, L_ENTRY, F.col("key"), F.col(l_id), F.col("slot"), F.col("w"), False)
-            .union(_rows(rrows, R_ENTRY, F.col("key"), F.col(r_id), F.col("slot"), F.col("w"), False)))
+    lrows = _packed(lp, "key", "lb").join(r_at, "key").withColumn("rb", F.explode("at"))
+    rrows = _packed(rp, "key", "rb").join(l_at, "key").withColumn("lb", F.explode("at"))
+    return _as(lrows, L_ENTRY, F.col("key")).union(_as(rrows, R_ENTRY, F.col("key")))
+
 
+def _self_entries(entries: DataFrame, blk: Blocked) -> DataFrame:
+    """Both sides of a table against itself with one join: rows go left to blocks from
+    their own on, and right to blocks up to their own."""
+    placed = blk.place(entries, "id", "own", "slot")
+    at = placed.groupBy("key").agg(F.collect_set("own").alias("at"))
+    own = F.col("own")
 
-def _mask(pairs: DataFrame, lblk: Blocked, rblk: Blocked, l_id: str, r_id: str, vec: bool) -> DataFrame:
+    def to(b, kind):
+        return F.struct(F.least(own, b).alias("lb"), F.greatest(own, b).alias("rb"), kind.alias("kind"))
+    targets = F.concat(
+        F.transform("at", lambda b: to(b, F.when(b < own, R_ENTRY).otherwise(L_ENTRY))),
+        F.array(to(own, F.lit(R_ENTRY))))
+    return (_packed(placed, "key", "own").join(at, "key")
+            .select(F.col("key").cast("long").alias("key"), "slots", "ids", "ws", F.inline(targets)).select(*_PACK))
+
+
+def _mask(pairs: DataFrame, lblk: Blocked, rblk: Blocked, l_id: str, r_id: str) -> DataFrame:
     placed = rblk.place(lblk.place(pairs.select(l_id, r_id), l_id, "lb", "slot"), r_id, "rb", "rslot")
-    return _rows(placed, MASK, F.col("rslot"), F.lit(0), F.col("slot"), F.lit(0.0), vec)
+    rows = _packed(placed.withColumns({"id": F.lit(0), "w": F.lit(0.0)}), "lb", "rb", "rslot")
+    return _as(rows, MASK, F.col("rslot"))
 
 
 def run_blocks(parts: list[DataFrame], task: BlockTask, lblk: Blocked, rblk: Blocked,
@@ -91,7 +122,7 @@ def run_blocks(parts: list[DataFrame], task: BlockTask, lblk: Blocked, rblk: Blo
     """Route rows to block pairs, sort each by key, and stream it through the task."""
     rows = parts[0]
     for p in parts[1:]:
-        rows = rows.union(p)
+        rows = rows.unionByName(p, allowMissingColumns=True)
     total = lblk.n * rblk.n
     # `at` packs the block pair, then whether entries have begun, then hash bits of the
     # key, so that comparing one long settles almost every comparison of the sort
@@ -113,17 +144,27 @@ def run_blocks(parts: list[DataFrame], task: BlockTask, lblk: Blocked, rblk: Blo
 
 # --- inside tasks -------------------------------------------------------------------
 
-def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in FIELDS}
-    if "vec" in batch.schema.names:
-        v = batch.column("vec")
-        size = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat = v.flatten().to_numpy(zero_copy_only=False)
-        out = np.zeros((len(size), size.max() if len(size) else 0))
-        if flat.size:
-            out[size > 0] = flat.reshape(int((size > 0).sum()), -1)
-        cols["vec"] = out
-    return cols
+def _unpack(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+    """Packed rows as flat columns, a bounded number at a time."""
+    size = batch.column("slots").value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        before = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + ROWS_AT_ONCE, side="right")))
+        part, n = batch.slice(a, b - a), size[a:b]
+        cols = {c: np.repeat(part.column(c).to_numpy(), n) for c in ("at", "kind", "key")}
+        for c, name in (("slot", "slots"), ("id", "ids"), ("w", "ws")):
+            cols[c] = part.column(name).flatten().to_numpy(zero_copy_only=False)
+        if "vec" in batch.schema.names:
+            v = part.column("vec")
+            width = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            out = np.zeros((len(width), width.max()))
+            if out.size:
+                out[width > 0] = v.flatten().to_numpy(zero_copy_only=False).reshape(int((width > 0).sum()), -1)
+            cols["vec"] = np.repeat(out, n, axis=0)
+        a = b
+        yield cols
 
 
 def _join(a: dict, b: dict) -> dict:
@@ -139,10 +180,7 @@ def _join(a: dict, b: dict) -> dict:
 
 def _stream(batches, task):
     carry, current = None, None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        cols = _columns(batch)
+    for cols in (part for batch in batches for part in _unpack(batch)):
         if carry is not None:
             cols = _join(carry, cols)
         at, key = cols["at"], cols["key"]
@@ -190,6 +228,20 @@ def _expand(e, task):
     task.ids("r", slot[~is_l], e["id"][~is_l])
     run = np.cumsum(np.r_[0, key[1:] != key[:-1]])
     n_r = np.bincount(run[~is_l], minlength=run[-1] + 1)
+    if task.channels:  # keys that fill much of the block go in as whole columns
+        n_l = np.bincount(run[is_l], minlength=run[-1] + 1)
+        heavy = n_l * n_r * HEAVY > task.acc.shape[0] * task.acc.shape[1]
+        if heavy.any():
+            for k in np.flatnonzero(heavy):
+                a, b = np.searchsorted(run, [k, k + 1])
+                lk = is_l[a:b]
+                task.column(slot[a:b][lk], w[a:b][lk], slot[a:b][~lk], w[a:b][~lk])
+            light = ~heavy[run]
+            if not light.any():
+                return
+            key, slot, w, is_l = key[light], slot[light], w[light], is_l[light]
+            run = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+            n_r = np.bincount(run[~is_l], minlength=run[-1] + 1)
     li, ri = np.flatnonzero(is_l), np.flatnonzero(~is_l)
     first, reps = (np.cumsum(n_r) - n_r)[run[li]], n_r[run[li]]
     done = np.cumsum(reps)
@@ -210,16 +262,22 @@ class BlockTask:
     """Accumulates one block pair at a time; arrays grow with the slots seen."""
 
     schema: str
-    layers = 0  # dense accumulators per block pair
+    # each channel sums f(left weight) · g(right weight) over shared keys
+    channels: list = []
+    acc = None
 
     def start(self, lb: int, rb: int) -> None:
         self.same = lb == rb
+        self.heavy = []
         l, r = self.hint
         self.id = {"l": np.full(l, -1, np.int64), "r": np.full(r, -1, np.int64)}
         self.default = {"l": np.zeros(l), "r": np.zeros(r)}
         self.vec = {"l": None, "r": None}
         self.masked = np.zeros((l, r), bool)
-        self.acc = np.zeros((self.layers, l, r))
+        if self.acc is not None and self.acc.shape[:2] == (l, r):
+            self.acc.fill(0.0)
+        else:
+            self.acc = np.zeros((l, r, len(self.channels)))
 
     def _fit(self, l: int, r: int) -> None:
         have = self.masked.shape
@@ -228,7 +286,7 @@ class BlockTask:
         want = tuple(h if n <= h else max(n, h + h // 4) for n, h in zip((l, r), have))
         grow = [(0, want[0] - have[0]), (0, want[1] - have[1])]
         self.masked = np.pad(self.masked, grow)
-        self.acc = np.pad(self.acc, [(0, 0), *grow])
+        self.acc = np.pad(self.acc, [*grow, (0, 0)])
 
     def ids(self, side: str, slots, ids) -> None:
         if not len(slots):
@@ -257,7 +315,26 @@ class BlockTask:
         self.masked[lslot, rslot] = True
 
     def pairs(self, l, r, key, lw, rw) -> None:
-        raise NotImplementedError
+        flat = (l.astype(np.int64) * self.acc.shape[1] + r) * len(self.channels)
+        cells = self.acc.reshape(-1)
+        for c, (f, g) in enumerate(self.channels):
+            np.add.at(cells, flat + c, f(lw) * g(rw))
+
+    def column(self, l, lw, r, rw) -> None:
+        self.heavy.append((l, lw, r, rw))
+        if len(self.heavy) == COLUMNS:
+            self.add_columns()
+
+    def add_columns(self) -> None:
+        if not self.heavy:
+            return
+        for c, (f, g) in enumerate(self.channels):
+            left = np.zeros((self.acc.shape[0], len(self.heavy)))
+            right = np.zeros((len(self.heavy), self.acc.shape[1]))
+            for i, (l, lw, r, rw) in enumerate(self.heavy):
+                left[l, i], right[i, r] = f(lw), g(rw)
+            self.acc[:, :, c] += left @ right
+        self.heavy = []
 
     def finish(self):
         raise NotImplementedError
@@ -305,45 +382,39 @@ class GramTask(BlockTask):
     """n, Σxy, Σx², Σy² over shared keys; a pair leaves once, when all its keys are in."""
 
     schema = "a long, b long, common long, xy double, xx double, yy double"
-    layers = 4
+    channels = [(np.ones_like, np.ones_like), (np.copy, np.copy), (np.square, np.ones_like), (np.ones_like, np.square)]
 
     def __init__(self, min_support: int):
         self.min_support = min_support
 
-    def pairs(self, l, r, key, lw, rw) -> None:
-        if self.same:
-            keep = l < r
-            l, r, lw, rw = l[keep], r[keep], lw[keep], rw[keep]
-        flat = l.astype(np.int64) * self.acc.shape[2] + r
-        for layer, w in zip(self.acc, (1.0, lw * rw, lw * lw, rw * rw)):
-            np.add.at(layer.reshape(-1), flat, w)
-
     def finish(self):
-        l, r = np.nonzero(self.acc[0] >= self.min_support)
-        n, xy, xx, yy = (layer[l, r] for layer in self.acc)
+        self.add_columns()
+        enough = self.acc[:, :, 0] > self.min_support - 0.5
+        if self.same:
+            enough &= np.tri(*enough.shape, k=-1, dtype=bool).T  # each pair of a block once
+        l, r = np.nonzero(enough)
+        n, xy, xx, yy = self.acc[l, r].T
         a, b = self.id["l"][l], self.id["r"][r]
         swap = a > b
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         xx, yy = np.where(swap, yy, xx), np.where(swap, xx, yy)
-        yield from _emit(["a", "b", "common", "xy", "xx", "yy"], a, b, n.astype(np.int64), xy, xx, yy)
+        yield from _emit(["a", "b", "common", "xy", "xx", "yy"], a, b, np.rint(n).astype(np.int64), xy, xx, yy)
 
 
 class SparseTopTask(BlockTask):
     """Dot products over shared keys; best n right ids per left id of the block."""
 
     schema = "l long, r long, score double"
-    layers = 1
+    channels = [(np.copy, np.copy)]
 
     def __init__(self, n: int, exclude_self: bool = False):
         self.n, self.exclude_self = n, exclude_self
 
-    def pairs(self, l, r, key, lw, rw) -> None:
-        np.add.at(self.acc[0].reshape(-1), l.astype(np.int64) * self.acc.shape[2] + r, lw * rw)
-
     def finish(self):
+        self.add_columns()
         lk, rk = self._known("l"), self._known("r")
         if len(lk) and len(rk):
-            score = np.round(self.acc[0][np.ix_(lk, rk)], 8)
+            score = np.round(self.acc[:, :, 0][np.ix_(lk, rk)], 8)
             if self.exclude_self:
                 score[self.id["l"][lk][:, None] == self.id["r"][rk][None, :]] = -np.inf
             l, r, v = self._best(score, lk, rk, self.n)
@@ -455,10 +526,7 @@ def gram(entries: DataFrame, min_support: int = 2, size: int = BLOCK) -> DataFra
     """(a, b, common, xy, xx, yy) for ids a < b that share at least ``min_support`` keys.
     ``entries`` is (id, key, w) with one row per (id, key)."""
     blk = Blocked(entries.select("id").distinct(), "id", size)
-    left = entries.select(F.col("id").alias("l"), "key", "w")
-    right = entries.select(F.col("id").alias("r"), "key", "w")
-    rows = _entries(left, right, blk, blk, "l", "r", upper=True)
-    return run_blocks([rows], GramTask(min_support), blk, blk, blk.n * (blk.n + 1) // 2)
+    return run_blocks([_self_entries(entries, blk)], GramTask(min_support), blk, blk, blk.n * (blk.n + 1) // 2)
 
 
 def _best_overall(per_block: DataFrame, n: int, by: str = "l", other: str = "r", score: str = "score") -> DataFrame:
@@ -473,11 +541,11 @@ def sparse_topn(left: DataFrame, right: DataFrame, lefts: DataFrame, rights: Dat
     """(l, r, score, rank): best n of all ``rights`` for each of ``lefts`` by the dot product
     of sparse rows (l, key, w) and (r, key, w); pairs sharing no key score 0."""
     lblk, rblk = Blocked(lefts, "l", size), Blocked(rights, "r", size)
-    parts = [_universe(lblk, lefts, "l", "l", rblk.n, False),
-             _universe(rblk, rights, "r", "r", lblk.n, False),
-             _entries(left, right, lblk, rblk, "l", "r", upper=False)]
+    parts = [_universe(lblk, lefts, "l", "l", rblk.n),
+             _universe(rblk, rights, "r", "r", lblk.n),
+             _entries(left, right, lblk, rblk, "l", "r")]
     if exclude is not None:
-        parts.append(_mask(exclude, lblk, rblk, "l", "r", False))
+        parts.append(_mask(exclude, lblk, rblk, "l", "r"))
     return _best_overall(run_blocks(parts, SparseTopTask(n, exclude_self), lblk, rblk), n)
 
 
@@ -486,9 +554,9 @@ def dense_topn(lefts: DataFrame, rights: DataFrame, n: int, exclude: DataFrame |
     """(l, r, score, rank): best n of all ``rights`` (r, vec[, w]) for each of ``lefts``
     (l, vec[, w]) by vector product plus both offsets ``w``."""
     lblk, rblk = Blocked(lefts.select("l"), "l", size), Blocked(rights.select("r"), "r", size)
-    parts = [_universe(lblk, lefts, "l", "l", rblk.n, True), _universe(rblk, rights, "r", "r", lblk.n, True)]
+    parts = [_universe(lblk, lefts, "l", "l", rblk.n), _universe(rblk, rights, "r", "r", lblk.n)]
     if exclude is not None:
-        parts.append(_mask(exclude, lblk, rblk, "l", "r", True))
+        parts.append(_mask(exclude, lblk, rblk, "l", "r"))
     return _best_overall(run_blocks(parts, DenseTopTask(n), lblk, rblk), n)
 
 
@@ -501,10 +569,10 @@ def neighbour_votes(sims: DataFrame, votes: DataFrame, lefts: DataFrame, rights:
     ``per`` among all pairs except ``pairs``. Universes carry the means in ``w``."""
     size = size or (BLOCK if n is None else VOTE_BLOCK)
     lblk, rblk = Blocked(lefts.select("l"), "l", size), Blocked(rights.select("r"), "r", size)
-    parts = [_universe(lblk, lefts, "l", "l", rblk.n, False),
-             _universe(rblk, rights, "r", "r", lblk.n, False),
-             _mask(pairs, lblk, rblk, "l", "r", False),
-             _entries(sims, votes, lblk, rblk, "l", "r", upper=False)]
+    parts = [_universe(lblk, lefts, "l", "l", rblk.n),
+             _universe(rblk, rights, "r", "r", lblk.n),
+             _mask(pairs, lblk, rblk, "l", "r"),
+             _entries(sims, votes, lblk, rblk, "l", "r")]
     out = run_blocks(parts, NeighbourTask(k, min_k, basic, mu, n, per, scale), lblk, rblk)
     if n is None:
         return out
