@@ -339,39 +339,29 @@ class BlockTask:
     def finish(self):
         raise NotImplementedError
 
-    def _known(self, side: str):
-        return np.flatnonzero(self.id[side] >= 0)
-
-    def _best(self, score: np.ndarray, lk, rk, n: int, per: str = "l"):
-        """Positions in ``lk`` and ``rk`` and values of the best n per id of side ``per``,
-        by (score desc, id asc); masked pairs are left out."""
-        score = np.where(self.masked[np.ix_(lk, rk)], -np.inf, score)
-        others = self.id["r"][rk]
+    def _size(self) -> tuple[int, int]:
+        """Ids of the universes; their slots run from 0 without gaps, in id order."""
+        return tuple(int((self.id[s] >= 0).sum()) for s in "lr")
+
+    def _best(self, score: np.ndarray, n: int, per: str = "l"):
+        """Slots and values of the best n per id of side ``per``, by (score desc, id asc).
+        Changes ``score``: masked pairs are left out."""
+        score[self.masked[:score.shape[0], :score.shape[1]]] = -np.inf
         if per == "r":
-            score, others = score.T, self.id["l"][lk]
-        by_id = np.argsort(others, kind="stable")
-        score = np.ascontiguousarray(score[:, by_id])
-        if score.shape[1] > 4 * n:
-            top = self._narrow(score, n)
+            score = np.ascontiguousarray(score.T)
+        if score.shape[1] > n:
+            bar = -np.partition(-score, n - 1, axis=1)[:, n - 1:n]
+            own, other = np.nonzero((score >= bar) & (score > -np.inf))
         else:
-            top = np.argsort(-score, axis=1, kind="stable")[:, :n]
-        val = np.take_along_axis(score, top, axis=1)
-        own, other, v = np.repeat(np.arange(len(score)), top.shape[1]), by_id[top].ravel(), val.ravel()
-        ok = v > -np.inf
-        own, other, v = own[ok], other[ok], v[ok]
+            own, other = np.nonzero(score > -np.inf)
+        v = score[own, other]
+        order = np.lexsort((other, -v, own))
+        own, other, v = own[order], other[order], v[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+        keep = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)])) < n
+        own, other, v = own[keep], other[keep], v[keep]
         return (other, own, v) if per == "r" else (own, other, v)
 
-    @staticmethod
-    def _narrow(score, n):
-        """Top n columns per row without a full sort; ties at the cut go to the first."""
-        bar = -np.partition(-score, n - 1, axis=1)[:, n - 1:n]
-        above, at_bar = score > bar, score == bar
-        room = n - above.sum(axis=1, keepdims=True)
-        pick = above | (at_bar & (np.cumsum(at_bar, axis=1) <= room))
-        top = np.nonzero(pick)[1].reshape(len(score), n)
-        order = np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable")
-        return np.take_along_axis(top, order, axis=1)
-
 
 def _emit(schema_names: list[str], *arrays):
     if len(arrays[0]):
@@ -412,13 +402,14 @@ class SparseTopTask(BlockTask):
 
     def finish(self):
         self.add_columns()
-        lk, rk = self._known("l"), self._known("r")
-        if len(lk) and len(rk):
-            score = np.round(self.acc[:, :, 0][np.ix_(lk, rk)], 8)
+        nl, nr = self._size()
+        if nl and nr:
+            score = np.round(self.acc[:nl, :nr, 0], 8)
             if self.exclude_self:
-                score[self.id["l"][lk][:, None] == self.id["r"][rk][None, :]] = -np.inf
-            l, r, v = self._best(score, lk, rk, self.n)
-            yield from _emit(["l", "r", "score"], self.id["l"][lk[l]], self.id["r"][rk[r]], v)
+                _, l, r = np.intersect1d(self.id["l"][:nl], self.id["r"][:nr], return_indices=True)
+                score[l, r] = -np.inf
+            l, r, v = self._best(score, self.n)
+            yield from _emit(["l", "r", "score"], self.id["l"][l], self.id["r"][r], v)
 
 
 class DenseTopTask(BlockTask):
@@ -430,12 +421,12 @@ class DenseTopTask(BlockTask):
         self.n = n
 
     def finish(self):
-        lk, rk = self._known("l"), self._known("r")
-        if len(lk) and len(rk):
-            score = self.vec["l"][lk] @ self.vec["r"][rk].T
-            score += self.default["l"][lk][:, None] + self.default["r"][rk][None, :]
-            l, r, v = self._best(np.round(score, 8), lk, rk, self.n)
-            yield from _emit(["l", "r", "score"], self.id["l"][lk[l]], self.id["r"][rk[r]], v)
+        nl, nr = self._size()
+        if nl and nr:
+            score = self.vec["l"][:nl] @ self.vec["r"][:nr].T
+            score += self.default["l"][:nl, None] + self.default["r"][None, :nr]
+            l, r, v = self._best(np.round(score, 8, out=score), self.n)
+            yield from _emit(["l", "r", "score"], self.id["l"][l], self.id["r"][r], v)
 
 
 class NeighbourTask(BlockTask):
@@ -478,8 +469,8 @@ class NeighbourTask(BlockTask):
         self.held = int(keep.sum())
 
     def finish(self):
-        lk, rk = self._known("l"), self._known("r")
-        if not len(lk) or not len(rk):
+        nl, nr = self._size()
+        if not nl or not nr:
             return
         code, avg, cnt = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         if self.held:
@@ -499,13 +490,12 @@ class NeighbourTask(BlockTask):
             yield from self._out(l, r, v, cnt)
             return
         # every pair starts from its fallback; pairs with neighbours are overwritten
-        est = self._estimate(self.default["l"][:, None], self.default["r"][None, :], 0.0, np.int64(0))
+        est = self._estimate(self.default["l"][:nl, None], self.default["r"][None, :nr], 0.0, np.int64(0))
         votes = np.zeros(est.shape, np.int32)
         l, r = code >> 32, code & 0xFFFFFFFF
         est[l, r] = self._estimate(self.default["l"][l], self.default["r"][r], avg, cnt)
         votes[l, r] = cnt
-        l, r, v = self._best(np.round(est[np.ix_(lk, rk)], 8), lk, rk, self.n, self.per)
-        l, r = lk[l], rk[r]
+        l, r, v = self._best(np.round(est, 8, out=est), self.n, self.per)
         yield from self._out(l, r, v, votes[l, r])
 
     def _estimate(self, mean_l, mean_r, avg, cnt):

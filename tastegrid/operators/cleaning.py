@@ -91,8 +91,14 @@ def split(df: DataFrame, train_tenths: int = 8, method: str = "modulo", seed: in
     repartitioning and recomputation; ``random`` is Spark's seeded ``randomSplit``."""
     if method == "random":
         return tuple(df.randomSplit([train_tenths / 10, 1 - train_tenths / 10], seed))
+    part = split_part(train_tenths, user, item)
+    return df.filter(part == "train"), df.filter(part == "test")
+
+
+def split_part(train_tenths: int = 8, user: str = "user_id", item: str = "item_id") -> Column:
+    """'train' or 'test' as a column, for work on both parts in one pass."""
     slot = (F.col(user) * 31 + F.col(item) * 17) % 10
-    return df.filter(slot < train_tenths), df.filter(slot >= train_tenths)
+    return F.when(slot < train_tenths, "train").otherwise("test")
 
 
 def dense_index(df: DataFrame, col: str = "user_id", index: str = "idx") -> DataFrame:

@@ -29,21 +29,19 @@ def weights_of(spark, sf):
 
 @query("metric_rmse", """SELECT part, round(sqrt(AVG(pow(rating - est, 2))), 6) AS rmse FROM base_est GROUP BY part""")
 def metric_rmse(spark, sf):
-    _, train, test = parts(spark, sf)
-    return cleaning.union_all(*[stats.rmse(baseline(p, train)).select(F.lit(n).alias("part"), r("rmse", "rmse"))
-                                for n, p in (("train", train), ("test", test))])
+    ratings, train, _ = parts(spark, sf)
+    return baseline(tagged(ratings), train).groupBy("part").agg(r(stats.rmse_of(), "rmse"))
 
 
 @query("metric_mae", """SELECT part, round(AVG(abs(rating - est)), 6) AS mae FROM base_est GROUP BY part""")
 def metric_mae(spark, sf):
-    _, train, test = parts(spark, sf)
-    return cleaning.union_all(*[stats.mae(baseline(p, train)).select(F.lit(n).alias("part"), r("mae", "mae"))
-                                for n, p in (("train", train), ("test", test))])
+    ratings, train, _ = parts(spark, sf)
+    return baseline(tagged(ratings), train).groupBy("part").agg(r(stats.mae_of(), "mae"))
 
 
 def top_lists(spark, sf, ratings=None):
     """Each user's five highest rated items among those with vectors."""
-    ratings = v.ratings(spark, sf) if ratings is None else ratings
+    ratings = v.kept_ratings(spark, sf) if ratings is None else ratings
     have = v.factors(spark, sf).select(F.col("id").alias("item_id"))
     return ranking.topn(ratings.join(have, "item_id", "left_semi"), 5, "rating").select("user_id", "item_id", "rank")
 
@@ -56,7 +54,7 @@ def top_lists(spark, sf, ratings=None):
       (SELECT item_id, n / MAX(n) OVER () AS popularity FROM (SELECT item_id, COUNT(*) FILTER (rating > 0) AS n
        FROM nullable GROUP BY item_id)) USING (item_id) GROUP BY user_id""")
 def metric_novelty(spark, sf):
-    ratings = v.ratings(spark, sf)
+    ratings = v.kept_ratings(spark, sf)
     lists = top_lists(spark, sf, ratings)
     sources = {"fraction": ratings, "log": ratings, "positive": v.nullable(spark, sf)}
     return cleaning.union_all(*[
@@ -78,7 +76,7 @@ def metric_diversity(spark, sf):
     FROM lists l JOIN units x ON x.item_id = l.item_id LEFT JOIN (SELECT user_id, item_id AS liked_id, v FROM ratings
       JOIN units USING (item_id) WHERE rating > 4) y ON y.user_id = l.user_id GROUP BY l.user_id""")
 def metric_serendipity(spark, sf):
-    ratings = v.ratings(spark, sf)
+    ratings = v.kept_ratings(spark, sf)
     return quality.serendipity(top_lists(spark, sf, ratings), ratings.filter("rating > 4"), v.factors(spark, sf)).select(
         "user_id", r("serendipity", "serendipity"))
 
@@ -101,7 +99,7 @@ def _item_div_sql(extra: str) -> str:
 
 
 def _item_diversity(spark, sf, exclude_self):
-    ratings = v.ratings(spark, sf)
+    ratings = v.kept_ratings(spark, sf)
     return quality.item_diversity(ratings.select("user_id", "item_id"), top_lists(spark, sf, ratings),
                                   v.factors(spark, sf), exclude_self).select(
         "user_id", "item_id", r("diversity", "diversity"))
@@ -140,7 +138,7 @@ def rerank_weighted(spark, sf):
             GROUP BY t.user_id, t.item_id) USING (user_id, item_id))) WHERE rn <= 5""")
 def rerank_candidates(spark, sf):
     """Re-ranking of a given candidate table (here the rated pairs) by its column scores."""
-    ratings, f = v.ratings(spark, sf), v.factors(spark, sf)
+    ratings, f = v.kept_ratings(spark, sf), v.factors(spark, sf)
     scored = quality.item_diversity(quality.item_serendipity(ratings, liked_of(ratings), f), top_lists(spark, sf, ratings), f)
     scored = scored.withColumn("adjusted_score", F.round(
         F.col("rating") * 0.5 + F.col("serendipity") * 0.4 + F.col("diversity") * 0.1, 6))
@@ -184,7 +182,7 @@ def rerank_before_after(spark, sf):
       FROM lists a JOIN liked l USING (user_id) JOIN units x ON x.item_id = a.item_id JOIN units y ON y.item_id = l.item_id
       GROUP BY user_id)), 6)""")
 def model_report(spark, sf):
-    ratings, train, test = parts(spark, sf, keep=True)
+    ratings, train, test = parts(spark, sf)
     f, lists = v.factors(spark, sf), top_lists(spark, sf, ratings)
     errors = [stats.rmse_of().alias("rmse"), stats.mae_of().alias("mae")]
     pop = stats.popularity(ratings, form="log")
@@ -221,7 +219,7 @@ def tfidf_weights(spark, sf):
       JOIN (SELECT token, COUNT(*) AS df FROM tfs GROUP BY token) USING (token) WHERE token NOT IN (SELECT word FROM stop_words))
     SELECT doc_id, token, round(raw / sqrt(SUM(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM raws""")
 def tfidf_documents(spark, sf):
-    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    docs = v.spread(v.table(spark, sf, "documents").select("doc_id", "text"))
     return content.term_weights(docs, item="doc_id", text="text").select("doc_id", "token", r("weight", "weight"))
 
 
@@ -236,7 +234,7 @@ def item_content_similarity(spark, sf):
 
 @query("user_profile", "SELECT user_id, token, round(weight, 6) AS weight FROM profile")
 def user_profile(spark, sf):
-    return content.user_profile(liked_of(v.ratings(spark, sf)), weights_of(spark, sf), v.items(spark, sf)).select(
+    return content.user_profile(liked_of(v.kept_ratings(spark, sf)), weights_of(spark, sf), v.items(spark, sf)).select(
         "user_id", "token", r("weight", "weight"))
 
 
@@ -266,7 +264,7 @@ def _content_topn_sql(weights: str, profile: str, seen: str) -> str:
 
 @query("content_topn", _content_topn_sql("weights", "profile", "liked"))
 def content_topn(spark, sf):
-    ratings = stage(v.ratings(spark, sf), "ratings")
+    ratings = v.kept_ratings(spark, sf)
     return content.content_topn(ratings.select("user_id"), liked_of(ratings), weights_of(spark, sf), v.items(spark, sf)).select(
         "user_id", "item_id", r("score", "score", 8), "rank")
 
@@ -276,7 +274,7 @@ def content_topn(spark, sf):
       JOIN (SELECT user_id, COUNT(*) AS n FROM liked GROUP BY user_id) USING (user_id) GROUP BY user_id, token)""", "ratings"))
 def content_topn_counts(spark, sf):
     """Raw counts instead of TF-IDF, and all rated items left out."""
-    ratings, items = stage(v.ratings(spark, sf), "ratings"), v.items(spark, sf)
+    ratings, items = v.kept_ratings(spark, sf), v.items(spark, sf)
     counts = stage(content.term_weights(content.item_text(items), "count"), "counts")
     return content.content_topn(ratings.select("user_id"), liked_of(ratings), counts, items, exclude=ratings).select(
         "user_id", "item_id", r("score", "score", 8), "rank")
@@ -314,7 +312,7 @@ def hybrid_alpha_sweep(spark, sf):
 @query("hybrid_als")
 def hybrid_als(spark, sf):
     """The blend with fitted ALS scores: pool of 100 per user, seen items removed."""
-    ratings, items = stage(v.ratings(spark, sf), "ratings"), v.items(spark, sf)
+    ratings, items = v.kept_ratings(spark, sf), v.items(spark, sf)
     model = als.als_fit(ratings)
     cands = ranking.anti_seen(als.als_candidates(model, 100), ratings)
     weights = weights_of(spark, sf)

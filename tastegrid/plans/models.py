@@ -15,16 +15,14 @@ from tastegrid.sources import views as v
 SCALE = (1.0, 5.0)
 
 
-def parts(spark, sf, keep: bool = False):
-    """Ratings, train and test; written once where a job reads them several times."""
-    ratings = v.ratings(spark, sf)
-    ratings = stage(ratings, "ratings") if keep else ratings
+def parts(spark, sf):
+    """Ratings, train and test."""
+    ratings = v.kept_ratings(spark, sf)
     return ratings, *cleaning.split(ratings)
 
 
-def tagged(train, test):
-    return cleaning.union_all(train.select(F.lit("train").alias("part"), "*"),
-                              test.select(F.lit("test").alias("part"), "*"))
+def tagged(ratings):
+    return ratings.withColumn("part", cleaning.split_part())
 
 
 # --- global baseline -------------------------------------------------------------------
@@ -33,11 +31,9 @@ def tagged(train, test):
 @query("raw_mean_rmse", """SELECT part, round(sqrt(AVG(pow(rating - m, 2))), 6) AS rmse FROM
     (SELECT part, rating, AVG(rating) OVER (PARTITION BY part) AS m FROM base_est) GROUP BY part""")
 def raw_mean_rmse(spark, sf):
-    _, train, test = parts(spark, sf)
-    out = [part.withColumn("est", part.agg(F.avg("rating")).scalar())
-           .agg(stats.rmse_of().alias("rmse")).select(F.lit(name).alias("part"), r("rmse", "rmse"))
-           for name, part in (("train", train), ("test", test))]
-    return cleaning.union_all(*out)
+    labelled = tagged(v.kept_ratings(spark, sf))
+    means = labelled.groupBy("part").agg(F.avg("rating").alias("est"))
+    return labelled.join(means, "part").groupBy("part").agg(r(stats.rmse_of(), "rmse"))
 
 
 @query("user_item_bias", """SELECT 'user' AS side, user_id AS id, round(m - mu, 6) AS bias FROM user_mean CROSS JOIN mu
@@ -51,20 +47,20 @@ def user_item_bias(spark, sf):
 
 @query("baseline_estimate", "SELECT part, user_id, item_id, rating, round(est, 6) AS est FROM base_est")
 def baseline_estimate(spark, sf):
-    _, train, test = parts(spark, sf)
-    return baseline(tagged(train, test), train).select("part", "user_id", "item_id", "rating", r("est", "est"))
+    ratings, train, _ = parts(spark, sf)
+    return baseline(tagged(ratings), train).select("part", "user_id", "item_id", "rating", r("est", "est"))
 
 
 @query("baseline_rmse", """SELECT part, round(sqrt(AVG(pow(rating - est, 2))), 6) AS rmse, COUNT(*) AS n, COUNT(est) AS known
     FROM base_est GROUP BY part""")
 def baseline_rmse(spark, sf):
-    _, train, test = parts(spark, sf)
-    return (baseline(tagged(train, test), train).groupBy("part")
+    ratings, train, _ = parts(spark, sf)
+    return (baseline(tagged(ratings), train).groupBy("part")
             .agg(r(stats.rmse_of(), "rmse"), F.count(F.lit(1)).alias("n"), F.count("est").alias("known")))
 
 
 def cell_parts(spark, sf):
-    c = cells(spark, sf)
+    c = stage(cells(spark, sf), "cells")
     train, test = cleaning.split(cleaning.drop_null_ratings(c))
     return train, test, cleaning.unknown_cells(c)
 
@@ -86,7 +82,7 @@ def baseline_matrix(spark, sf):
 @query("mean_center", """SELECT r.user_id, r.item_id, r.rating, round(r.rating - m.m, 6) + 0.0 AS centered FROM ratings r
     JOIN (SELECT user_id, AVG(rating) AS m FROM ratings GROUP BY user_id) m ON m.user_id = r.user_id""")
 def mean_centered(spark, sf):
-    return mean_center(v.ratings(spark, sf)).select("user_id", "item_id", "rating", r("centered", "centered"))
+    return mean_center(v.kept_ratings(spark, sf)).select("user_id", "item_id", "rating", r("centered", "centered"))
 
 
 # --- neighbourhoods ----------------------------------------------------------------------
@@ -94,18 +90,18 @@ def mean_centered(spark, sf):
 
 @query("user_similarity", "SELECT a AS user_a, b AS user_b, common, sim FROM user_sim")
 def user_similarity(spark, sf):
-    _, train, _ = parts(spark, sf, keep=True)
+    _, train, _ = parts(spark, sf)
     return knn.similarity(train, "user").withColumnsRenamed({"a": "user_a", "b": "user_b"})
 
 
 @query("item_similarity", "SELECT a AS item_a, b AS item_b, common, sim FROM item_sim")
 def item_similarity(spark, sf):
-    _, train, _ = parts(spark, sf, keep=True)
+    _, train, _ = parts(spark, sf)
     return knn.similarity(train, "item").withColumnsRenamed({"a": "item_a", "b": "item_b"})
 
 
 def knn_test(spark, sf, axis, kind, scale=SCALE):
-    _, train, test = parts(spark, sf, keep=True)
+    _, train, test = parts(spark, sf)
     sim = stage(knn.similarity(train, axis), "sim")
     est = knn.knn_predict(test, train, sim, axis, kind, scale=scale)
     return test.join(est, ["user_id", "item_id"])
@@ -151,7 +147,7 @@ def _topn_sql(own: str, other: str, near: str, a: str, b: str) -> str:
 
 
 def _knn_topn(spark, sf, axis):
-    ratings, train, _ = parts(spark, sf, keep=True)
+    ratings, train, _ = parts(spark, sf)
     sim = stage(knn.similarity(train, axis), "sim")
     return knn.knn_topn(train, sim, n=5, axis=axis, seen=ratings).select(
         "user_id", "item_id", r("est", "est", 8), "neighbours", "rank")
@@ -171,7 +167,7 @@ def knn_item_topn(spark, sf):
     f"SELECT '{m}' AS model, round(sqrt(AVG(pow(rating - est, 2))), 6) AS rmse, COUNT(*) AS n FROM {t}"
     for m, t in (("basic", "knn_basic"), ("user_means", "knn_user"), ("item_means", "knn_item"))))
 def knn_rmse_compare(spark, sf):
-    _, train, test = parts(spark, sf, keep=True)
+    _, train, test = parts(spark, sf)
     sims = {axis: stage(knn.similarity(train, axis), "sim") for axis in ("user", "item")}
     out = []
     for model, axis, kind in (("basic", "user", "basic"), ("user_means", "user", "means"), ("item_means", "item", "means")):
@@ -194,7 +190,7 @@ def _user_means(train):
 @query("svd_factors")
 def svd_factors(spark, sf):
     """Values with the lengths of their vectors (1 on both sides)."""
-    _, train, _ = parts(spark, sf, keep=True)
+    _, train, _ = parts(spark, sf)
     f = svd.truncated_svd(train, K)
 
     def lengths(side, name):
@@ -206,14 +202,14 @@ def svd_factors(spark, sf):
 
 @query("svd_predict")
 def svd_predict(spark, sf):
-    _, train, test = parts(spark, sf, keep=True)
+    _, train, test = parts(spark, sf)
     return svd.svd_predict(test, svd.truncated_svd(train, K)).select("user_id", "item_id", "rating", r("est", "est"))
 
 
 @query("svd_insample_curve")
 def svd_insample_curve(spark, sf):
     """Error against k on the fitted data, raw and centred."""
-    ratings, _, _ = parts(spark, sf, keep=True)
+    ratings, _, _ = parts(spark, sf)
     centered = stage(mean_center(ratings, out="c").select("user_id", "item_id", F.col("c").alias("rating")), "centered")
     out = []
     for name, data in (("raw", ratings), ("centered", centered)):
@@ -223,7 +219,7 @@ def svd_insample_curve(spark, sf):
 
 
 def _holdout_curve(spark, sf):
-    _, train, test = parts(spark, sf, keep=True)
+    _, train, test = parts(spark, sf)
     means = stage(_user_means(train), "means")
 
     def center(df):
@@ -248,7 +244,7 @@ def svd_best_k(spark, sf):
 @query("svd_topn")
 def svd_topn(spark, sf):
     """Best unseen items by centred fit plus the user's own mean, names attached."""
-    ratings, train, _ = parts(spark, sf, keep=True)
+    ratings, train, _ = parts(spark, sf)
     f = svd.truncated_svd(train, K, center=True)
     top = svd.svd_topn(f, ratings, n=5, user_mean=_user_means(train))
     return (top.join(v.items(spark, sf), "item_id", "left")
@@ -257,7 +253,7 @@ def svd_topn(spark, sf):
 
 @query("svd_denormalise")
 def svd_denormalise(spark, sf):
-    _, train, test = parts(spark, sf, keep=True)
+    _, train, test = parts(spark, sf)
     f = svd.truncated_svd(train, K, center=True)
     return svd.svd_predict(test, f, _user_means(train)).select("user_id", "item_id", "rating", r("est", "est"))
 
@@ -278,7 +274,7 @@ def svd_full_rank_identity(spark, sf):
 @query("als_fit")
 def als_fit(spark, sf):
     """Learned vectors of all items with their lengths."""
-    _, train, _ = parts(spark, sf, keep=True)
+    _, train, _ = parts(spark, sf)
     m = als.als_fit(train)
     f = m.itemFactors.select(F.col("id").cast("long").alias("item_id"), F.col("features").cast("array<double>").alias("features"))
     return f.select("item_id", F.size("features").alias("rank"), norm("features").alias("norm"))
@@ -286,19 +282,19 @@ def als_fit(spark, sf):
 
 @query("als_grid_cv")
 def als_grid_cv(spark, sf):
-    _, train, _ = parts(spark, sf, keep=True)
+    _, train, _ = parts(spark, sf)
     return als.als_tune(train)[1]
 
 
 @query("als_best_params")
 def als_best_params(spark, sf):
-    _, train, _ = parts(spark, sf, keep=True)
+    _, train, _ = parts(spark, sf)
     return als.als_tune(train, iters=(5,))[1].filter("best").select("rank", "reg", "iters", "rmse")
 
 
 @query("als_predict")
 def als_predict(spark, sf):
-    _, train, test = parts(spark, sf, keep=True)
+    _, train, test = parts(spark, sf)
     return als.als_predict(als.als_fit(train), test).select("user_id", "item_id", "rating", "est")
 
 
@@ -314,19 +310,19 @@ def als_predict_all_pairs(spark, sf):
 
 @query("als_recommend_all")
 def als_recommend_all(spark, sf):
-    _, train, _ = parts(spark, sf, keep=True)
+    _, train, _ = parts(spark, sf)
     return als.als_candidates(als.als_fit(train))
 
 
 @query("als_unseen")
 def als_unseen(spark, sf):
-    _, train, test = parts(spark, sf, keep=True)
+    _, train, test = parts(spark, sf)
     return ranking.anti_seen(als.als_candidates(als.als_fit(train)), train, test)
 
 
 @query("als_topn")
 def als_topn(spark, sf):
-    ratings, train, _ = parts(spark, sf, keep=True)
+    ratings, train, _ = parts(spark, sf)
     top = ranking.topn(ranking.anti_seen(als.als_candidates(als.als_fit(train)), ratings), 5)
     return top.join(v.items(spark, sf), "item_id", "left").select("user_id", "item_id", "score", "rank", "title", "genres")
 
@@ -334,7 +330,7 @@ def als_topn(spark, sf):
 @query("factors_lookup")
 def factors_lookup(spark, sf):
     """Item vectors of all items that someone rated 5."""
-    _, train, _ = parts(spark, sf, keep=True)
+    _, train, _ = parts(spark, sf)
     wanted = train.filter("rating = 5").select(F.col("item_id").alias("id"))
     return als.factors_lookup(als.als_fit(train), wanted)
 
@@ -355,7 +351,7 @@ def dot_topn(spark, sf):
 
 def cf_sides(spark, sf):
     """User factors, item factors, ratings."""
-    f, ratings = v.factors(spark, sf), stage(v.ratings(spark, sf), "ratings")
+    f, ratings = v.factors(spark, sf), v.kept_ratings(spark, sf)
     users = f.join(ratings.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi")
     items = f.join(v.items(spark, sf).select(F.col("item_id").alias("id")), "id", "left_semi")
     return users, items, ratings

@@ -162,9 +162,7 @@ def dense_index(spark, sf):
 
 @query("train_test_split", """SELECT 'train' AS part, * FROM train UNION ALL SELECT 'test', * FROM test""")
 def train_test_split(spark, sf):
-    train, test = cleaning.split(v.ratings(spark, sf))
-    return cleaning.union_all(train.select(F.lit("train").alias("part"), "*"),
-                              test.select(F.lit("test").alias("part"), "*"))
+    return v.ratings(spark, sf).withColumn("part", cleaning.split_part())
 
 
 @query("matrix_profile", """SELECT cells, nonzeros, round(1 - nonzeros / cells, 6) AS sparsity,
@@ -200,7 +198,7 @@ def join_metadata_left(spark, sf):
     JOIN (SELECT user_id, AVG(rating) AS m FROM ratings GROUP BY user_id) m ON m.user_id = l.user_id
     JOIN factors f ON f.id = l.item_id""")
 def join_inner(spark, sf):
-    ratings, f = v.ratings(spark, sf), v.factors(spark, sf)
+    ratings, f = v.kept_ratings(spark, sf), v.factors(spark, sf)
     means = stats.group_mean(ratings, "user_id", name="rating_mean")
     joined = ratings.join(means, "user_id").join(f, F.col("item_id") == F.col("id"))
     return joined.select("user_id", "item_id", "rating", r("rating_mean", "rating_mean"),
@@ -211,7 +209,7 @@ def join_inner(spark, sf):
     LEFT JOIN (SELECT item_id, AVG(rating) AS m FROM train WHERE rating >= 4 GROUP BY item_id HAVING COUNT(*) > 8) m
     ON m.item_id = r.item_id""")
 def join_lookup(spark, sf):
-    train, test = cleaning.split(v.ratings(spark, sf))
+    train, test = cleaning.split(v.kept_ratings(spark, sf))
     means = (train.filter("rating >= 4").groupBy("item_id")
              .agg(F.avg("rating").alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 8"))
     return test.join(means, "item_id", "left").select("user_id", "item_id", r("m", "item_mean"))
@@ -247,7 +245,7 @@ def unseen_counts(spark, sf):
 @query("semi_join_in_list", """SELECT user_id, item_id, rating, item_id IN (SELECT item_id FROM items
     WHERE genres LIKE 'ECONOMY|%') AS listed FROM ratings""")
 def semi_join_in_list(spark, sf):
-    ratings = v.ratings(spark, sf)
+    ratings = v.kept_ratings(spark, sf)
     wanted = v.items(spark, sf).filter(F.col("genres").startswith("ECONOMY|")).select("item_id")
     return cleaning.union_all(
         ratings.join(wanted, "item_id", "left_semi").select("user_id", "item_id", "rating", F.lit(True).alias("listed")),
@@ -285,7 +283,7 @@ def global_mean(spark, sf):
 @query("group_mean", """SELECT 'user' AS side, user_id AS id, round(AVG(rating), 6) AS mean_rating FROM ratings GROUP BY user_id
     UNION ALL SELECT 'item', item_id, round(AVG(rating), 6) FROM ratings GROUP BY item_id""")
 def group_mean(spark, sf):
-    ratings = v.ratings(spark, sf)
+    ratings = v.kept_ratings(spark, sf)
     return cleaning.union_all(*[
         stats.group_mean(ratings, f"{s}_id").select(F.lit(s).alias("side"), F.col(f"{s}_id").alias("id"),
                                                    r("mean_rating", "mean_rating")) for s in ("user", "item")])
@@ -305,7 +303,7 @@ def positive_count(spark, sf):
 @query("popularity_norm", """SELECT item_id, round(popularity, 6) AS popularity_norm,
     round(popularity_log, 6) AS popularity_norm_log FROM popular""")
 def popularity_norm(spark, sf):
-    ratings = v.ratings(spark, sf)
+    ratings = v.kept_ratings(spark, sf)
     log = stats.popularity(ratings, form="log").select("item_id", r("popularity", "popularity_norm_log"))
     return stats.popularity(ratings).join(log, "item_id").select(
         "item_id", r("popularity", "popularity_norm"), "popularity_norm_log")
@@ -318,7 +316,7 @@ def popularity_norm(spark, sf):
       COUNT(x) AS n FROM range(20) g(bin) CROSS JOIN b LEFT JOIN c ON least(floor((x - lo) / w), 19) = bin
     GROUP BY bin, lo, w""")
 def rating_histogram(spark, sf):
-    centered = mean_center(v.ratings(spark, sf)).select(F.round("centered", 6).alias("centered"))
+    centered = mean_center(v.kept_ratings(spark, sf)).select(F.round("centered", 6).alias("centered"))
     h = stats.histogram(centered, "centered", 20)
     return h.select("bin", r("lower", "lower"), r("upper", "upper"), F.col("n").cast("long").alias("n"))
 
@@ -332,7 +330,7 @@ def rating_histogram(spark, sf):
       round(SUM(d.c * exp(-0.5 * pow((lo + point * w - d.x) / h, 2))) / (MAX(n) * MAX(h) * sqrt(2 * pi())), 6) AS density
     FROM range(50) g(point) CROSS JOIN b CROSS JOIN d GROUP BY point, lo, w""")
 def rating_density(spark, sf):
-    centered = mean_center(v.ratings(spark, sf)).select(F.round("centered", 6).alias("centered"))
+    centered = mean_center(v.kept_ratings(spark, sf)).select(F.round("centered", 6).alias("centered"))
     return stats.density(centered, "centered", 50).select("point", r("x", "x"), r("density", "density"))
 
 
@@ -439,7 +437,8 @@ DOC_TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')"
     md5(array_to_string({DOC_TOKENS}, ' ')) AS digest FROM documents""")
 def fn_tokenize(spark, sf):
     toks = tx.tokens("text")
-    return v.table(spark, sf, "documents").select("doc_id", F.size(toks).alias("n_tokens"),
+    docs = v.spread(v.table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.size(toks).alias("n_tokens"),
                                                   F.md5(F.array_join(toks, " ")).alias("digest"))
 
 

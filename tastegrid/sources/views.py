@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tastegrid.session import stage
+
 # The order priorities that serve as the columns of the wide view.
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 WIDE_COLS = [f"p{i}" for i in range(1, len(PRIORITIES) + 1)]
@@ -14,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """For costly work per row on a plain scan: use all cores where the files give fewer
+    splits than that. With enough splits, as on any large input, nothing is shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def rating_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line; a user may rate an item more than once."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
@@ -30,6 +39,12 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.max("rating").alias("rating")))
 
 
+def kept_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings written once, for jobs that read them several times: the join and the
+    grouping behind them run a single time."""
+    return stage(ratings(spark, sf_dir), "ratings")
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"),
