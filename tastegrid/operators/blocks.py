@@ -131,8 +131,9 @@ def run_blocks(parts: list[DataFrame], task: BlockTask, lblk: Blocked, rblk: Blo
     at = (F.shiftleft(group, low + 1)
           .bitwiseOR(F.shiftleft((F.col("kind") >= L_ENTRY).cast("long"), low))
           .bitwiseOR(F.xxhash64("key").bitwiseAND(F.lit((1 << low) - 1))))
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(groups or total, 4 * cores))
+    spark = rows.sparkSession
+    tasks = min(groups or total, max(4 * spark.sparkContext.defaultParallelism,
+                                     int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = (rows.withColumn("at", at).repartition(tasks, "lb", "rb").drop("lb", "rb")
             .sortWithinPartitions("at", "key", "kind"))
     task.shift, task.width, task.hint = low, rblk.n, (lblk.slots, rblk.slots)
