@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastegrid.session import stage
+
 BLOCK = 2048           # ids per block: bounds the accumulators in a task
 VOTE_BLOCK = 1024      # smaller where a pair may hold up to k neighbours
 PAIR_CHUNK = 1 << 21   # pairs expanded at a time inside a task
@@ -34,9 +36,11 @@ ROWS_AT_ONCE = 1 << 20  # unpacked rows a task looks at together
 
 
 class Blocked:
-    """Ids spread evenly over ``n`` blocks: (id, block, slot in block)."""
+    """Ids spread evenly over ``n`` blocks: (id, block, slot in block). The ids are written
+    once, unless ``kept`` says they are, as counting and every placement read them."""
 
-    def __init__(self, ids: DataFrame, col: str, size: int = BLOCK):
+    def __init__(self, ids: DataFrame, col: str, size: int = BLOCK, kept: bool = False):
+        ids = ids.select(col) if kept else stage(ids.select(col), "ids")
         total = ids.count()
         cores = ids.sparkSession.sparkContext.defaultParallelism
         # enough blocks to bound a task, and for small inputs enough to use the cores
@@ -531,7 +535,8 @@ def sparse_topn(left: DataFrame, right: DataFrame, lefts: DataFrame, rights: Dat
                 size: int = BLOCK) -> DataFrame:
     """(l, r, score, rank): best n of all ``rights`` for each of ``lefts`` by the dot product
     of sparse rows (l, key, w) and (r, key, w); pairs sharing no key score 0."""
-    lblk, rblk = Blocked(lefts, "l", size), Blocked(rights, "r", size)
+    lefts, rights = stage(lefts, "lefts"), stage(rights, "rights")
+    lblk, rblk = Blocked(lefts, "l", size, kept=True), Blocked(rights, "r", size, kept=True)
     parts = [_universe(lblk, lefts, "l", "l", rblk.n),
              _universe(rblk, rights, "r", "r", lblk.n),
              _entries(left, right, lblk, rblk, "l", "r")]
@@ -544,7 +549,8 @@ def dense_topn(lefts: DataFrame, rights: DataFrame, n: int, exclude: DataFrame |
                size: int = BLOCK) -> DataFrame:
     """(l, r, score, rank): best n of all ``rights`` (r, vec[, w]) for each of ``lefts``
     (l, vec[, w]) by vector product plus both offsets ``w``."""
-    lblk, rblk = Blocked(lefts.select("l"), "l", size), Blocked(rights.select("r"), "r", size)
+    lefts, rights = stage(lefts, "lefts"), stage(rights, "rights")
+    lblk, rblk = Blocked(lefts, "l", size, kept=True), Blocked(rights, "r", size, kept=True)
     parts = [_universe(lblk, lefts, "l", "l", rblk.n), _universe(rblk, rights, "r", "r", lblk.n)]
     if exclude is not None:
         parts.append(_mask(exclude, lblk, rblk, "l", "r"))
@@ -559,7 +565,9 @@ def neighbour_votes(sims: DataFrame, votes: DataFrame, lefts: DataFrame, rights:
     Without ``n``: an estimate for each of ``pairs``. With ``n``: the best n per id of side
     ``per`` among all pairs except ``pairs``. Universes carry the means in ``w``."""
     size = size or (BLOCK if n is None else VOTE_BLOCK)
-    lblk, rblk = Blocked(lefts.select("l"), "l", size), Blocked(rights.select("r"), "r", size)
+    lefts, rights = stage(lefts, "lefts"), stage(rights, "rights")
+    lblk, rblk = Blocked(lefts, "l", size, kept=True), Blocked(rights, "r", size, kept=True)
+    sims, votes = sims.join(lefts.select("l"), "l", "left_semi"), votes.join(rights.select("r"), "r", "left_semi")
     parts = [_universe(lblk, lefts, "l", "l", rblk.n),
              _universe(rblk, rights, "r", "r", lblk.n),
              _mask(pairs, lblk, rblk, "l", "r"),
