@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,5 +31,6 @@ def tokens(c: Column | str) -> Column:
 
 
 def default_stop_words() -> list[str]:
-    """Spark's own English list, lower case and without apostrophe forms' trailing parts."""
-    return StopWordsRemover.loadDefaultStopWords("english")
+    """Spark's own English list, kept as a text file so that plain SQL can use it too."""
+    with open(os.path.join(os.path.dirname(__file__), "stop_words.txt"), encoding="utf-8") as f:
+        return [w.strip() for w in f if w.strip() and not w.startswith("#")]

@@ -17,14 +17,16 @@ def norm(a: Column | str) -> Column:
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """0.0 where either vector has length zero."""
+    size = norm(a) * norm(b)
+    return F.when(size == 0, 0.0).otherwise(F.try_divide(dot(a, b), size))
 
 
 def unit(vec: str = "features", out: str = "unit"):
-    """A frame transform: adds the vector scaled to length 1."""
+    """A frame transform: adds the vector scaled to length 1; a zero vector stays as it is."""
     def apply(df: DataFrame) -> DataFrame:
         return (df.withColumn("_norm", norm(vec))
-                .withColumn(out, F.transform(vec, lambda x: x / F.col("_norm"))).drop("_norm"))
+                .withColumn(out, F.transform(vec, lambda x: x / F.when(F.col("_norm") == 0, 1.0).otherwise(F.col("_norm")))).drop("_norm"))
     return apply
 
 

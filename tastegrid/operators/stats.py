@@ -22,13 +22,15 @@ def item_popularity(df: DataFrame, item: str = "item_id", min_count: int = 1) ->
 def popularity(df: DataFrame, min_count: int = 1, form: str = "fraction", item: str = "item_id",
                value: str = "rating") -> DataFrame:
     """Popularity in 0..1 per item: count ÷ max, log1p ratio, or positive count ÷ max.
-    The maximum is a scalar subquery on the counts; nothing visits the driver."""
+    0.0 for all when no item counts (no positive rating). The maximum is a scalar subquery
+    on the counts; nothing visits the driver."""
     if form == "positive":
         counts = df.groupBy(item).agg(F.count_if(F.col(value) > 0).alias("n"))
     else:
         counts = item_popularity(df, item, min_count)
     top = counts.agg(F.max("n")).scalar()
-    pop = F.log1p("n") / F.log1p(top) if form == "log" else F.col("n") / top
+    size = F.log1p(top) if form == "log" else top.cast("double")
+    pop = F.coalesce(F.try_divide(F.log1p("n") if form == "log" else F.col("n").cast("double"), size), F.lit(0.0))
     return counts.withColumn("popularity", pop)
 
 
@@ -49,7 +51,8 @@ def histogram(df: DataFrame, col: str = "rating", bins: int = 10) -> DataFrame:
 
 def density(df: DataFrame, col: str = "rating", grid_points: int = 50) -> DataFrame:
     """Gaussian kernel density on an even grid, Scott bandwidth. Equal values are
-    counted first; each distinct value then adds to the fixed number of grid points."""
+    counted first; each distinct value then adds to the fixed number of grid points.
+    Constant data has no bandwidth: the density is null there."""
     x = F.col(col).cast("double")
     vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
     stat = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"),
@@ -61,11 +64,11 @@ def density(df: DataFrame, col: str = "rating", grid_points: int = 50) -> DataFr
     counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     points = counts.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))))
     at = lo + F.col("point") * step
-    z = (at - F.col("x")) / h
+    z = F.try_divide(at - F.col("x"), h)
     return (points.select("point", at.alias("x_at"), (F.col("c") * F.exp(z * z * -0.5)).alias("k"))
             .groupBy("point", "x_at").agg(F.sum("k").alias("k"))
             .select(F.col("point").cast("long").alias("point"), F.col("x_at").alias("x"),
-                    (F.col("k") / (n * h * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")))
+                    F.try_divide(F.col("k"), n * h * F.sqrt(F.lit(2.0) * F.pi())).alias("density")))
 
 
 def argmin(df: DataFrame, metric: str, tie_break: str = "k") -> DataFrame:

@@ -289,7 +289,7 @@ def als_grid_cv(spark, sf):
 @query("als_best_params")
 def als_best_params(spark, sf):
     _, train, _ = parts(spark, sf)
-    return als.als_tune(train, iters=(5,))[1].filter("best").select("rank", "reg", "iters", "rmse")
+    return als.als_tune(train)[1].filter("best").select("rank", "reg", "iters", "rmse")
 
 
 @query("als_predict")
@@ -314,16 +314,25 @@ def als_recommend_all(spark, sf):
     return als.als_candidates(als.als_fit(train))
 
 
+def _unseen_topn(model, seen, n):
+    """The n best items per user among those the user has not rated: seen pairs are masked
+    before the ranking, so no pool can run short."""
+    users, items = ([s.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"))
+                     for s in (model.userFactors, model.itemFactors)])
+    return als.dot_topn(users, items, n, seen)
+
+
 @query("als_unseen")
 def als_unseen(spark, sf):
     _, train, test = parts(spark, sf)
-    return ranking.anti_seen(als.als_candidates(als.als_fit(train)), train, test)
+    seen = ranking.seen_pairs(train, test)
+    return _unseen_topn(als.als_fit(train), seen, 100).select("user_id", "item_id", "score")
 
 
 @query("als_topn")
 def als_topn(spark, sf):
     ratings, train, _ = parts(spark, sf)
-    top = ranking.topn(ranking.anti_seen(als.als_candidates(als.als_fit(train)), ratings), 5)
+    top = _unseen_topn(als.als_fit(train), ratings, 5)
     return top.join(v.items(spark, sf), "item_id", "left").select("user_id", "item_id", "score", "rank", "title", "genres")
 
 

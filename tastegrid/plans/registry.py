@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import glob
-import os
 import re
-import zipfile
 from collections.abc import Callable
 
-import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tastegrid.functions.text import default_stop_words
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,15 +29,8 @@ def r(c: Column | str, name: str, digits: int = 6) -> Column:
     return (F.round(c, digits) + F.lit(0.0)).alias(name)
 
 
-def spark_stop_words() -> list[str]:
-    """The English list Spark ships, read from its jar so that plain SQL can use it too."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-
-
 def _stop_values() -> str:
-    words = sorted({w.strip() for w in spark_stop_words() if w.strip()})
+    words = sorted({w.strip() for w in default_stop_words() if w.strip()})
     return ", ".join("('" + w.replace("'", "''") + "')" for w in words)
 
 
