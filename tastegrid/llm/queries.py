@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tastegrid.llm import token_counts as counts
+from tastegrid.llm import byte_bpe, token_counts as counts
 from tastegrid.llm.registry import query, table
 
 
 @query("op9_token_counts")
 def op9_token_counts(spark, sf_dir):
     return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark, sf_dir):
+    return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
