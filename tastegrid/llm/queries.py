@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tastegrid.llm import byte_bpe, token_counts as counts
+from tastegrid.llm import byte_bpe, simhash, token_counts as counts
 from tastegrid.llm.registry import query, table
 
 
@@ -16,3 +16,8 @@ def op9_token_counts(spark, sf_dir):
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op2_simhash")
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4)
