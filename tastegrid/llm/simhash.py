@@ -25,12 +25,15 @@ from tastegrid.session import stage
 
 BITS = 64
 SEED = 42
-# Fingerprints of one probe value that one task compares; larger groups go through shared midpoints.
+# Fingerprints of one probe value that one task compares; larger groups are compared by pairs of blocks.
 GROUP = 32_768
+# Cost of sending one probe, in comparisons.
+ROW = 200
 
 
-def simhash(text: str, width: int = 4) -> int:
-    """Signed 64-bit fingerprint of a text; 0 without words."""
+def simhash(text: str, width: int = 4, distinct: bool = False) -> int:
+    """Signed 64-bit fingerprint of a text's word shingles, repeats included unless ``distinct``; 0
+    without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
@@ -43,6 +46,8 @@ def simhash(text: str, width: int = 4) -> int:
         end = start[width - 1:] + size[width - 1:] - 1
         shingles = [joined[a:b] for a, b in zip(start[:len(end)].tolist(), end.tolist())]
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+    if distinct:
+        h = np.unique(h)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 65_536):
         part = h[at:at + 65_536].astype("<u8")
@@ -128,7 +133,7 @@ def plan(fps: DataFrame, radius: int, part_counts: tuple[int, ...] = (3, 4, 5))
                     extra = 0.0
                     if t >= 0:
                         gain = sum(1 / agree[b] for b in part) ** t / max(1, [1, 1, 2, 6][t])
-                        extra = n * comb(len(part), t) + max(pairs[(m, i)], n * n / 2.0 ** (len(part) + 1)) * gain
+                        extra = ROW * n * comb(len(part), t) + max(pairs[(m, i)], n * n / 2.0 ** (len(part) + 1)) * gain
                     if used + t not in step or cost + extra < step[used + t][0]:
                         step[used + t] = (cost + extra, [*chosen, t])
             spent = step
@@ -147,100 +152,103 @@ def differing(x: np.ndarray, y) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64))
 
 
-def _stars(x: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Spanning stars of one group's links. A member found is not compared again, so a dense group
-    costs about its size and a loose one half its square."""
-    left, a, b = x.copy(), [], []
+def _stars(node: np.ndarray, fp: np.ndarray, check: np.ndarray, radius: int, check_radius: int):
+    """Spanning stars of one group's links, as (root, member) arrays. A member found is not compared
+    again, so a dense group costs about its size and a loose one half its square."""
+    left, a, b = np.arange(len(fp)), [], []
     while len(left) > 1:
         queue, found, left = [left[0]], [left[:1]], left[1:]
         while queue and len(left):
-            near = differing(left, queue.pop()) <= radius
+            k = queue.pop()
+            near = differing(fp[left], fp[k]) <= radius
+            if check_radius < BITS:
+                near &= differing(check[left], check[k]) <= check_radius
             if near.any():
                 hit, left = left[near], left[~near]
                 found.append(hit)
                 queue.extend(hit)
         if len(found) > 1:
-            members = np.concatenate(found)
+            members = node[np.concatenate(found)]
             root = members.min()
-            rest = members[members != root]
-            a.append(np.full(len(rest), root))
-            b.append(rest)
+            b.append(members[members != root])
+            a.append(np.full(len(b[-1]), root))
     return a, b
 
 
-def link(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): enough links between fingerprints at most ``radius`` bits apart to connect all that
-    any links connect. ``fps``: distinct fingerprints in column ``fp``.
-
-    Each probe value's group is compared in one task, where a set found connected is not
-    compared twice. A group of over ``GROUP`` fingerprints is left to a second, linear way: two fingerprints
-    are within the radius if and only if some value is within half of it of both."""
-    masks = plan(fps, radius)
-    if not masks:
-        return fps.sparkSession.createDataFrame([], "a long, b long")
-    probes = F.explode(F.array(*[F.struct(F.lit(k).alias("v"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("x"))
-                                 for k, m in enumerate(masks)])).alias("p")
-    dealt = (fps.select("fp", probes).select(F.xxhash64("p.v", "p.x").alias("g"), "fp")
-             .repartition("g").sortWithinPartitions("g"))
+def _compare(dealt: DataFrame, radius: int, check_radius: int, limit: int | None) -> DataFrame:
+    """(kind, g, a, fp, check): rows of kind 0 are links, ``a`` to ``fp`` as nodes; rows of kind 1
+    are the members of groups of over ``limit`` rows. ``dealt``: (g, node, fp, check), sorted by g in
+    each partition."""
+    names = ["kind", "g", "a", "fp", "check"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        def out(kind, g, a, fp, check):
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(
+                pa.array(np.broadcast_to(x, n).astype(np.int64)) for x in (g, a, fp, check))], names=names)
 
-        def out(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], schema=schema)
-
-        def groups(g, x):
+        def groups(g, *cols):
             """Links of whole groups: those of two members at once, larger ones one by one."""
+            node, fp, check = cols
             cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             size = np.diff(np.append(cut, len(g)))
             two = cut[size == 2]
-            near = two[differing(x[two], x[two + 1]) <= radius]
+            near = two[(differing(fp[two], fp[two + 1]) <= radius) & (differing(check[two], check[two + 1]) <= check_radius)]
             if len(near):
-                yield out(np.minimum(x[near], x[near + 1]), np.maximum(x[near], x[near + 1]))
+                yield out(0, 0, node[near], node[near + 1], 0)
             for at, n in zip(cut[size > 2].tolist(), size[size > 2].tolist()):
-                a, b = _stars(np.unique(x[at:at + n]), radius)
+                a, b = _stars(node[at:at + n], fp[at:at + n], check[at:at + n], radius, check_radius)
                 if a:
-                    yield out(np.concatenate(a), np.concatenate(b))
-
-        def hot(x):  # a loop marks a fingerprint of a group too large for one task
-            return out(x, x)
+                    yield out(0, 0, np.concatenate(a), np.concatenate(b), 0)
 
-        held_g, held_x, large = np.empty(0, np.int64), np.empty(0, np.int64), None
+        held, large = [np.empty(0, np.int64)] * 4, None
         for batch in batches:
-            g = np.concatenate([held_g, batch.column(0).to_numpy(zero_copy_only=False)])
-            x = np.concatenate([held_x, batch.column(1).to_numpy(zero_copy_only=False)])
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
             if large is not None:
-                n = int(np.searchsorted(g, large, "right"))
+                n = int(np.searchsorted(new[0], large, "right"))
                 if n:
-                    yield hot(x[:n])
-                g, x = g[n:], x[n:]
-                if not len(g):
-                    held_g, held_x = g, x
+                    yield out(1, *(x[:n] for x in new))
+                if n == len(new[0]):
                     continue
-                large = None
-            last = int(np.searchsorted(g, g[-1], "left"))
+                new, large = [x[n:] for x in new], None
+            held = [np.concatenate(x) for x in zip(held, new)]
+            last = int(np.searchsorted(held[0], held[0][-1], "left"))
             if last:
-                yield from groups(g[:last], x[:last])
-            held_g, held_x = g[last:], x[last:]
-            if len(held_g) > GROUP:
-                yield hot(held_x)
-                large, held_g, held_x = held_g[0], held_g[:0], held_x[:0]
-        if len(held_g):
-            yield from groups(held_g, held_x)
-
-    found = stage(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
-    links = found.filter("a <> b")
-    if found.filter("a = b").limit(1).count():
-        if radius % 2:  # half an odd radius reaches one bit too far
-            raise ValueError("groups this large need an even radius")
-        half = [0] + [sum(1 << b for b in c) for k in range(1, radius // 2 + 1) for c in combinations(range(BITS), k)]
-        points = found.filter("a = b").select(
-            F.col("a").alias("fp"), F.explode(F.array(*[F.lit(signed(h)) for h in half])).alias("h")).select(
-            "fp", F.col("fp").bitwiseXOR(F.col("h")).alias("mid"))
-        points = stage(points, "midpoints")
-        least = points.groupBy("mid").agg(F.min("fp").alias("a"))
-        met = points.join(least, "mid").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
-        links = links.union(met)
+                yield from groups(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+            if limit and len(held[0]) > limit:
+                yield out(1, *held)
+                large, held = held[0][0], [np.empty(0, np.int64)] * 4
+        if len(held[0]):
+            yield from groups(*held)
+    return dealt.select("g", "node", "fp", "check").mapInArrow(run, "kind int, g long, a long, fp long, check long")
+
+
+def link(marks: DataFrame, radius: int = 4, check_radius: int = BITS) -> DataFrame:
+    """(a, b): enough links to connect all nodes that any links connect. ``marks``: (node, fp, check)
+    with few repeats; two nodes link if their ``fp`` differ in at most ``radius`` bits and their
+    ``check`` in at most ``check_radius``.
+
+    Each probe value's group is compared in one task, where a set found connected is not
+    compared twice. A group of over ``GROUP`` members is cut into blocks by a hash of the node, and each
+    two blocks are compared in a task of their own."""
+    masks = plan(marks, radius)
+    if not masks:
+        return marks.sparkSession.createDataFrame([], "a long, b long")
+    probes = F.explode(F.array(*[F.struct(F.lit(k).alias("v"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("x"))
+                                 for k, m in enumerate(masks)])).alias("p")
+    dealt = marks.select("node", "fp", "check", probes).select(F.xxhash64("p.v", "p.x").alias("g"), "node", "fp", "check")
+    found = stage(_compare(dealt.repartition("g").sortWithinPartitions("g"), radius, check_radius, GROUP).distinct(), "links")
+    links = found.filter("kind = 0").select("a", F.col("fp").alias("b"))
+    hot = found.filter("kind = 1")
+    if hot.limit(1).count():
+        blocks = hot.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / (GROUP // 2)).alias("n"))
+        own = F.pmod(F.xxhash64("a", F.lit(1)), F.col("n"))
+        pairs = hot.join(blocks, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        pairs = pairs.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"),
+                             F.col("a").alias("node"), "fp", "check")
+        more = _compare(pairs.repartition("g").sortWithinPartitions("g"), radius, check_radius, None)
+        links = links.union(more.select("a", F.col("fp").alias("b")))
     return links
 
 
@@ -251,9 +259,33 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     without doc_id has that of its component (null if it has none at all)."""
     marks = stage(fingerprints(two_columns(docs), width), "fingerprints")
     distinct = stage(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(link(distinct.select("fp"), radius))
+    nodes = distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("check"))
+    roots = components(link(nodes, radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marks.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = 8, check_radius: int = 13, width: int = 5) -> DataFrame:
+    """``docs`` without near copies: of each group the row of least doc_id stays, with all its
+    columns. Two texts are near copies if the fingerprints of their distinct words differ in at most
+    ``radius`` bits and those of their ``width``-word shingles in at most ``check_radius`` (a shingle
+    similarity of 0.8 is 10 bits on average; unrelated texts differ in 32). Probes use the first, as single words
+    change less than shingles; the second verifies. Texts without words are equal to each other.
+    Rows of one doc_id are rows of their own; of rows alike in all, one stays."""
+    keyed, key = identified(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in slices(batches):
+            yield pa.RecordBatch.from_pydict({
+                "_key": pa.array(ids, pa.int64()),
+                "fp": pa.array([simhash(t, 1, distinct=True) for t in texts], pa.int64()),
+                "check": pa.array([simhash(t, width, distinct=True) for t in texts], pa.int64())})
+    marks = stage(keyed.select(F.col(key), F.col("text").cast("string")).mapInArrow(run, "_key long, fp long, check long"), "fingerprints")
+    distinct = stage(marks.groupBy("fp", "check").agg(F.min("_key").alias("node")), "distinct")
+    roots = components(link(distinct, radius, check_radius))
+    gone = marks.join(distinct, ["fp", "check"]).join(roots.withColumnRenamed("root", "_root"), "node", "left").filter(
+        F.col("_key") != F.coalesce("_root", "node")).select(F.col("_key").alias(key))
+    return keyed.join(gone, key, "left_anti").drop(key).select(*docs.columns)

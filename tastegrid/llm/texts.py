@@ -24,19 +24,21 @@ def two_columns(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with ``_key``: a unique long that orders the rows by doc_id (nulls
-    first) and, for rows of one doc_id, by text hash. Where doc_id is unique and never null it is
-    the key itself and nothing moves; otherwise the rows are sorted and written once, as a
-    generated key must not change when a task runs again."""
-    docs = two_columns(docs)
+def identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a unique long key, and the key's column name, one that ``docs`` does not hold.
+    The key orders the rows by doc_id (nulls first) and, for rows of one doc_id, by text hash. Where
+    doc_id is unique and never null it is the key itself and nothing moves; otherwise the rows
+    are sorted and written once, as a generated key must not change when a task runs again."""
+    key = "_row_key"
+    while key in docs.columns:
+        key += "_"
     n, known, most = docs.groupBy("doc_id").count().agg(
         F.sum("count"), F.sum(F.when(F.col("doc_id").isNotNull(), F.col("count"))), F.max("count")).first()
     if not n or (known == n and most == 1):
-        return docs.withColumn("_key", F.col("doc_id"))
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    return stage(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    return stage(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def slices(batches: Iterable[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[tuple[list, list[str]]]:
