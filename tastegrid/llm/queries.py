@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tastegrid.llm import byte_bpe, simhash, token_counts as counts
+from tastegrid.llm import byte_bpe, edit_embedding, simhash, token_counts as counts
 from tastegrid.llm.registry import query, table
 
 
@@ -21,3 +21,8 @@ def op3_byte_bpe(spark, sf_dir):
 @query("op2_simhash")
 def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4)
+
+
+@query("op10_edit_embedding")
+def op10_edit_embedding(spark, sf_dir):
+    return edit_embedding.edited_likeness(table(spark, sf_dir, "documents"))
