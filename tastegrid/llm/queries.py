@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tastegrid.llm import byte_bpe, edit_embedding, simhash, token_counts as counts
+from tastegrid.llm import byte_bpe, edit_embedding, kd_shards, simhash, token_counts as counts
 from tastegrid.llm.registry import query, table
 
 
@@ -26,3 +26,8 @@ def op2_simhash(spark, sf_dir):
 @query("op10_edit_embedding")
 def op10_edit_embedding(spark, sf_dir):
     return edit_embedding.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op6_kd_shards")
+def op6_kd_shards(spark, sf_dir):
+    return kd_shards.kd_shards(table(spark, sf_dir, "documents"), leaves=24)
