@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tastegrid.llm import byte_bpe, edit_embedding, kd_shards, simhash, token_counts as counts
+from tastegrid.llm import byte_bpe, edit_embedding, kd_shards, simhash, token_counts as counts, toxicity
 from tastegrid.llm.registry import query, table
 
 
@@ -31,3 +31,8 @@ def op10_edit_embedding(spark, sf_dir):
 @query("op6_kd_shards")
 def op6_kd_shards(spark, sf_dir):
     return kd_shards.kd_shards(table(spark, sf_dir, "documents"), leaves=24)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
