@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tastegrid.llm import byte_bpe, edit_embedding, kd_shards, simhash, token_counts as counts, toxicity
+from tastegrid.llm import byte_bpe, edit_embedding, fm_index, kd_shards, simhash, token_counts as counts, toxicity
 from tastegrid.llm.registry import query, table
 
 
@@ -36,3 +36,8 @@ def op6_kd_shards(spark, sf_dir):
 @query("op5_toxicity")
 def op5_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_fm_index")
+def op1_fm_index(spark, sf_dir):
+    return fm_index.substring_dedup(table(spark, sf_dir, "documents"), width=20)
