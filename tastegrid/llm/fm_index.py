@@ -14,10 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tastegrid.llm.repeats import Units, covered, repeated_ranges, with_ranges
-from tastegrid.llm.texts import identified
+from tastegrid.llm.texts import identified, key_free_select
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -133,11 +132,6 @@ def later_windows(content: list[np.ndarray], windows: np.ndarray, keys: np.ndarr
     return np.split(out, np.cumsum(windows)[:-1])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    keyed, key = identified(docs)
-    return keyed.select(F.col(key).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def repeated_words(docs: DataFrame, width: int = 20, gram: int = 5) -> DataFrame:
     """(key, start, end) over the words of ``docs`` (_key, doc_id, text): ranges covered by windows
     that also start earlier."""
@@ -149,7 +143,7 @@ def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
     words covers it that also starts earlier, by doc_id and place; what stays is judged on the input. A null text
     has no words, and neither it nor a text shorter than a window loses any. A null doc_id comes first;
     rows of one doc_id follow each other by text hash, as documents of their own."""
-    docs = _keyed(docs)
+    docs = key_free_select(*identified(docs))
     joined = with_ranges(docs, repeated_words(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +164,7 @@ def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, width: int = 20) -> DataFrame:
     """(doc_id, first_word, n_words, passage): the removed passages themselves, merged."""
-    docs = _keyed(docs)
+    docs = key_free_select(*identified(docs))
     joined = with_ranges(docs, repeated_words(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

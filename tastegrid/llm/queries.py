@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tastegrid.llm import byte_bpe, edit_embedding, fm_index, kd_shards, simhash, token_counts as counts, toxicity
+from tastegrid.llm import byte_bpe, edit_embedding, fm_index, kd_shards, simhash, suffix_dedup, token_counts as counts, toxicity
 from tastegrid.llm.registry import query, table
 
 
@@ -41,3 +41,8 @@ def op5_toxicity(spark, sf_dir):
 @query("op1_fm_index")
 def op1_fm_index(spark, sf_dir):
     return fm_index.substring_dedup(table(spark, sf_dir, "documents"), width=20)
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), width=200)

@@ -41,6 +41,11 @@ def identified(docs: DataFrame) -> tuple[DataFrame, str]:
     return stage(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
+def key_free_select(keyed: DataFrame, key: str) -> DataFrame:
+    """(_key, doc_id, text) of an ``identified`` table."""
+    return keyed.select(F.col(key).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def slices(batches: Iterable[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) in slices of about ``chars`` characters; a null text is the empty text."""
     ids: list = []
