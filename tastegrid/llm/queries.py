@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tastegrid.llm import byte_bpe, edit_embedding, fm_index, kd_shards, simhash, suffix_dedup, token_counts as counts, toxicity
+from tastegrid.llm import byte_bpe, decontam, edit_embedding, fm_index, kd_shards, simhash, suffix_dedup, token_counts as counts, toxicity
 from tastegrid.llm.registry import query, table
 
 
@@ -46,3 +46,8 @@ def op1_fm_index(spark, sf_dir):
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark, sf_dir):
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), width=200)
+
+
+@query("op4_decontam", decontam.SQL)
+def op4_decontam(spark, sf_dir):
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
