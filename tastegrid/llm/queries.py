@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tastegrid.llm import byte_bpe, decontam, edit_embedding, fm_index, kd_shards, simhash, suffix_dedup, token_counts as counts, toxicity
+from tastegrid.llm import byte_bpe, decontam, edit_embedding, fm_index, kd_shards, licenses, simhash, suffix_dedup, token_counts as counts, toxicity
 from tastegrid.llm.registry import query, table
 
 
@@ -51,3 +51,8 @@ def op8_suffix_dedup(spark, sf_dir):
 @query("op4_decontam", decontam.SQL)
 def op4_decontam(spark, sf_dir):
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_licenses")
+def op7_licenses(spark, sf_dir):
+    return licenses.licenses(table(spark, sf_dir, "documents"))
