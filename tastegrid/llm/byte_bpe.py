@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastegrid.llm.texts import Memo, Words, slices, two_columns, unicode_classes
 
@@ -239,3 +240,28 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "n_tokens": pa.array(n, pa.int64()),
                                               "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b)})
     return two_columns(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def with_tokens(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with ``ids`` (array<int>), ``n_tokens`` and ``decodes`` (whether the ids decode to the text's bytes)
+    after its own columns. A null text has no ids. Columns of these names are replaced."""
+    shared = _shared(docs.sparkSession, path)
+    own = [c for c in docs.columns if c not in ("ids", "n_tokens", "decodes")]
+    rows = docs.select(*own)
+    at = own.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                coded = bpe.encode(texts)
+                ids = [np.concatenate([*x, np.empty(0, np.int32)]) for x, _ in coded]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()),
+                     pa.array([raw == t.encode("utf-8", "surrogatepass") for (_, raw), t in zip(coded, texts)], pa.bool_())],
+                    names=[*part.schema.names, "ids", "n_tokens", "decodes"])
+    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("n_tokens", T.LongType()), T.StructField("decodes", T.BooleanType())])
+    return rows.mapInArrow(run, schema)

@@ -14,6 +14,7 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -209,9 +210,9 @@ def common_prefix(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray
 
 
 def shared_windows(content: list[np.ndarray], windows: np.ndarray, keys: np.ndarray, starts: np.ndarray, width: int,
-                   budget: int = QUEUE_BYTES) -> list[np.ndarray]:
-    """For each segment, which of its windows also stand elsewhere in the shard. The last place of a
-    segment that is not the beginning of a window does not count."""
+                   budget: int = QUEUE_BYTES, later: bool = False) -> list[np.ndarray]:
+    """For each segment, which of its windows also stand elsewhere in the shard, or with ``later``,
+    elsewhere before it by key and place. Places that begin no window do not count."""
     size = np.array([len(c) for c in content])
     text = np.concatenate(content)
     order = induced_suffix_array(text, width, budget)
@@ -231,13 +232,20 @@ def shared_windows(content: list[np.ndarray], windows: np.ndarray, keys: np.ndar
     distinct = np.bincount(g[by][new], minlength=int(group[-1]) + 1)
     hit = np.zeros(len(text), bool)
     hit[place] = distinct[g] > 1
+    if later:  # the first of each group, in every segment that holds it
+        head = np.flatnonzero(np.append(True, g[by][1:] != g[by][:-1]))
+        first_of = np.zeros(int(group[-1]) + 1, np.int64)
+        first_of[g[by][head]] = by[head]
+        f = first_of[g]
+        hit[place[(k == k[f]) & (p == p[f])]] = False
     return [h[:w] for h, w in zip(np.split(hit, np.cumsum(size)[:-1]), windows)]
 
 
 def repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 40, first_stays: bool = False) -> DataFrame:
     """(key, start, end) over the bytes of ``docs`` (_key, doc_id, text): ranges covered by strings of ``width`` bytes
-    that start anywhere else too."""
-    return repeated_ranges(docs, False, width, gram, shared_windows, first_stays=first_stays)
+    that start anywhere else too, or with ``first_stays`` earlier."""
+    match = partial(shared_windows, later=True) if first_stays else shared_windows
+    return repeated_ranges(docs, False, width, gram, match, first_stays=first_stays)
 
 
 def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
@@ -262,3 +270,35 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
                 "doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def drop_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
+    """``docs`` with the repeated bytes cut from their texts, all other columns and all rows kept: of equal strings
+    of ``width`` bytes the first by doc_id and place stays. Cuts are drawn in to whole characters; n_chars, where
+    the table has it, follows. A null text stays null."""
+    keyed, key = identified(docs)
+    ranges = repeated_bytes(key_free_select(keyed, key), width, first_stays=True)
+    lists = ranges.distinct().groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias("_ranges"))
+    joined = keyed.join(lists, key, "left").select(*docs.columns, F.col("_ranges").alias("_cut_ranges"))
+    at, kind = docs.columns.index("text"), docs.schema["text"].dataType.simpleString()
+
+    def cut(text, ranges):
+        raw = text.encode("utf-8", "surrogatepass")
+        out = covered(len(raw), ranges)
+        inner = (np.frombuffer(raw, np.uint8) & 0xC0) == 0x80  # bytes inside a character
+        lead = np.flatnonzero(~inner)
+        whole = np.logical_and.reduceat(out, lead) if len(lead) else out
+        gone = np.repeat(whole, np.diff(np.append(lead, len(raw))))
+        return np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "surrogatepass")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if r is None or t is None else cut(t, r)
+                     for t, r in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+    out = joined.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns and kind == "string":
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
