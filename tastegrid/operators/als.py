@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.functions.vectors import dot
 from tastegrid.operators import blocks
-from tastegrid.session import shared_dir
+from tastegrid.session import shared_dir, stage
 
 
 def _estimator(user: str, item: str, value: str, seed: int, **params) -> ALS:
@@ -38,12 +38,9 @@ def als_tune(train: DataFrame, ranks: list[int] = (10, 20), regs: list[float] =
     grid = (ParamGridBuilder().addGrid(als.rank, list(ranks)).addGrid(als.regParam, list(regs))
             .addGrid(als.maxIter, list(iters)).build())
     judge = RegressionEvaluator(metricName="rmse", labelCol=value, predictionCol="prediction")
-    train = train.persist()  # read once, used by folds × grid fits
-    try:
-        fitted = CrossValidator(estimator=als, estimatorParamMaps=grid, evaluator=judge,
-                                numFolds=folds, parallelism=parallelism, seed=seed).fit(train)
-    finally:
-        train.unpersist()
+    train = stage(train, "train")  # read once, used by folds × grid fits
+    fitted = CrossValidator(estimator=als, estimatorParamMaps=grid, evaluator=judge,
+                            numFolds=folds, parallelism=parallelism, seed=seed).fit(train)
     scores = [float(m) for m in fitted.avgMetrics]
     rows = [(int(p[als.rank]), float(p[als.regParam]), int(p[als.maxIter]), m, m == min(scores))
             for p, m in zip(grid, scores)]

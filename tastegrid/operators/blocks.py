@@ -150,13 +150,19 @@ def run_blocks(parts: list[DataFrame], task: BlockTask, lblk: Blocked, rblk: Blo
 # --- inside tasks -------------------------------------------------------------------
 
 def _unpack(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
-    """Packed rows as flat columns, a bounded number at a time."""
+    """Packed rows as flat columns, a bounded number at a time. Rows with a vector and rows
+    without never share a part, so a long mask is not widened to the vectors' width."""
     size = batch.column("slots").value_lengths().to_numpy(zero_copy_only=False)
     ends = np.cumsum(size)
+    has = np.zeros(len(size), bool)
+    if "vec" in batch.schema.names:
+        has = batch.column("vec").value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0
+    turns = np.append(np.flatnonzero(has[1:] != has[:-1]) + 1, len(size))
     a = 0
     while a < len(size):
         before = ends[a - 1] if a else 0
         b = max(a + 1, int(np.searchsorted(ends, before + ROWS_AT_ONCE, side="right")))
+        b = min(b, int(turns[np.searchsorted(turns, a, side="right")]))
         part, n = batch.slice(a, b - a), size[a:b]
         cols = {c: np.repeat(part.column(c).to_numpy(), n) for c in ("at", "kind", "key")}
         for c, name in (("slot", "slots"), ("id", "ids"), ("w", "ws")):
@@ -187,7 +193,10 @@ def _stream(batches, task):
     carry, current = None, None
     for cols in (part for batch in batches for part in _unpack(batch)):
         if carry is not None:
-            cols = _join(carry, cols)
+            if carry["at"][-1] == cols["at"][0] and carry["key"][-1] == cols["key"][0]:
+                cols = _join(carry, cols)
+            else:
+                current = yield from _consume(carry, current, task)
         at, key = cols["at"], cols["key"]
         new = (at[1:] != at[:-1]) | (key[1:] != key[:-1])
         ends = np.flatnonzero(new)
@@ -307,7 +316,7 @@ class BlockTask:
     def universe(self, side: str, rows) -> None:
         self.ids(side, rows["slot"], rows["id"])
         self.default[side][rows["slot"]] = rows["w"]
-        if "vec" in rows:
+        if "vec" in rows and rows["vec"].shape[1]:
             v = rows["vec"]
             if self.vec[side] is None:
                 self.vec[side] = np.zeros((0, v.shape[1]))

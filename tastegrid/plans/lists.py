@@ -223,8 +223,10 @@ def tfidf_documents(spark, sf):
     return content.term_weights(docs, item="doc_id", text="text").select("doc_id", "token", r("weight", "weight"))
 
 
-@query("item_content_similarity", """WITH s AS (SELECT a.item_id, b.item_id AS other_id, round(SUM(a.weight * b.weight), 8) AS score
-      FROM weights a JOIN weights b ON a.token = b.token AND a.item_id <> b.item_id GROUP BY a.item_id, b.item_id)
+@query("item_content_similarity", """WITH h AS (SELECT a.item_id, b.item_id AS other_id, SUM(a.weight * b.weight) AS score
+      FROM weights a JOIN weights b ON a.token = b.token AND a.item_id <> b.item_id GROUP BY a.item_id, b.item_id),
+    s AS (SELECT a.item_id, b.item_id AS other_id, round(COALESCE(h.score, 0.0), 8) AS score FROM items a
+      JOIN items b ON a.item_id <> b.item_id LEFT JOIN h ON h.item_id = a.item_id AND h.other_id = b.item_id)
     SELECT item_id, other_id, score, rn AS rank FROM (SELECT *, ROW_NUMBER() OVER
       (PARTITION BY item_id ORDER BY score DESC, other_id) AS rn FROM s) WHERE rn <= 5""")
 def item_content_similarity(spark, sf):
@@ -283,17 +285,18 @@ def content_topn_counts(spark, sf):
 # --- hybrid and explanations -----------------------------------------------------------------
 
 
-def _hybrid(spark, sf, alphas=(0.5,)):
-    users, items, ratings = cf_sides(spark, sf)
-    pool = als.dot_topn(users, items, 100).select("user_id", "item_id", "score")
-    cands = ranking.anti_seen(pool, ratings)
+def _hybrid(spark, sf, alphas=(0.5,), sides=None):
+    """Lists of every user with ratings, over all items; the given vectors or ``sides``."""
+    ratings, items = v.kept_ratings(spark, sf), v.items(spark, sf)
+    users, rights = sides(ratings) if sides else (v.factors(spark, sf),) * 2
     weights = weights_of(spark, sf)
-    profile = content.user_profile(liked_of(ratings), weights, v.items(spark, sf))
-    return users, items, ratings, hybrid.hybrid(cands, profile, weights, alphas)
+    profile = stage(content.user_profile(liked_of(ratings), weights, items), "profile")
+    return users, rights, ratings, hybrid.hybrid(
+        users, rights, profile, weights, ratings.select("user_id"), items, ratings, alphas)
 
 
 def _hybrid_cols():
-    return [r("cf_score", "cf_score", 8), r("content_score", "content_score"), r("hybrid_score", "hybrid_score", 10)]
+    return [r("cf_score", "cf_score", 8), r("content_score", "content_score"), r("hybrid_score", "hybrid_score", 8)]
 
 _HYBRID_SQL = """SELECT user_id, item_id, {}cf_score, round(content_score, 6) AS content_score,
     hybrid_score, rank FROM hybrid WHERE rank <= 5 {}"""
@@ -311,21 +314,20 @@ def hybrid_alpha_sweep(spark, sf):
 
 @query("hybrid_als")
 def hybrid_als(spark, sf):
-    """The blend with fitted ALS scores: pool of 100 per user, seen items removed."""
-    ratings, items = v.kept_ratings(spark, sf), v.items(spark, sf)
-    model = als.als_fit(ratings)
-    cands = ranking.anti_seen(als.als_candidates(model, 100), ratings)
-    weights = weights_of(spark, sf)
-    profile = content.user_profile(liked_of(ratings), weights, items)
-    top = hybrid.hybrid(cands, profile, weights)
-    return top.join(items, "item_id").select("user_id", "item_id", "title", "genres", *_hybrid_cols(), "rank")
+    """The blend with fitted ALS scores over all unseen items."""
+    def fitted(ratings):
+        m = als.als_fit(ratings)
+        return [side.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"))
+                for side in (m.userFactors, m.itemFactors)]
+    top = _hybrid(spark, sf, sides=fitted)[-1]
+    return top.join(v.items(spark, sf), "item_id").select("user_id", "item_id", "title", "genres", *_hybrid_cols(), "rank")
 
 
 def _vectors_sql(lists: str) -> str:
-    return f"""SELECT l.user_id, MAX(u.vec) AS user_vector,
-    '{{' || string_agg('"' || l.item_id || '":' || v.vec, ',' ORDER BY l.rank) || '}}' AS item_vectors FROM {lists} l
-    JOIN (SELECT id, {JSON_VEC} AS vec FROM factors) v ON v.id = l.item_id
-    JOIN (SELECT id, {JSON_VEC} AS vec FROM factors) u ON u.id = l.user_id GROUP BY l.user_id"""
+    return f"""SELECT l.user_id, COALESCE(MAX(u.vec), 'null') AS user_vector,
+    '{{' || string_agg('"' || l.item_id || '":' || COALESCE(v.vec, 'null'), ',' ORDER BY l.rank) || '}}' AS item_vectors FROM {lists} l
+    LEFT JOIN (SELECT id, {JSON_VEC} AS vec FROM factors) v ON v.id = l.item_id
+    LEFT JOIN (SELECT id, {JSON_VEC} AS vec FROM factors) u ON u.id = l.user_id GROUP BY l.user_id"""
 
 
 @query("latent_vectors_json", _vectors_sql("lists"))
@@ -340,10 +342,10 @@ def latent_vectors_json(spark, sf):
       chr(10) ORDER BY rank) AS t FROM recs JOIN items USING (item_id) GROUP BY user_id),
     liked_text AS (SELECT user_id, string_agg('- ' || title || ' (' || genres || ')', chr(10) ORDER BY rn) AS t FROM
       (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS rn FROM liked) JOIN items USING (item_id)
-      WHERE rn <= 5 GROUP BY user_id)
+      GROUP BY user_id)
     SELECT r.user_id, 'Latent vectors of the user: ' || user_vector || chr(10) || 'Latent vectors of the items: ' || item_vectors
       || chr(10) || 'Top recommendations:' || chr(10) || r.t || chr(10) || 'Top liked items:' || chr(10) || COALESCE(l.t, '(none)')
-      || chr(10) || 'Blend: score = content * 0.50 + collaborative * 0.50' || chr(10)
+      || chr(10) || 'Blend: score = content * 0.5 + collaborative * 0.5' || chr(10)
       || 'Explain the user''s preferences, the effect of the blend, why these items fit, and which other items to consider.' AS prompt
     FROM rec_text r JOIN vectors USING (user_id) LEFT JOIN liked_text l ON l.user_id = r.user_id""")
 def explain_prompts(spark, sf):

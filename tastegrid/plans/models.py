@@ -286,6 +286,13 @@ def als_grid_cv(spark, sf):
     return als.als_tune(train)[1]
 
 
+@query("als_grid_cv_full")
+def als_grid_cv_full(spark, sf):
+    """The whole grid of 18: ranks, regularisations and iterations."""
+    _, train, _ = parts(spark, sf)
+    return als.als_tune(train, ranks=[10, 15, 20], regs=[0.01, 0.1, 0.5], iters=[5, 10])[1]
+
+
 @query("als_best_params")
 def als_best_params(spark, sf):
     _, train, _ = parts(spark, sf)

@@ -79,16 +79,16 @@ VIEWS: dict[str, str] = {
     "cf_unseen": """SELECT * FROM cf_all ANTI JOIN ratings USING (user_id, item_id)""",
     "cf_top": """SELECT user_id, item_id, score, rn AS rank FROM (SELECT *, ROW_NUMBER() OVER
         (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn FROM cf_unseen) WHERE rn <= 5""",
-    "cf_pool": """SELECT user_id, item_id, score FROM (SELECT *, ROW_NUMBER() OVER
-        (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn FROM cf_all) WHERE rn <= 100""",
-    "cf_cands": "SELECT * FROM cf_pool ANTI JOIN ratings USING (user_id, item_id)",
-    "cand_scores": """SELECT user_id, item_id, score AS cf_score, COALESCE(content, 0.0) AS content_score FROM cf_cands
-        LEFT JOIN (SELECT c.user_id, c.item_id, SUM(w.weight * p.weight) AS content FROM cf_cands c
-          JOIN weights w USING (item_id) JOIN profile p ON p.user_id = c.user_id AND p.token = w.token
-          GROUP BY c.user_id, c.item_id) USING (user_id, item_id)""",
-    "hybrid": """SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, alpha ORDER BY hybrid_score DESC, item_id) AS rank
+    "cand_scores": """SELECT u.user_id, i.item_id, COALESCE(c.score, 0.0) AS cf_score, COALESCE(t.content, 0.0) AS content_score
+        FROM (SELECT DISTINCT user_id FROM ratings) u CROSS JOIN items i ANTI JOIN ratings x ON x.user_id = u.user_id AND x.item_id = i.item_id
+        LEFT JOIN (SELECT u.id AS user_id, v.id AS item_id, list_dot_product(u.features, v.features) AS score FROM factors u CROSS JOIN factors v) c
+          ON c.user_id = u.user_id AND c.item_id = i.item_id
+        LEFT JOIN (SELECT p.user_id, w.item_id, SUM(w.weight * p.weight) AS content FROM profile p JOIN weights w USING (token)
+          GROUP BY p.user_id, w.item_id) t ON t.user_id = u.user_id AND t.item_id = i.item_id""",
+    "hybrid": """SELECT user_id, item_id, alpha, round(cf_score, 8) + 0.0 AS cf_score, content_score, hybrid_score,
+        ROW_NUMBER() OVER (PARTITION BY user_id, alpha ORDER BY hybrid_score DESC, item_id) AS rank
         FROM (SELECT user_id, item_id, CAST(alpha AS DOUBLE) AS alpha, cf_score, content_score,
-          round(alpha * content_score + (1 - alpha) * cf_score, 10) AS hybrid_score
+          round(alpha * content_score + (1 - alpha) * cf_score, 8) + 0.0 AS hybrid_score
           FROM cand_scores CROSS JOIN (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) a(alpha))""",
     "user_sim": """SELECT a.user_id AS a, b.user_id AS b, COUNT(*) AS common,
         round(SUM(a.rating*b.rating) / sqrt(CAST(SUM(a.rating*a.rating) AS DOUBLE) * SUM(b.rating*b.rating)), 8) AS sim

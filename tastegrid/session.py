@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named and not current and not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     base = named or current or tempfile.mkdtemp(prefix="tastegrid-")
+    if base.startswith("file:") and sc.master.startswith(("yarn", "k8s", "spark:")):
+        raise RuntimeError("spark.checkpoint.dir names a folder of one machine")
     if not current:
         sc.setCheckpointDir(base)
     return base

@@ -112,10 +112,39 @@ def test_alpha_zero_and_one_give_the_two_orders(spark, catalog):
     texts = content.item_text(catalog)
     w = content.term_weights(texts)
     profile = content.user_profile(pairs(spark, [(1, 2)]), w, texts)
-    cands = spark.createDataFrame([(1, 1, 0.1), (1, 3, 0.9), (1, 4, 0.5)], "user_id long, item_id long, score double")
-    top = hybrid.hybrid(cands, profile, w, (0.0, 1.0), n=3)
-    order = {a: [r["item_id"] for r in top.filter(F.col("alpha") == a).orderBy("rank").collect()] for a in (0.0, 1.0)}
-    assert order == {0.0: [3, 4, 1], 1.0: [1, 3, 4]}
+    mine = spark.createDataFrame([(1, [1.0])], "id long, features array<double>")
+    theirs = spark.createDataFrame([(1, [0.1]), (2, [9.0]), (3, [0.9]), (4, [0.5])], "id long, features array<double>")
+    users = spark.createDataFrame([(1,), (2,)], "user_id long")
+    top = hybrid.hybrid(mine, theirs, profile, w, users, texts, pairs(spark, [(1, 2)]), (0.0, 1.0), n=3)
+    order = {(u, a): [r["item_id"] for r in top.filter((F.col("alpha") == a) & (F.col("user_id") == u)).orderBy("rank").collect()]
+             for a in (0.0, 1.0) for u in (1, 2)}
+    assert order[1, 0.0] == [3, 4, 1] and order[1, 1.0] == [1, 3, 4]
+    assert order[2, 0.0] == [1, 2, 3]  # no vector, nothing liked: the lowest ids
+
+
+def test_user_who_rated_the_best_hundred_still_gets_a_list(spark):
+    mine = spark.createDataFrame([(1, [1.0])], "id long, features array<double>")
+    theirs = spark.createDataFrame([(i, [float(200 - i)]) for i in range(120)], "id long, features array<double>")
+    items = theirs.select(F.col("id").alias("item_id"))
+    none = spark.createDataFrame([], "user_id long, token string, weight double")
+    words = spark.createDataFrame([(0, "x", 1.0)], "item_id long, token string, weight double")
+    top = hybrid.hybrid(mine, theirs, none, words, mine.select(F.col("id").alias("user_id")), items,
+                        pairs(spark, [(1, i) for i in range(100)]), n=5)
+    assert [r["item_id"] for r in top.orderBy("rank").collect()] == [100, 101, 102, 103, 104]
+
+
+def test_long_masks_are_not_widened(monkeypatch):
+    """A vector row beside 500 long mask rows: the parts stay small."""
+    import pyarrow as pa
+
+    from tastegrid.operators import blocks
+    n = 500
+    batch = pa.RecordBatch.from_pydict({
+        "at": pa.array([0] + [1] * n, pa.int64()), "kind": pa.array([0] + [2] * n, pa.int32()), "key": pa.array([-1] + list(range(n)), pa.int64()),
+        "slots": pa.array([[0]] + [list(range(2_000))] * n, pa.list_(pa.int32())), "ids": pa.array([[0]] + [[0] * 2_000] * n, pa.list_(pa.int64())),
+        "ws": pa.array([[0.0]] + [[0.0] * 2_000] * n, pa.list_(pa.float64())), "vec": pa.array([[1.0] * 128] + [None] * n, pa.list_(pa.float64()))})
+    sizes = [sum(c.nbytes for c in part.values()) for part in blocks._unpack(batch)]
+    assert max(sizes) < 50 << 20
 
 
 def test_prompt_text(spark, catalog, vecs):
@@ -128,6 +157,7 @@ def test_prompt_text(spark, catalog, vecs):
     text = hybrid.explain_prompts(recs, liked, vectors, items).first()["prompt"]
     assert "- blue ring (Drama) 0.250\n-  (Comedy) 0.000" in text
     assert text.index("The Red Ring! (Drama|Sci-Fi)") < text.index("- x ()")
+    assert "content * 0.5 + collaborative * 0.5" in text
     assert "0.250" not in hybrid.explain_prompts(recs, liked, vectors, items, include_content=False).first()["prompt"]
 
 
