@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tastegrid.operators import als, cleaning, content, hybrid, quality, ranking, stats
+from tastegrid.operators import als, cleaning, content, hybrid, quality, ranking, stats, svd
 from tastegrid.operators.baseline import baseline
-from tastegrid.plans.models import cf_sides, parts, tagged
+from tastegrid.plans.models import cf_sides, parts, tagged, unseen_topn
 from tastegrid.plans.registry import query, r
 from tastegrid.plans.tables import DOC_TOKENS, JSON_VEC
 from tastegrid.session import stage
@@ -195,6 +195,31 @@ def model_report(spark, sf):
     return report.select("model", "metric", r("value", "value"))
 
 
+@query("model_comparison")
+def model_comparison(spark, sf):
+    """Held-out errors of both fitted models beside the simple ones, and the quality of the fitted models' lists
+    of unseen items, each judged by its own item vectors."""
+    ratings, train, test = parts(spark, sf)
+    errors = [stats.rmse_of().alias("rmse"), stats.mae_of().alias("mae")]
+    means = stage(stats.group_mean(train, "user_id"), "means")
+    model, f = als.als_fit(train), svd.truncated_svd(train, 6, center=True)
+    pop, liked = stats.popularity(ratings, form="log"), liked_of(ratings)
+    vectors = stage(model.itemFactors.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features")), "als")
+    fitted = {
+        "als": (als.als_predict(model, test), unseen_topn(model, ratings, 5), vectors),
+        "svd": (svd.svd_predict(test, f, means), svd.svd_topn(f, ratings, n=5, user_mean=means), f.items)}
+    table = {"global mean": test.withColumn("est", train.agg(F.avg("rating")).scalar()).agg(*errors),
+             "baseline": baseline(test, train).agg(*errors)}
+    for name, (estimates, lists, items) in fitted.items():
+        lists = stage(lists.select("user_id", "item_id", "rank"), name)
+        table[f"{name} errors"] = estimates.agg(*errors)
+        per_user = (quality.novelty(lists, pop).join(quality.diversity(lists, items), "user_id", "left")
+                    .join(quality.serendipity(lists, liked, items), "user_id", "left"))
+        table[f"{name} lists"] = per_user.agg(*[F.avg(m).alias(m) for m in ("novelty", "diversity", "serendipity")])
+    report = stats.model_report(table)
+    return report.select(F.regexp_replace("model", " (errors|lists)$", "").alias("model"), "metric", r("value", "value"))
+
+
 # --- content -------------------------------------------------------------------------------
 
 

@@ -321,7 +321,7 @@ def als_recommend_all(spark, sf):
     return als.als_candidates(als.als_fit(train))
 
 
-def _unseen_topn(model, seen, n):
+def unseen_topn(model, seen, n):
     """The n best items per user among those the user has not rated: seen pairs are masked
     before the ranking, so no pool can run short."""
     users, items = ([s.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"))
@@ -333,13 +333,13 @@ def _unseen_topn(model, seen, n):
 def als_unseen(spark, sf):
     _, train, test = parts(spark, sf)
     seen = ranking.seen_pairs(train, test)
-    return _unseen_topn(als.als_fit(train), seen, 100).select("user_id", "item_id", "score")
+    return unseen_topn(als.als_fit(train), seen, 100).select("user_id", "item_id", "score")
 
 
 @query("als_topn")
 def als_topn(spark, sf):
     ratings, train, _ = parts(spark, sf)
-    top = _unseen_topn(als.als_fit(train), ratings, 5)
+    top = unseen_topn(als.als_fit(train), ratings, 5)
     return top.join(v.items(spark, sf), "item_id", "left").select("user_id", "item_id", "score", "rank", "title", "genres")
 
 
