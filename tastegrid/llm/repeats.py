@@ -131,12 +131,13 @@ def repeated_ranges(docs: DataFrame, words: bool, width: int, gram: int, match:
     ``match(segments, windows, keys, starts, width)`` tells the repeated windows of each segment of a shard."""
     spark = docs.sparkSession
     rows = _segment_rows(docs, words, width, gram)
-    again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # Written before they are joined: Spark splits a hot anchor's rows only between two plain shuffles.
+    again = stage(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors")
     flagged = stage(rows.join(again, "anchor"), "segments")
     place = F.struct("key", "start")
     kinds = stage(flagged.groupBy("anchor", "seg").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"),
                                                        F.first("windows").alias("windows")), "kinds")
-    crowd = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).filter("d > 1")
+    crowd = stage(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "crowds")
     sent = stage(kinds.join(crowd, "anchor").select("anchor", "d", F.col("at.key").alias("key"), F.col("at.start").alias("start"), "windows"), "sent")
     shards = max(1, -(-sent.count() // shard))
     same = flagged.join(kinds.filter("n > 1").select("anchor", "seg", "at"), ["anchor", "seg"])
