@@ -76,7 +76,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     """Weights by feature, and the bias. Labels come only from rows that are not held out: the
     confirmed toxic ones, and the prior, which is their share of all labelled rows. The unlabelled sample
     is drawn from the same rows without looking at the label. Both samples take the rows of least id hash,
-    up to the bounds. Without a confirmed example every score is the prior, at most 0.49."""
+    up to the bounds. Without a confirmed example every
+    score is the prior, at most 0.49."""
     spark = docs.sparkSession
     known = (labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max("toxic").cast("int").alias("toxic")))
@@ -94,6 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
             yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int64()), "f": pa.array([sorted(features(t)) for t in texts], pa.list_(pa.string()))})
     read_sample = stage(chosen.mapInArrow(read, "y long, f array<string>"), "sample")
     n_p, n_u = (read_sample.filter(f"y = {y}").count() for y in (1, 0))
+    if not n_p or not n_u:  # the labelled rows' texts are not in the table
+        return {}, math.log(min(prior, 0.49) / (1 - min(prior, 0.49)))
     in_p, in_u = F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)
     share = (F.col("p") + F.col("u")) / F.lit(n_p + n_u)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)

@@ -88,7 +88,7 @@ def test_walk_is_the_same_in_any_company():
 
 
 def test_similar_groups(odd_docs):
-    groups = {r.doc_id: r.group_id for r in edit_embedding.similar(odd_docs).collect() if r.doc_id is not None and r.doc_id <= 20}
+    groups = {r.doc_id: r.group_id for r in edit_embedding.similar(odd_docs, threshold=0.5).collect() if r.doc_id is not None and r.doc_id <= 20}
     assert groups[3] == groups[4] == groups[5] == groups[20] == 3
     assert groups[1] == 1 and groups[12] == 12
 
