@@ -50,9 +50,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table used more than once to the shared folder and read it back. Cuts the
     lineage, survives lost executors, and gives later joins real sizes to plan with."""
     path = scratch_path(df.sparkSession, name)
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the tables staged so far, once the results that read them are written."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_STAGED)
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
