@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.session import stage
@@ -19,6 +19,13 @@ SLICE_CHARS = 1 << 20
 LETTER, NUMBER, OTHER, SPACE, END = 1, 2, 0, 3, 4
 
 
+def hash_share(rows: DataFrame, h: Column, wanted: int, n: int) -> DataFrame:
+    """About ``wanted`` of ``n`` rows, those of least hash share, at most twice as many: a bounded sample for
+    fitting that no task has to gather and sort."""
+    share = int(min(1.0, wanted / max(n, 1)) * (1 << 30))
+    return rows.filter(F.pmod(h, F.lit(1 << 30)) < share).limit(2 * wanted)
+
+
 def two_columns(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names, whatever else the table holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

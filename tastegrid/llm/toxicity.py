@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.texts import slices, two_columns
+from tastegrid.llm.texts import hash_share, slices, two_columns
 from tastegrid.session import stage
 
 WORD = re.compile(r"[^\W\d_]+")
 FOLDS = 5
-# Bounds of the training sample: rows confirmed toxic, and unlabelled rows.
+# Bounds (on average; twice as many at most) of the training sample: rows confirmed toxic, and unlabelled rows.
 POSITIVES, UNLABELLED = 2_000, 6_000
 # A feature is learnt if it is in so many sample texts, and more frequent among the positive ones by
 # so many standard errors.
@@ -75,8 +75,8 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], width:
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[dict[str, float], float]:
     """Weights by feature, and the bias. Labels come only from rows that are not held out: the
     confirmed toxic ones, and the prior, which is their share of all labelled rows. The unlabelled sample
-    is drawn from the same rows without looking at the label. Both samples take the rows of least id hash,
-    up to the bounds. Without a confirmed example every
+    is drawn from the same rows without looking at the label. Both samples take rows by a share of the id
+    hash that meets the bounds on average. Without a confirmed example every
     score is the prior, at most 0.49."""
     spark = docs.sparkSession
     known = (labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -86,8 +86,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     if not toxic:
         return {}, math.log(min(prior, 0.49) / (1 - min(prior, 0.49)))
     pick = known.withColumn("o", F.xxhash64("doc_id"))
-    sample = (pick.filter("toxic = 1").orderBy("o").limit(positives).select("doc_id", F.lit(1).alias("y"))
-              .union(pick.orderBy(F.xxhash64("o")).limit(unlabelled).select("doc_id", F.lit(0).alias("y"))))
+    sample = (hash_share(pick.filter("toxic = 1"), F.col("o"), positives, toxic).select("doc_id", F.lit(1).alias("y"))
+              .union(hash_share(pick, F.xxhash64("o"), unlabelled, n).select("doc_id", F.lit(0).alias("y"))))
     chosen = two_columns(docs).join(sample, "doc_id").select(F.col("y").cast("long").alias("doc_id"), "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
