@@ -25,6 +25,8 @@ from tastegrid.llm.repeats import covered, repeated_ranges, with_ranges
 from tastegrid.llm.texts import identified, key_free_select
 
 QUEUE_BYTES = 96 << 20
+# Segments of one shard: about 1.7 MB of text, whose arrays take about 150 MB in the task.
+SHARD = 6_000
 
 
 class DiskQueue:
@@ -245,7 +247,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 40, first_stay
     """(key, start, end) over the bytes of ``docs`` (_key, doc_id, text): ranges covered by strings of ``width`` bytes
     that start anywhere else too, or with ``first_stays`` earlier."""
     match = partial(shared_windows, later=True) if first_stays else shared_windows
-    return repeated_ranges(docs, False, width, gram, match, first_stays=first_stays)
+    return repeated_ranges(docs, False, width, gram, match, first_stays, SHARD)
 
 
 def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
