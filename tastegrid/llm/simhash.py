@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
+from tastegrid.llm.shingles import near_links, signatures
 from tastegrid.llm.texts import identified, slices, two_columns
 from tastegrid.session import stage
 
@@ -279,25 +280,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 10, check_radius: int = 18, width: int = 5) -> DataFrame:
+def keep_first(docs: DataFrame, share: float = 0.8, width: int = 5) -> DataFrame:
     """``docs`` without near copies: of each group the row of least doc_id stays, with all its
-    columns. Two texts are near copies if the fingerprints of their distinct words differ in at most
-    ``radius`` bits and those of their ``width``-word shingles in at most ``check_radius``: at a shingle
-    similarity of 0.8 the second differ in 10 bits on average and in 18 at most of all pairs measured, in
-    unrelated texts in 32. Probes use the first, as single words
-    change less than shingles; the second verifies. Texts without words are equal to each other.
-    Rows of one doc_id are rows of their own; of rows alike in all, one stays."""
-    keyed, key = identified(docs)
+    columns. Two texts are near copies if their sets of ``width``-word shingles have at least ``share`` of
+    their union in common, and groups follow the links. Texts without words are equal to each other.
+    Rows of one doc_id are rows of their own; of rows alike in all, one stays.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches):
-            yield pa.RecordBatch.from_pydict({
-                "_key": pa.array(ids, pa.int64()),
-                "fp": pa.array([simhash(t, 1, distinct=True) for t in texts], pa.int64()),
-                "check": pa.array([simhash(t, width, distinct=True) for t in texts], pa.int64())})
-    marks = stage(keyed.select(F.col(key), F.col("text").cast("string")).mapInArrow(run, "_key long, fp long, check long"), "fingerprints")
-    distinct = stage(marks.groupBy("fp", "check").agg(F.min("_key").alias("node")), "distinct")
-    roots = components(link(distinct, radius, check_radius))
-    gone = marks.join(distinct, ["fp", "check"]).join(roots.withColumnRenamed("root", "_root"), "node", "left").filter(
-        F.col("_key") != F.coalesce("_root", "node")).select(F.col("_key").alias(key))
+    One fingerprint of 64 bits cannot propose these pairs: at 0.8 those of the shingles differ in 10 bits on
+    average and up to 18, too many to probe, and those of single words in over 10 for many texts with a
+    passage added or replaced. ``shingles`` proposes and verifies instead."""
+    keyed, key = identified(docs)
+    rows = keyed.select(F.col(key).alias("_key"), F.col("text").cast("string").alias("text"))
+    marks = stage(signatures(rows, width), "signatures")
+    roots = near_links(rows, marks, width, share)
+    named = stage(marks.select("_key", "node").join(roots, "node", "left").select("_key", F.coalesce("root", "node").alias("_root")), "named")
+    least = stage(named.groupBy("_root").agg(F.min("_key").alias("_least")), "least")
+    gone = named.join(least, "_root").filter("_key <> _least").select(F.col("_key").alias(key))
     return keyed.join(gone, key, "left_anti").drop(key).select(*docs.columns)

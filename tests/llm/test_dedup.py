@@ -190,6 +190,56 @@ def test_keep_first_drops_copies(odd_docs):
     assert {1, 2, 9, 10, 12, 13, 14, 15, 16, 22} <= set(ids)
 
 
+def test_keep_first_finds_all_edits_at_the_bar(spark):
+    """Copies with a passage appended, cut or replaced or with scattered words changed, just above and well below the bar."""
+    rng = np.random.default_rng(3)
+
+    def words(n):
+        return [f"w{x}" for x in rng.zipf(1.3, n) % 50_000]
+
+    def shingles(w):
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+
+    def like(a, b):
+        return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+    def edited(w, how, much):
+        n = max(1, int(len(w) * much))
+        if how == "append":
+            return w + words(n)
+        if how == "cut":
+            return w[:-n]
+        if how == "replace":
+            return w[:len(w) // 2] + words(n) + w[len(w) // 2 + n:]
+        out = list(w)
+        for k in range(0, len(w), max(1, int(1 / much))):
+            out[k] = "changed"
+        return out
+    rows, copies, others = [], set(), set()
+    for how, most in (("append", 0.24), ("cut", 0.19), ("replace", 0.1), ("words", 0.02)):
+        for n in (60, 200, 700):
+            for _ in range(25):
+                base = words(n)
+                near = next((x for f in (1, 0.9, 0.8, 0.6, 0.3) if like(base, x := edited(base, how, most * f)) >= 0.8), None)
+                far = words(n // 2) + base[n // 2:]
+                rows += [(len(rows), base), (len(rows) + 1, near or base), (len(rows) + 2, far)]
+                copies.add(len(rows) - 2)
+                if like(base, far) < 0.75:
+                    others.add(len(rows) - 1)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    assert len(copies) == 300 and not copies & kept
+    assert len(others) > 250 and others <= kept
+
+
+def test_keep_first_links_members_that_miss_the_least_one(spark):
+    """A chain of windows over one text: ends are far apart, neighbours near."""
+    rng = np.random.default_rng(4)
+    w = [f"w{x}" for x in rng.integers(0, 10**6, 600)]
+    docs = spark.createDataFrame([(i, " ".join(w[10 * i:10 * i + 200])) for i in range(40)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_first(docs).collect()] == [0]
+
+
 def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
