@@ -159,6 +159,22 @@ def test_op4_matches_its_sql(spark):
     assert want and sorted(tuple(r) for r in decontam.decontaminate(docs, bench).collect()) == sorted(want)
 
 
+def test_drop_leaks_of_excerpts(spark):
+    """Excerpts of 11 to 15 words from inside an item, exact or with a word changed, go; eight equal words stay."""
+    rng = np.random.default_rng(9)
+
+    def words(n):
+        return [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    item = words(60)
+    rows = [words(80) + item[20:20 + n] + words(80) for n in (11, 12, 13, 14, 15)]
+    changed = item[20:35]
+    changed[7] = "changed"
+    rows += [words(80) + changed + words(80), words(80) + item[20:28] + words(80), words(160)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontam.drop_leaks(docs, bench).collect()} == {6, 7}
+
+
 # --- licences ----------------------------------------------------------------------------
 
 
