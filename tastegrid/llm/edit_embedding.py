@@ -128,8 +128,8 @@ def _chunks(batches) -> Iterator[list[tuple]]:
 
 def _with_next(docs: DataFrame) -> DataFrame:
     """(part, turn, ord, h, doc_id, text), sorted by the first four in each partition: ranges of
-    doc_id (null first), each followed by the row after it as turn 1. Range borders are doc_ids of
-    the table, so the row after a range is the first row of the next; the last range gets the very
+    doc_id (null first), each followed by the row after it as turn 1. Range borders are the least doc_ids of
+    ranges cut at about equal counts, so the row after a range is the first row of the next; the last range gets the very
     first row. Only borders, one per range, reach the driver."""
     spark = docs.sparkSession
     ranged = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("ord"), F.xxhash64("text").alias("h"), "doc_id", "text")
@@ -140,7 +140,19 @@ def _with_next(docs: DataFrame) -> DataFrame:
     ranges = 4 * n
     borders = sorted(set(ranged.filter(F.col("ord") > first.f.ord).stat.approxQuantile(
         "ord", [k / ranges for k in range(1, ranges)], 0.1 / ranges)) if ranges > 1 else [])
-    cuts = np.array([int(b) for b in borders], np.int64)
+    # Quantiles come as doubles, which round ids beyond 2 ** 53: each range's least id is its true border.
+    rough = np.array(sorted({min(int(b), (1 << 63) - 1) for b in borders}), np.int64)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ords = b.column(0).to_numpy(zero_copy_only=False)
+            part = np.searchsorted(rough, ords, "right")
+            least = np.full(len(rough) + 1, (1 << 63) - 1, np.int64)
+            np.minimum.at(least, part, ords)
+            own = np.unique(part)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(own.astype(np.int32)), "ord": pa.array(least[own])})
+    least = ranged.select("ord").mapInArrow(parts, "part int, ord long").groupBy("part").agg(F.min("ord").alias("ord")).collect()
+    cuts = np.array(sorted(r.ord for r in least)[1:], np.int64)
     start = (first.f.ord, first.f.h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,6 +71,21 @@ def test_op10_odd_rows(odd_docs, odd_rows, no_docs):
     assert edit_embedding.edited_likeness(no_docs).collect() == []
 
 
+def test_op10_ids_beyond_doubles(spark):
+    """Ids around 2 ** 62, closer than doubles are, and the least and largest: every row comes out, with its own next one."""
+    rng = np.random.default_rng(12)
+    ids = sorted({int(x) for x in (1 << 62) + rng.integers(0, 100_000, 800)} | {-(1 << 63) + 1, (1 << 63) - 1, 5})
+    text = {i: f"text of {k} " * 3 for k, i in enumerate(ids)}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(5)
+    got = edit_embedding.edited_likeness(docs).collect()
+    want = Counter()
+    for k, i in enumerate(ids):
+        t, nxt = text[i], text[ids[(k + 1) % len(ids)]]
+        q = len(t) // 4
+        want[(i, hashlib.sha256((t[:len(t) - q] + nxt[:q]).encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 def test_op10_edits_are_nearer_than_neighbours(spark):
     docs = spark.read.parquet(SF + "/documents.parquet")
     rows = edit_embedding.edited_likeness(docs).filter("n_chars > 200").collect()
