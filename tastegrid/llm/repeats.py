@@ -5,8 +5,9 @@ the ``gram``-unit runs inside it, so equal windows have equal anchors wherever t
 windows with one anchor position form a segment. Only segments whose anchor occurs again can hold
 a repeated window. Segments equal as a whole are settled by their hash; one copy of each that shares
 its anchor with different segments is sent, with its content, to the shard of its anchor, where an
-index over the shard's segments finds the windows they have in common. An anchor with too many different segments for
-one shard sends its windows one by one, dealt by the window's own hash.
+index over the shard's segments finds the windows they have in common. The windows of an anchor with too many different
+segments for one shard are settled one by one as equal segments are: counted by their hashes, of 128 bits, before the
+shuffle, and without content, so that a passage in any number of contexts gathers in no task.
 """
 
 from __future__ import annotations
@@ -139,47 +140,62 @@ def repeated_ranges(docs: DataFrame, words: bool, width: int, gram: int, match:
                                                        F.first("windows").alias("windows")), "kinds")
     crowd = stage(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "crowds")
     sent = stage(kinds.join(crowd, "anchor").select("anchor", "d", F.col("at.key").alias("key"), F.col("at.start").alias("start"), "windows"), "sent")
-    shards = max(1, -(-sent.count() // shard))
+    few, many = F.col("d") <= shard, F.col("d") > shard
+    shards = max(1, -(-sent.filter(few).count() // shard))
     same = flagged.join(kinds.filter("n > 1").select("anchor", "seg", "at"), ["anchor", "seg"])
     if first_stays:
         same = same.filter(place != F.col("at"))
     settled = same.select("key", "start", (F.col("start") + F.col("windows") + (width - 1)).alias("end"))
-    wanted = sent.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "d")).alias("parts"))
-    named = docs.select(F.col("_key").alias("key"), "text").join(wanted, "key").select("key", "text", "parts")
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows):
-            return pa.RecordBatch.from_pydict({
-                "anchor": pa.array([r[0] for r in rows], pa.int64()), "key": pa.array([r[1] for r in rows], pa.int64()),
-                "start": pa.array([r[2] for r in rows], pa.int32()), "windows": pa.array([r[3] for r in rows], pa.int32()),
-                "content": pa.array([r[4] for r in rows], pa.binary())})
+    def named(part):
+        wanted = sent.filter(part).groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("parts"))
+        return docs.select(F.col("_key").alias("key"), "text").join(wanted, "key").select("key", "text", "parts")
+
+    def contents(batches: Iterator[pa.RecordBatch]):
+        """(anchor, key, start, windows, units) of every segment wanted."""
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part, held, size = batch.slice(at, 64), [], 0
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                u = Units(texts, words)
+                part = batch.slice(at, 64)
+                u = Units([t or "" for t in part.column(1).to_pylist()], words)
                 offsets = part.column(2).offsets.to_numpy()
                 flat = part.column(2).flatten()
-                lists = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+                lists = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
                 for k, key in enumerate(part.column(0).to_pylist()):
                     span = slice(offsets[k] - offsets[0], offsets[k + 1] - offsets[0])
-                    for start, n, anchor, d in zip(*(x[span].tolist() for x in lists)):
-                        content = u.raw[u.first[k] + start:u.first[k] + start + n + width - 1]
-                        if d <= shard:
-                            held.append((anchor, key, start, n, content.tobytes()))
-                        else:
-                            h = Hashes(mixed(content)) if not words else Hashes(content)
-                            own = np.arange(n)
-                            to = mixed(h.spans(own, own + width) % np.uint64(-(-d // shard) * 8)) ^ np.uint64(anchor & (1 << 64) - 1)
-                            for j, a in enumerate(to.view(np.int64).tolist()):
-                                held.append((a, key, start + j, 1, content[j:j + width].tobytes()))
-                        size += len(held[-1][4])
-                        if size > 1 << 22:
-                            yield out(held)
-                            held, size = [], 0
-                if held:
-                    yield out(held)
-    dealt = (named.mapInArrow(fetch, "anchor long, key long, start int, windows int, content binary")
+                    for start, n, anchor in zip(*(x[span].tolist() for x in lists)):
+                        yield anchor, key, start, n, u.raw[u.first[k] + start:u.first[k] + start + n + width - 1]
+
+    def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["h", "h2", "key", "start"])
+        held, size = [], 0
+        for anchor, key, start, n, units in contents(batches):
+            own = np.arange(n)
+            h, h2 = (Hashes(mixed(units ^ units.dtype.type(salt))).spans(own, own + width).view(np.int64) for salt in (0, 0x5A))
+            held.append((h, h2 ^ anchor, np.full(n, key, np.int64), (start + own).astype(np.int32)))
+            size += n
+            if size > 1 << 17:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows):
+            return pa.RecordBatch.from_pydict({
+                "anchor": pa.array([r[0] for r in rows], pa.int64()), "key": pa.array([r[1] for r in rows], pa.int64()),
+                "start": pa.array([r[2] for r in rows], pa.int32()), "windows": pa.array([r[3] for r in rows], pa.int32()),
+                "content": pa.array([r[4] for r in rows], pa.binary())})
+        held, size = [], 0
+        for *row, units in contents(batches):
+            held.append((*row, units.tobytes()))
+            size += len(held[-1][4])
+            if size > 1 << 22:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+    dealt = (named(few).mapInArrow(fetch, "anchor long, key long, start int, windows int, content binary")
              .select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "key", "start", "windows", "content")
              .repartition("shard").sortWithinPartitions("shard"))
     kind = np.uint64 if words else np.uint8
@@ -214,7 +230,15 @@ def repeated_ranges(docs: DataFrame, words: bool, width: int, gram: int, match:
                     x.append(v)
         if now is not None:
             yield one(held)
-    return settled.union(dealt.mapInArrow(find, "key long, start int, end int"))
+    found = settled.union(dealt.mapInArrow(find, "key long, start int, end int"))
+    if not crowd.filter(many).limit(1).count():
+        return found
+    single = stage(named(many).mapInArrow(window_hashes, "h long, h2 long, key long, start int").distinct(), "windows")
+    first = stage(single.groupBy("h", "h2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    hit = single.join(first, ["h", "h2"])
+    if first_stays:
+        hit = hit.filter(place != F.col("at"))
+    return found.union(hit.select("key", "start", (F.col("start") + width).alias("end")))
 
 
 def covered(n: int, ranges: list[dict] | None) -> np.ndarray:

@@ -110,6 +110,27 @@ def test_op8_hot_anchor_small_shards_and_disk(spark):
     assert got == {i: n for (i, _, n, _, _), _ in bytes_kept(rows).items() if n} and len(got) == 120
 
 
+@pytest.mark.parametrize("words", [True, False])
+def test_crowded_anchors_gather_in_no_shard(spark, words):
+    """A passage just over the width in 400 contexts: no shard may get its windows, and the result stays exact."""
+    rng = np.random.default_rng(6)
+    passage = " ".join(f"p{k}" for k in range(21)) if words else "".join(chr(97 + k) for k in rng.integers(0, 26, 205))
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) + " " + passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)))
+            for i in range(400)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in rows], "_key long, doc_id long, text string")
+    inner = fm_index.later_windows if words else suffix_dedup.shared_windows
+
+    def match(content, *rest):
+        assert len(content) <= 60, f"{len(content)} segments in a shard of 20"
+        return inner(content, *rest)
+    ranges = repeats.repeated_ranges(docs, words, 20 if words else 200, 5 if words else 40, match, words, shard=20)
+    size = {i: len(t.split()) if words else len(t.encode()) for i, t in rows}
+    got = {r.key: int(repeats.covered(size[r.key], [x.asDict() for x in r.parts]).sum()) for r in
+           ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("parts")).collect()}
+    want = {r[0]: r[2] for r in (words_kept(rows) if words else bytes_kept(rows)) if r[2]}
+    assert got == want and len(want) == (399 if words else 400)
+
+
 def test_induced_suffix_array():
     rng = np.random.default_rng(0)
     for trial in range(200):
