@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 
-from tastegrid.llm import byte_bpe, decontam, edit_embedding, fm_index, kd_shards, licenses, simhash, suffix_dedup, token_counts as counts, toxicity
+from tastegrid.llm import (byte_bpe, decontam, edit_embedding, fm_index, kd_shards, licenses, periodic_runs, simhash, suffix_dedup,
+                           token_counts as counts, toxicity)
 from tastegrid.llm.registry import query, table
 
 
@@ -56,3 +59,20 @@ def op4_decontam(spark, sf_dir):
 @query("op7_licenses")
 def op7_licenses(spark, sf_dir):
     return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+def planted_period(doc_id, words):
+    """Rows whose id has a crc32 divisible by ten become periodic from some word on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), min_length=24, exponent=3, rewrite=planted_period)
+    return periodic_runs.run_digests(found)
