@@ -6,7 +6,7 @@ import zlib
 
 import public_tokenizers
 
-from tastegrid.llm import (byte_bpe, decontam, edit_embedding, fm_index, kd_shards, licenses, periodic_runs, simhash, suffix_dedup,
+from tastegrid.llm import (byte_bpe, decontam, edit_embedding, fm_index, kd_shards, licenses, minmax_hash, periodic_runs, simhash, suffix_dedup,
                            token_counts as counts, toxicity)
 from tastegrid.llm.registry import query, table
 
@@ -76,3 +76,8 @@ def planted_period(doc_id, words):
 def op11_periodic_runs(spark, sf_dir):
     found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), min_length=24, exponent=3, rewrite=planted_period)
     return periodic_runs.run_digests(found)
+
+
+@query("op12_minmax_hash", minmax_hash.SQL)
+def op12_minmax_hash(spark, sf_dir):
+    return minmax_hash.near_copies(table(spark, sf_dir, "documents"), share=0.85, width=3)
