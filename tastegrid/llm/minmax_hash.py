@@ -123,10 +123,10 @@ def by_signature(least: float) -> Callable:
     """Links of a bucket: size and byte signatures leave a similarity of at least ``least`` open."""
     def linked(n: np.ndarray, data: list[bytes], share: float):
         sig = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
-        need = least * sig.shape[1]
+        need, percent = least * sig.shape[1], round(share * 100)
 
         def near(k, left):
-            alike = np.minimum(n[left], n[k]) >= share * np.maximum(n[left], n[k])
+            alike = np.minimum(n[left], n[k]) * 100 >= percent * np.maximum(n[left], n[k])
             alike[alike] = (sig[left[alike]] == sig[k]).sum(axis=1) >= need
             return alike
         return spanning(len(n), near)
@@ -248,10 +248,10 @@ def near_copies(docs: DataFrame, share: float = 0.85, width: int = 3, bands: int
 
 SQL = """WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM words),
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM words),
 nodes AS (SELECT s, min(doc_id) AS node, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
 members AS (SELECT node, n, unnest(s) AS x FROM nodes),
 pairs AS (

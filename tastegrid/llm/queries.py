@@ -6,8 +6,8 @@ import zlib
 
 import public_tokenizers
 
-from tastegrid.llm import (byte_bpe, decontam, edit_embedding, fm_index, kd_shards, licenses, minmax_hash, periodic_runs, simhash, suffix_dedup,
-                           token_counts as counts, toxicity)
+from tastegrid.llm import (byte_bpe, decontam, edit_embedding, fm_index, kd_shards, lexical_search, licenses, minmax_hash,
+                           periodic_runs, simhash, suffix_dedup, token_counts as counts, toxicity)
 from tastegrid.llm.registry import query, table
 
 
@@ -81,3 +81,8 @@ def op11_periodic_runs(spark, sf_dir):
 @query("op12_minmax_hash", minmax_hash.SQL)
 def op12_minmax_hash(spark, sf_dir):
     return minmax_hash.near_copies(table(spark, sf_dir, "documents"), share=0.85, width=3)
+
+
+@query("op13_lexical_search", lexical_search.SQL)
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
