@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastegrid.llm.texts import Memo, Words, slices, two_columns, unicode_classes
+from tastegrid.llm.texts import Memo, Words, pieces, slices, two_columns, unicode_classes
 
 # A longer word is contracted by the same rule with a heap: the query's cost grows with the square
 # of a word's length.
@@ -253,8 +253,7 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in pieces(batch, at):
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 coded = bpe.encode(texts)
                 ids = [np.concatenate([*x, np.empty(0, np.int32)]) for x, _ in coded]

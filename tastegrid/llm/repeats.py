@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.texts import SLICE_CHARS, slices
+from tastegrid.llm.texts import mixed, slices, span_sums
 from tastegrid.session import stage
 
 # Segments of one shard, and of one anchor before its windows are dealt singly.
@@ -31,7 +31,8 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True  # fixed values: the bytes that part words
 
 
 class Hashes:
-    """64-bit hashes of any span of a sequence of values, from running sums."""
+    """64-bit hashes of any span of a sequence of values, from running sums. Sums of powers cancel on patterned
+    sequences, so longer spans are hashed over the mixed hashes of the short runs in them (``run_hashes``)."""
 
     def __init__(self, values: np.ndarray):
         n = len(values)
@@ -52,11 +53,12 @@ class Hashes:
         return h ^ (h >> np.uint64(29))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(30))
+def run_hashes(values: np.ndarray, gram: int) -> tuple[np.ndarray, Hashes]:
+    """The hashes of all runs of ``gram`` values, and hashes of spans of such runs: a span of n values is one
+    of n - gram + 1 runs."""
+    at = np.arange(len(values) - gram + 1)
+    runs = Hashes(values).spans(at, at + gram)
+    return runs, Hashes(mixed(runs))
 
 
 class Units:
@@ -76,7 +78,7 @@ class Units:
         inside = ~BLANK[flat]
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.values = self.raw = Hashes(mixed(flat)).spans(self.starts, self.ends)
+        self.values = self.raw = span_sums(flat, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, begins)
         self.begins = begins
 
@@ -87,9 +89,8 @@ def segments(units: Units, width: int, gram: int) -> tuple[np.ndarray, ...]:
     n = len(units.values)
     if n < width:
         return tuple(np.empty(0, np.int64) for _ in range(3)) + tuple(np.empty(0, np.uint64) for _ in range(2))
-    hashes = Hashes(units.values)
-    at = np.arange(n - gram + 1)
-    g = hashes.spans(at, at + gram)
+    g, spans = run_hashes(units.values, gram)
+    at = np.arange(len(g))
     low = np.uint64((1 << 21) - 1)
     least = (g & ~low) | (at.astype(np.uint64) & low)  # equal hashes: the leftmost
     reach, need = 1, width - gram + 1
@@ -107,7 +108,7 @@ def segments(units: Units, width: int, gram: int) -> tuple[np.ndarray, ...]:
     windows = np.diff(np.append(cut, len(starts)))
     keep = valid[cut]
     cut, windows = cut[keep], windows[keep]
-    return text[cut], cut, windows, g[place[cut]], hashes.spans(cut, cut + windows + width - 1)
+    return text[cut], cut, windows, g[place[cut]], spans.spans(cut, cut + windows + width - gram)
 
 
 def _segment_rows(docs: DataFrame, words: bool, width: int, gram: int) -> DataFrame:
@@ -171,7 +172,8 @@ def repeated_ranges(docs: DataFrame, words: bool, width: int, gram: int, match:
         held, size = [], 0
         for anchor, key, start, n, units in contents(batches):
             own = np.arange(n)
-            h, h2 = (Hashes(mixed(units ^ units.dtype.type(salt))).spans(own, own + width).view(np.int64) for salt in (0, 0x5A))
+            h, h2 = (run_hashes(mixed(units ^ units.dtype.type(salt)), gram)[1].spans(own, own + width - gram + 1).view(np.int64)
+                     for salt in (0, 0x5A))
             held.append((h, h2 ^ anchor, np.full(n, key, np.int64), (start + own).astype(np.int32)))
             size += n
             if size > 1 << 17:

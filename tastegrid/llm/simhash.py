@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
-from tastegrid.llm.shingles import near_links, signatures
+from tastegrid.llm.minmax_hash import near_copies
 from tastegrid.llm.texts import identified, slices, two_columns
 from tastegrid.session import stage
 
@@ -280,20 +280,25 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``: that of least doc_id, with all its
+    columns. Null and blank texts share fingerprint zero. Rows of one doc_id are rows of their own; of rows alike in
+    all, one stays."""
+    keyed, key = identified(docs)
+    named = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), radius, width)
+    gone = named.filter("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    return keyed.join(gone, key, "left_anti").drop(key).select(*docs.columns)
+
+
 def keep_first(docs: DataFrame, share: float = 0.8, width: int = 5) -> DataFrame:
-    """``docs`` without near copies: of each group the row of least doc_id stays, with all its
-    columns. Two texts are near copies if their sets of ``width``-word shingles have at least ``share`` of
-    their union in common, and groups follow the links. Texts without words are equal to each other.
-    Rows of one doc_id are rows of their own; of rows alike in all, one stays.
-
-    One fingerprint of 64 bits cannot propose these pairs: at 0.8 those of the shingles differ in 10 bits on
-    average and up to 18, too many to probe, and those of single words in over 10 for many texts with a
-    passage added or replaced. ``shingles`` proposes and verifies instead."""
+    """``docs`` without near copies by the similarity of their shingles, for which 64 bits are too few: at 0.8
+    fingerprints differ in up to 18 bits. Min-max hashing proposes and exact sets decide; a band of 6 values agrees at 0.8
+    with chance 0.26, so 48 bands miss a pair with chance 5e-7. Of each group the row of least doc_id stays, with all
+    its columns. Texts without words are equal to each other. Rows of one doc_id are rows of their own; of rows
+    alike in all, one stays."""
     keyed, key = identified(docs)
-    rows = keyed.select(F.col(key).alias("_key"), F.col("text").cast("string").alias("text"))
-    marks = stage(signatures(rows, width), "signatures")
-    roots = near_links(rows, marks, width, share)
-    named = stage(marks.select("_key", "node").join(roots, "node", "left").select("_key", F.coalesce("root", "node").alias("_root")), "named")
-    least = stage(named.groupBy("_root").agg(F.min("_key").alias("_least")), "least")
-    gone = named.join(least, "_root").filter("_key <> _least").select(F.col("_key").alias(key))
+    named = stage(near_copies(keyed.select(F.col(key).alias("doc_id"), "text"), share, width, bands=48, size=6), "near")
+    blank = named.filter("n_shingles = 0")
+    least = blank.agg(F.min("doc_id")).first()[0]
+    gone = named.filter("NOT kept").union(blank.filter(F.col("doc_id") != F.lit(least))).select(F.col("doc_id").alias(key))
     return keyed.join(gone, key, "left_anti").drop(key).select(*docs.columns)

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,16 @@ def slices(batches: Iterable[pa.RecordBatch], chars: int = SLICE_CHARS) -> Itera
         yield ids, texts
 
 
+def pieces(batch: pa.RecordBatch, column: int, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of about ``size`` bytes of text, one row at least."""
+    total = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < batch.num_rows:
+        till = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
+        yield batch.slice(at, till - at)
+        at = till
+
+
 def unicode_classes() -> np.ndarray:
     """Class of every code point: letter, number, white space, other."""
     out = np.zeros(sys.maxunicode + 1, np.uint8)
@@ -87,12 +98,29 @@ def unicode_classes() -> np.ndarray:
     return out
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(30))
+
+
+def span_sums(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of disjoint spans in order: each code is mixed with its place in the span before the sum, so that
+    no pattern of the codes makes sums cancel as powers of one base do."""
+    n = len(code)
+    begin = np.zeros(n, np.int64)
+    begin[starts] = starts
+    place = np.arange(n) - np.maximum.accumulate(begin)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed(code.astype(np.uint64) | (place.astype(np.uint64) << np.uint64(21))), out=total[1:])
+    return mixed((total[ends] - total[starts]) ^ (ends - starts).astype(np.uint64))
+
+
 class Words:
-    """Words of a slice of texts: ``hashes`` (64 bits over the characters), ``starts`` and
+    """Words of a slice of texts: ``hashes`` (64 bits over the characters and their places), ``starts`` and
     ``ends`` in ``joined``, and ``first``: the number of words before each text."""
 
-    BASE = np.uint64(0x9E3779B97F4A7C15)
-
     def __init__(self, texts: list[str], classes: np.ndarray, join_space: bool, single_numbers: bool, keep_space: bool):
         self.joined = "\n".join(texts) + "\n"
         code = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -118,23 +146,7 @@ class Words:
             keep &= cls[at] != SPACE
         self.starts, self.ends = at[keep], till[keep]
         self.first = np.searchsorted(self.starts, np.append(0, ends + 1))
-        x = (code + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0x94D049BB133111EB)
-        power = np.full(n + 1, self.BASE)
-        power[0] = 1
-        np.cumprod(power, out=power)
-        x *= power[:n]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(x, out=total[1:])
-        # Dividing by BASE ** start: multiplication by the power of its inverse modulo 2 ** 64.
-        inverse = np.full(n + 1, np.uint64(pow(int(self.BASE), -1, 1 << 64)))
-        inverse[0] = 1
-        np.cumprod(inverse, out=inverse)
-        h = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        h ^= (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        self.hashes = h * np.uint64(0xD6E8FEB86659FD93)
+        self.hashes = span_sums(code, self.starts, self.ends)
 
     @staticmethod
     def _contractions(code, cls, nxt, start) -> None:

@@ -273,3 +273,30 @@ def test_empty_tables(no_docs):
     assert suffix_dedup.drop_repeats(no_docs).collect() == []
     assert simhash.near_duplicates(no_docs).collect() == []
     assert simhash.keep_first(no_docs).collect() == []
+    assert simhash.one_of_each(no_docs).collect() == []
+
+
+def morse(n, a, b):
+    return "".join((a, b)[k.bit_count() & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_patterned_words_are_told_apart(spark, n):
+    """Thue-Morse words and their complements, on which power sums modulo 2 ** 64 are equal."""
+    rng = np.random.default_rng(n)
+    rows = []
+    for a, b in ("ab", "ae", "xy", "01"):
+        head, tail = (" ".join(f"w{x}" for x in rng.integers(0, 10 ** 6, 25)) for _ in range(2))
+        rows += [(len(rows), f"{head} {morse(n, a, b)} {tail}"), (len(rows) + 1, f"{head} {morse(n, b, a)} {tail}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in fm_index.substring_dedup(docs).collect()) == words_kept(rows)
+    assert Counter(tuple(r) for r in suffix_dedup.suffix_dedup(docs).collect()) == bytes_kept(rows)
+    whole = [(k, morse(n, *p)) for k, p in enumerate(("ab", "ba", "ea", "ae"))]
+    assert simhash.keep_first(spark.createDataFrame(whole, "doc_id long, text string")).count() == 4
+
+
+def test_one_of_each_keeps_columns(odd_docs, odd_rows):
+    kept = simhash.one_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.count() < len(odd_rows)
+    ids = [r.doc_id for r in kept.collect()]
+    assert {1, 2, 3, 9, 10, 12, 13, 14, 15, 16, 22} <= set(ids) and not {4, 5, 7, 8, 20} & set(ids)

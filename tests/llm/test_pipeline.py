@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 
 from tastegrid.session import stage
+from test_dedup import simhash_brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,18 +28,21 @@ def test_columns_and_rows(stages):
 
 
 def test_near_copies(stages):
+    """One document of each group of fingerprints linked at 4 bits, by a plain search over all pairs."""
     before, after = texts(stages[1]), texts(stages[2])
+    prints = {d: simhash_brute(t) for d, t in sorted(before.items())}
+    group = {d: d for d in prints}
 
-    def shingles(t):
-        w = t.lower().split()
-        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
-    s = {d: shingles(t) for d, t in before.items()}
-
-    def like(a, b):
-        return len(s[a] & s[b]) / len(s[a] | s[b])
-    gone = set(before) - set(after)
-    assert gone and all(any(like(d, o) > 0.5 for o in before if o < d) for d in gone)
-    assert not [(a, b) for a in after for b in after if a < b and like(a, b) >= 0.8]
+    def find(d):
+        while group[d] != d:
+            d = group[d]
+        return d
+    for a, x in prints.items():
+        for b, y in prints.items():
+            if a < b and (x ^ y).bit_count() <= 4:
+                p, q = sorted((find(a), find(b)))
+                group[q] = p
+    assert set(after) == {d for d in prints if find(d) == d} and len(after) < len(before)
 
 
 def test_repeats_cut_but_first_kept(stages):
@@ -71,3 +75,15 @@ def test_run_gives_the_same_rows(spark, stages):
     got = corpus_pipeline.run(spark, SF).select("doc_id", "text", "ids").collect()
     want = stages[5].select("doc_id", "text", "ids").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_chain_on_odd_and_empty_tables(spark, odd_docs, no_docs, odd_rows):
+    for docs in (odd_docs, no_docs):
+        columns = docs.columns
+        for name, step in corpus_pipeline.STAGES:
+            docs = stage(step(spark, docs, SF))
+            assert [c for c in columns if c not in docs.columns] == [], name
+        rows = docs.select("doc_id", "text", "n_tokens", "decodes").collect()
+        assert len(rows) <= len(odd_rows) and all(r.decodes for r in rows)
+        assert docs.columns[-3:] == ["ids", "n_tokens", "decodes"]
+    assert rows == []

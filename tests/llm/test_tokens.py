@@ -92,3 +92,16 @@ def test_prefix_table(spark):
     got = {r.doc_id: r.prefix_tokens for r in token_counts.prefix_table(docs, WORDS).collect()}
     t = Tokenizer.from_file(WORDS)
     assert got == {1: [len(t.encode("ab cd"[:i], add_special_tokens=False).ids) for i in range(6)], 2: [0]}
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_patterned_words_are_told_apart(spark, library, n):
+    """Thue-Morse words and their complements, on which power sums modulo 2 ** 64 are equal."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = ["".join(p[k.bit_count() & 1] for k in range(n)) for a in letters for p in ((a, "e"), ("e", a)) if a != "e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    own = Tokenizer.from_file(WORDS)
+    want = {k: len(own.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, WORDS).collect()} == want
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, BYTES).collect()}
+    assert all(got[k] == library.encode_ordinary(t) for k, t in enumerate(texts))
