@@ -25,8 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least doc_id stays."""
-    return simhash.keep_first(docs)
+    """Of the documents whose SimHash fingerprints of 4-word shingles are linked, at 4 or fewer differing bits, that of
+    least doc_id stays."""
+    return simhash.one_of_each(docs, radius=4, width=4)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
