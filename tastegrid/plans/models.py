@@ -181,6 +181,8 @@ def knn_rmse_compare(spark, sf):
 # --- truncated SVD -----------------------------------------------------------------------
 
 K = 6
+# Numbers of factors on the error curves; one fit at the largest serves all.
+CURVE = [1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 300]
 
 
 def _user_means(train):
@@ -213,8 +215,8 @@ def svd_insample_curve(spark, sf):
     centered = stage(mean_center(ratings, out="c").select("user_id", "item_id", F.col("c").alias("rating")), "centered")
     out = []
     for name, data in (("raw", ratings), ("centered", centered)):
-        f = svd.truncated_svd(data, 12)
-        out.append(svd.svd_curve(data, f, [1, 2, 4, 6, 8, 12]).select(F.lit(name).alias("ratings"), "k", "rmse", "mae"))
+        f = svd.truncated_svd(data, CURVE[-1])
+        out.append(svd.svd_curve(data, f, CURVE).select(F.lit(name).alias("ratings"), "k", "rmse", "mae"))
     return cleaning.union_all(*out)
 
 
@@ -225,8 +227,8 @@ def _holdout_curve(spark, sf):
     def center(df):
         return df.join(means, "user_id").select(
             "user_id", "item_id", (F.col("rating") - F.col("mean_rating")).alias("rating"))
-    f = svd.truncated_svd(center(train), 16)
-    return svd.svd_curve(center(test), f, [1, 2, 3, 4, 5, 6, 8, 10, 12, 16])
+    f = svd.truncated_svd(center(train), CURVE[-1])
+    return svd.svd_curve(center(test), f, CURVE)
 
 
 @query("svd_holdout_curve")
