@@ -18,16 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tastegrid.llm.texts import Memo, Words, pieces, slices, two_columns, unicode_classes
 
-# A longer word is contracted by the same rule with a heap: the query's cost grows with the square
-# of a word's length.
-LONG = 256
-CHUNK_BYTES = 400_000
+# A step reads all tokens of an open word, so the query's cost and memory grow with the square of its length; a word
+# beyond this is contracted by the same rule with a heap.
+LONG = 2_048
+CHUNK_BYTES, CHUNK_STATE = 400_000, 150_000_000
 
 ENCODE = """
 WITH RECURSIVE state(word, tokens, done) AS (
@@ -39,16 +40,15 @@ WITH RECURSIVE state(word, tokens, done) AS (
     h.word IS NULL
   FROM state s LEFT JOIN (
     SELECT p.word, min((m.rank::BIGINT << 32) + p.pos) AS hit
-    FROM (SELECT word, pos, tokens[pos] AS l, tokens[pos + 1] AS r
+    FROM (SELECT word, pos, (tokens[pos]::BIGINT << 32) + tokens[pos + 1] AS pair
           FROM (SELECT word, tokens, unnest(range(1, len(tokens))) AS pos FROM state WHERE NOT done)) p
-    JOIN merges m ON m.l = p.l AND m.r = p.r GROUP BY p.word) h ON h.word = s.word
+    JOIN merges m ON m.pair = p.pair GROUP BY p.word) h ON h.word = s.word
   WHERE NOT s.done)
 SELECT word, tokens FROM state WHERE done ORDER BY word"""
 
 DECODE = """
 SELECT t.word, string_agg(v.hex, '' ORDER BY t.pos) AS hex
-FROM (SELECT word, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM coded) t
-JOIN vocabulary v ON v.token = t.token GROUP BY t.word ORDER BY t.word"""
+FROM coded t JOIN vocabulary v ON v.token = t.token GROUP BY t.word ORDER BY t.word"""
 
 
 class ByteBpe:
@@ -58,7 +58,8 @@ class ByteBpe:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, source.splitlines()) if a}
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t))
                 if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.merges = pa.table({n: pa.array([x[k] for x in rows], pa.int32()) for k, n in enumerate(("l", "r", "rank"))})
+        self.merges = pa.table({"pair": pa.array([(a << 32) + b for a, b, _ in rows], pa.int64()),
+                                "rank": pa.array([r for _, _, r in rows], pa.int32())})
         self.vocabulary = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()),
                                     "hex": pa.array([t.hex() for t in self.ranks], pa.string())})
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -75,7 +76,7 @@ class ByteBpe:
     def con(self):
         if self._con is None:
             import duckdb
-            self._con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+            self._con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
             for name, rows in (("merges", self.merges), ("vocabulary", self.vocabulary)):
                 self._con.register("_rows", rows)
                 self._con.execute(f"CREATE TABLE {name} AS SELECT * FROM _rows")
@@ -104,19 +105,21 @@ class ByteBpe:
                         heapq.heappush(heap, (k, x, size[x], size[y]))
         return [t for t, n in zip(token, size) if n]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+    def _contracted(self, words: list[bytes]) -> list[np.ndarray]:
         out: list = [None] * len(words)
         short = [k for k, w in enumerate(words) if 0 < len(w) <= LONG]
         for k, w in enumerate(words):
             if not w or len(w) > LONG:
-                out[k] = self._by_heap(w) if w else []
+                out[k] = np.array(self._by_heap(w) if w else [], np.int32)
         con = self.con()
         at = 0
         while at < len(short):
-            part, size = [], 0
-            while at < len(short) and size < CHUNK_BYTES:
+            part, size, state = [], 0, 0
+            while at < len(short) and size < CHUNK_BYTES and state < CHUNK_STATE:
+                n = len(words[short[at]])
                 part.append(short[at])
-                size += len(words[short[at]])
+                size += n
+                state += 8 * n * n
                 at += 1
             length = np.array([len(words[k]) for k in part])
             start = pa.table({
@@ -124,33 +127,47 @@ class ByteBpe:
                 "pos": (np.arange(size) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32),
                 "token": self.byte[np.frombuffer(b"".join(words[k] for k in part), np.uint8)]})
             con.register("start", start)
-            for k, tokens in zip(part, con.sql(ENCODE).to_arrow_table().column("tokens").to_pylist()):
-                out[k] = tokens
+            tokens = con.sql(ENCODE).to_arrow_table().column("tokens").combine_chunks()
             con.unregister("start")
+            flat, ends = tokens.flatten().to_numpy(), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+            for k, a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist()):
+                out[k] = flat[a:b]
         return out
 
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        return [x.tolist() for x in self._contracted(words)]
+
+    def _expanded(self, ids: np.ndarray, size: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all id lists, end to end, and the length of each; lists of ``size`` ids follow each other."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < self.vocabulary.num_rows:
+            raise ValueError("an id is not in the vocabulary")
+        con, n = self.con(), np.zeros(len(size), np.int64)
+        con.register("coded", pa.table({"word": np.repeat(np.arange(len(size), dtype=np.int32), size), "token": ids.astype(np.int32),
+                                        "pos": np.arange(len(ids), dtype=np.int32)}))
+        found = con.sql(DECODE).to_arrow_table().combine_chunks()
+        con.unregister("coded")
+        if not found.num_rows:
+            return b"", n
+        n[found.column("word").to_numpy()] = pc.binary_length(found.column("hex")).to_numpy() // 2
+        return bytes.fromhex("".join(found.column("hex").to_pylist())), n
+
     def decode_lists(self, lists: list[list[int]]) -> list[bytes]:
         """Bytes of each id list; an id outside the vocabulary raises."""
-        con = self.con()
-        known = self.vocabulary.num_rows
-        if any(t is None or t < 0 or t >= known for ids in lists for t in ids):
+        if any(t is None for ids in lists for t in ids):
             raise ValueError("an id is not in the vocabulary")
-        out = [b""] * len(lists)
-        con.register("coded", pa.table({"word": pa.array(range(len(lists)), pa.int32()),
-                                        "tokens": pa.array(lists, pa.list_(pa.int32()))}))
-        for k, text in con.sql(DECODE).fetchall():
-            out[k] = bytes.fromhex(text)
-        con.unregister("coded")
-        return out
+        flat, n = self._expanded(np.array([t for ids in lists for t in ids], np.int64), np.array([len(ids) for ids in lists], np.int64))
+        ends = np.append(0, np.cumsum(n)).tolist()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
     def _learn(self, h: np.ndarray, words: list[bytes]) -> np.ndarray:
-        lists = self.encode_words(words)
-        raws = self.decode_lists(lists)
+        lists = self._contracted(words)
+        ids, size = np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+        raw, n = self._expanded(ids, size)
         rows = self.memo.add(h)
-        self.ids = np.append(self.ids, np.fromiter((t for x in lists for t in x), np.int32))
-        self.id_at = np.append(self.id_at, self.id_at[-1] + np.cumsum([len(x) for x in lists]))
-        self.raw = np.append(self.raw, np.frombuffer(b"".join(raws), np.uint8))
-        self.raw_at = np.append(self.raw_at, self.raw_at[-1] + np.cumsum([len(x) for x in raws]))
+        self.ids = np.append(self.ids, ids)
+        self.id_at = np.append(self.id_at, self.id_at[-1] + np.cumsum(size))
+        self.raw = np.append(self.raw, np.frombuffer(raw, np.uint8))
+        self.raw_at = np.append(self.raw_at, self.raw_at[-1] + np.cumsum(n))
         return rows
 
     def encode(self, texts: list[str]) -> list[tuple[list[np.ndarray], list[bytes]]]:
