@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tastegrid.llm.repeats import Units, covered, repeated_ranges, with_ranges
+from tastegrid.llm.repeats import Units, covered, repeated_ranges, unsqueezed, with_ranges
 from tastegrid.llm.texts import identified, key_free_select
 
 
@@ -149,8 +149,8 @@ def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, gone, digest = [], [], [], []
-            for doc_id, text, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
+            for doc_id, text, ranges in zip(batch.column(1).to_pylist(), unsqueezed(batch.column(2)), batch.column(3).to_pylist()):
+                words = text.encode("utf-8", "surrogatepass").split()
                 out = covered(len(words), ranges)
                 kept = words if not ranges else [w for w, g in zip(words, out.tolist()) if not g]
                 ids.append(doc_id)
@@ -170,7 +170,7 @@ def repeated_passages(docs: DataFrame, width: int = 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            for doc_id, text, ranges in zip(batch.column(1).to_pylist(), unsqueezed(batch.column(2)), batch.column(3).to_pylist()):
                 if not ranges:
                     continue
                 u = Units([text], True)

@@ -16,10 +16,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.texts import mixed, slices, span_sums
+from tastegrid.llm.texts import mixed, pieces, slices, span_sums
 from tastegrid.session import stage
 
 # Segments of one shard, and of one anchor before its windows are dealt singly.
@@ -112,15 +113,37 @@ def segments(units: Units, width: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 def _segment_rows(docs: DataFrame, words: bool, width: int, gram: int) -> DataFrame:
+    """(key, start, windows, anchor, seg) with the segments of each document as arrays. Texts are scanned once, and
+    what is found is written."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in slices(batches):
             u = Units(texts, words)
             text, start, windows, anchor, seg = segments(u, width, gram)
-            yield pa.RecordBatch.from_pydict({
-                "anchor": pa.array(anchor.view(np.int64)), "seg": pa.array(seg.view(np.int64)),
-                "key": pa.array(np.array(keys, np.int64)[text] if len(text) else np.empty(0, np.int64)),
-                "start": pa.array((start - u.first[text]).astype(np.int32)), "windows": pa.array(windows.astype(np.int32))})
-    return docs.select("_key", "text").mapInArrow(run, "anchor long, seg long, key long, start int, windows int")
+            cut = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(
+                pa.ListArray.from_arrays(cut, pa.array(x)) for x in
+                ((start - u.first[text]).astype(np.int32), windows.astype(np.int32), anchor.view(np.int64), seg.view(np.int64)))],
+                names=["key", "start", "windows", "anchor", "seg"])
+    return stage(docs.select("_key", "text").mapInArrow(
+        run, "key long, start array<int>, windows array<int>, anchor array<long>, seg array<long>"), "scanned")
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """(_key, doc_id, text) with texts compressed one by one, for joins that move all of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for part in pieces(batch, 2, 1 << 22):
+                texts = [None if t is None else press(t.encode("utf-8", "surrogatepass")) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], names=["_key", "doc_id", "text"])
+    return docs.select("_key", F.col("_key").alias("doc_id") if "doc_id" not in docs.columns else "doc_id", "text").mapInArrow(
+        run, "_key long, doc_id long, text binary")
+
+
+def unsqueezed(column: pa.Array) -> list[str]:
+    """The texts of a ``squeezed`` column; a null text is the empty text."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    return ["" if t is None else open_(t).decode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
 Matcher = Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, int], list[np.ndarray]]
@@ -132,9 +155,10 @@ def repeated_ranges(docs: DataFrame, words: bool, width: int, gram: int, match:
     (_key, text), keys unique. With ``first_stays`` the first window of equal ones, by key and place, is not repeated.
     ``match(segments, windows, keys, starts, width)`` tells the repeated windows of each segment of a shard."""
     spark = docs.sparkSession
-    rows = _segment_rows(docs, words, width, gram)
+    scanned = _segment_rows(docs, words, width, gram)
+    rows = scanned.select("key", F.inline(F.arrays_zip("start", "windows", "anchor", "seg")))
     # Written before they are joined: Spark splits a hot anchor's rows only between two plain shuffles.
-    again = stage(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors")
+    again = stage(scanned.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors")
     flagged = stage(rows.join(again, "anchor"), "segments")
     place = F.struct("key", "start")
     kinds = stage(flagged.groupBy("anchor", "seg").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"),
@@ -150,14 +174,14 @@ def repeated_ranges(docs: DataFrame, words: bool, width: int, gram: int, match:
 
     def named(part):
         wanted = sent.filter(part).groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("parts"))
-        return docs.select(F.col("_key").alias("key"), "text").join(wanted, "key").select("key", "text", "parts")
+        return squeezed(docs).select(F.col("_key").alias("key"), "text").join(wanted, "key").select("key", "text", "parts")
 
     def contents(batches: Iterator[pa.RecordBatch]):
         """(anchor, key, start, windows, units) of every segment wanted."""
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                u = Units([t or "" for t in part.column(1).to_pylist()], words)
+                u = Units(unsqueezed(part.column(1)), words)
                 offsets = part.column(2).offsets.to_numpy()
                 flat = part.column(2).flatten()
                 lists = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
@@ -253,7 +277,7 @@ def covered(n: int, ranges: list[dict] | None) -> np.ndarray:
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(_key, doc_id, text, ranges) of every document; ranges that touch or overlap are merged per
+    """(_key, doc_id, text, ranges) of every document, its text ``squeezed``; ranges that touch or overlap are merged per
     document in the task that reads them."""
     lists = ranges.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    return docs.join(lists.withColumnRenamed("key", "_key"), "_key", "left").select("_key", "doc_id", "text", "ranges")
+    return squeezed(docs).join(lists.withColumnRenamed("key", "_key"), "_key", "left").select("_key", "doc_id", "text", "ranges")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.repeats import covered, repeated_ranges, with_ranges
+from tastegrid.llm.repeats import covered, repeated_ranges, unsqueezed, with_ranges
 from tastegrid.llm.texts import identified, key_free_select
 
 QUEUE_BYTES = 96 << 20
@@ -260,8 +260,8 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, gone, spans, digest = [], [], [], [], []
-            for doc_id, text, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+            for doc_id, text, ranges in zip(batch.column(1).to_pylist(), unsqueezed(batch.column(2)), batch.column(3).to_pylist()):
+                raw = text.encode("utf-8", "surrogatepass")
                 out = covered(len(raw), ranges)
                 ids.append(doc_id)
                 n.append(len(raw))
