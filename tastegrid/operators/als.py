@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.functions.vectors import dot
-from tastegrid.operators import blocks
+from tastegrid.operators.pruned import pruned_topn
 from tastegrid.session import shared_dir, stage
 
 
@@ -81,7 +81,7 @@ def dot_predict(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFra
 def dot_topn(user_factors: DataFrame, item_factors: DataFrame, n: int, seen: DataFrame | None = None,
              user: str = "user_id", item: str = "item_id") -> DataFrame:
     """(user, item, score, rank): best n items per user from any two factor tables."""
-    out = blocks.dense_topn(user_factors.select(F.col("id").alias("l"), F.col("features").alias("vec")),
-                            item_factors.select(F.col("id").alias("r"), F.col("features").alias("vec")), n,
-                            None if seen is None else seen.select(F.col(user).alias("l"), F.col(item).alias("r")))
+    out = pruned_topn(user_factors.select(F.col("id").alias("l"), F.col("features").alias("vec")),
+                      item_factors.select(F.col("id").alias("r"), F.col("features").alias("vec")), n,
+                      None if seen is None else seen.select(F.col(user).alias("l"), F.col(item).alias("r")))
     return out.select(F.col("l").alias(user), F.col("r").alias(item), "score", "rank")

@@ -40,10 +40,9 @@ def metric_mae(spark, sf):
 
 
 def top_lists(spark, sf, ratings=None):
-    """Each user's five highest rated items among those with vectors."""
+    """Each user's five highest rated items."""
     ratings = v.kept_ratings(spark, sf) if ratings is None else ratings
-    have = v.factors(spark, sf).select(F.col("id").alias("item_id"))
-    return ranking.topn(ratings.join(have, "item_id", "left_semi"), 5, "rating").select("user_id", "item_id", "rank")
+    return ranking.topn(ratings, 5, "rating").select("user_id", "item_id", "rank")
 
 
 @query("metric_novelty", """SELECT 'fraction' AS form, user_id, round(AVG(1 - popularity), 6) AS novelty, COUNT(*) AS matched
@@ -69,7 +68,7 @@ def metric_novelty(spark, sf):
     LEFT JOIN units y ON y.item_id = b.item_id WHERE a.item_id < b.item_id GROUP BY user_id
     UNION ALL SELECT user_id, 1.0 FROM lists GROUP BY user_id HAVING COUNT(*) = 1""")
 def metric_diversity(spark, sf):
-    return quality.diversity(top_lists(spark, sf), v.factors(spark, sf)).select("user_id", r("diversity", "diversity"))
+    return quality.diversity(top_lists(spark, sf), v.vectors(spark, sf)).select("user_id", r("diversity", "diversity"))
 
 
 @query("metric_serendipity", """SELECT l.user_id, round(AVG(1 - list_dot_product(x.v, y.v)), 6) + 0.0 AS serendipity
@@ -77,7 +76,7 @@ def metric_diversity(spark, sf):
       JOIN units USING (item_id) WHERE rating > 4) y ON y.user_id = l.user_id GROUP BY l.user_id""")
 def metric_serendipity(spark, sf):
     ratings = v.kept_ratings(spark, sf)
-    return quality.serendipity(top_lists(spark, sf, ratings), ratings.filter("rating > 4"), v.factors(spark, sf)).select(
+    return quality.serendipity(top_lists(spark, sf, ratings), ratings.filter("rating > 4"), v.vectors(spark, sf)).select(
         "user_id", r("serendipity", "serendipity"))
 
 
@@ -87,7 +86,7 @@ def metric_serendipity(spark, sf):
     GROUP BY t.user_id, t.item_id) USING (user_id, item_id)""")
 def item_serendipity(spark, sf):
     _, train, test = parts(spark, sf)
-    return quality.item_serendipity(test.select("user_id", "item_id"), liked_of(train), v.factors(spark, sf)).select(
+    return quality.item_serendipity(test.select("user_id", "item_id"), liked_of(train), v.vectors(spark, sf)).select(
         "user_id", "item_id", r("serendipity", "serendipity"))
 
 
@@ -101,7 +100,7 @@ def _item_div_sql(extra: str) -> str:
 def _item_diversity(spark, sf, exclude_self):
     ratings = v.kept_ratings(spark, sf)
     return quality.item_diversity(ratings.select("user_id", "item_id"), top_lists(spark, sf, ratings),
-                                  v.factors(spark, sf), exclude_self).select(
+                                  v.vectors(spark, sf), exclude_self).select(
         "user_id", "item_id", r("diversity", "diversity"))
 
 
@@ -138,7 +137,7 @@ def rerank_weighted(spark, sf):
             GROUP BY t.user_id, t.item_id) USING (user_id, item_id))) WHERE rn <= 5""")
 def rerank_candidates(spark, sf):
     """Re-ranking of a given candidate table (here the rated pairs) by its column scores."""
-    ratings, f = v.kept_ratings(spark, sf), v.factors(spark, sf)
+    ratings, f = v.kept_ratings(spark, sf), v.vectors(spark, sf)
     scored = quality.item_diversity(quality.item_serendipity(ratings, liked_of(ratings), f), top_lists(spark, sf, ratings), f)
     scored = scored.withColumn("adjusted_score", F.round(
         F.col("rating") * 0.5 + F.col("serendipity") * 0.4 + F.col("diversity") * 0.1, 6))
@@ -183,7 +182,7 @@ def rerank_before_after(spark, sf):
       GROUP BY user_id)), 6)""")
 def model_report(spark, sf):
     ratings, train, test = parts(spark, sf)
-    f, lists = v.factors(spark, sf), top_lists(spark, sf, ratings)
+    f, lists = v.vectors(spark, sf), top_lists(spark, sf, ratings)
     errors = [stats.rmse_of().alias("rmse"), stats.mae_of().alias("mae")]
     pop = stats.popularity(ratings, form="log")
     lists_quality = (quality.novelty(lists, pop).join(quality.diversity(lists, f), "user_id", "left")
@@ -348,16 +347,16 @@ def hybrid_als(spark, sf):
     return top.join(v.items(spark, sf), "item_id").select("user_id", "item_id", "title", "genres", *_hybrid_cols(), "rank")
 
 
-def _vectors_sql(lists: str) -> str:
+def _vectors_sql(lists: str, table: str = "factors") -> str:
     return f"""SELECT l.user_id, COALESCE(MAX(u.vec), 'null') AS user_vector,
     '{{' || string_agg('"' || l.item_id || '":' || COALESCE(v.vec, 'null'), ',' ORDER BY l.rank) || '}}' AS item_vectors FROM {lists} l
-    LEFT JOIN (SELECT id, {JSON_VEC} AS vec FROM factors) v ON v.id = l.item_id
-    LEFT JOIN (SELECT id, {JSON_VEC} AS vec FROM factors) u ON u.id = l.user_id GROUP BY l.user_id"""
+    LEFT JOIN (SELECT id, {JSON_VEC} AS vec FROM {table}) v ON v.id = l.item_id
+    LEFT JOIN (SELECT id, {JSON_VEC} AS vec FROM {table}) u ON u.id = l.user_id GROUP BY l.user_id"""
 
 
-@query("latent_vectors_json", _vectors_sql("lists"))
+@query("latent_vectors_json", _vectors_sql("lists", "vectors_of_all"))
 def latent_vectors_json(spark, sf):
-    f = v.factors(spark, sf)
+    f = v.vectors(spark, sf)
     return hybrid.latent_vectors_json(top_lists(spark, sf), f, f)
 
 

@@ -354,22 +354,22 @@ def factors_lookup(spark, sf):
 
 
 @query("dot_predict", """SELECT t.user_id, t.item_id, t.rating, round(list_dot_product(u.features, v.features), 6) AS est
-    FROM ratings t JOIN factors u ON u.id = t.user_id JOIN factors v ON v.id = t.item_id""")
+    FROM ratings t JOIN vectors_of_all u ON u.id = t.user_id JOIN vectors_of_all v ON v.id = t.item_id""")
 def dot_predict(spark, sf):
-    f = v.factors(spark, sf)
+    f = v.vectors(spark, sf)
     return als.dot_predict(v.ratings(spark, sf), f, f).select("user_id", "item_id", "rating", r("est", "est"))
 
 
 @query("dot_topn", "SELECT user_id, item_id, score, rank FROM cf_top")
 def dot_topn(spark, sf):
-    """Best unseen items by given factors over all users and items that have them."""
+    """Best unseen items by given factors over all users and items."""
     users, items, ratings = cf_sides(spark, sf)
     return als.dot_topn(users, items, 5, ratings).select("user_id", "item_id", r("score", "score", 8), "rank")
 
 
 def cf_sides(spark, sf):
     """User factors, item factors, ratings."""
-    f, ratings = v.factors(spark, sf), v.kept_ratings(spark, sf)
+    f, ratings = v.vectors(spark, sf), v.kept_ratings(spark, sf)
     users = f.join(ratings.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi")
     items = f.join(v.items(spark, sf).select(F.col("item_id").alias("id")), "id", "left_semi")
     return users, items, ratings

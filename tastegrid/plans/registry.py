@@ -44,8 +44,12 @@ VIEWS: dict[str, str] = {
     "test": "SELECT * FROM ratings WHERE (user_id*31 + item_id*17) % 10 >= 8",
     "items": "SELECT p_partkey AS item_id, p_name AS title, p_type || '|' || p_brand AS genres FROM part",
     "factors": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS features FROM embeddings",
+    # every user and item has a given vector: that of its id modulo their number
+    "vectors_of_all": """SELECT i.id, CAST(e.embedding AS DOUBLE[]) AS features
+        FROM (SELECT c_custkey AS id FROM customer UNION SELECT p_partkey FROM part) i
+        JOIN embeddings e ON e.vec_id = i.id % (SELECT COUNT(*) FROM embeddings)""",
     "units": """SELECT id AS item_id, list_transform(features, lambda x: x / sqrt(list_dot_product(features, features))) AS v
-        FROM factors""",
+        FROM vectors_of_all""",
     "wide": "SELECT user_id, " + ", ".join(
         f"MAX(CASE WHEN o_orderpriority = '{p}' THEN CAST(rating AS DOUBLE) END) AS p{i}"
         for i, p in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], 1))
@@ -56,8 +60,7 @@ VIEWS: dict[str, str] = {
         ELSE rating END AS DOUBLE) AS rating, CASE WHEN item_id % 17 <> 0 THEN title END AS title, genres
         FROM ratings LEFT JOIN items USING (item_id)""",
     "lists": """SELECT user_id, item_id, rn AS rank FROM (SELECT user_id, item_id, ROW_NUMBER() OVER
-        (PARTITION BY user_id ORDER BY rating DESC, item_id) AS rn FROM ratings
-        WHERE item_id IN (SELECT id FROM factors)) WHERE rn <= 5""",
+        (PARTITION BY user_id ORDER BY rating DESC, item_id) AS rn FROM ratings) WHERE rn <= 5""",
     "liked": "SELECT user_id, item_id, rating FROM ratings WHERE rating >= 4",
     "stop_words": f"SELECT word FROM (VALUES {_stop_values()}) t(word)",
     "texts": """SELECT item_id, title, genres, trim(regexp_replace(lower(COALESCE(title, '')), '[^a-z0-9\\s]', '', 'g')
@@ -74,7 +77,7 @@ VIEWS: dict[str, str] = {
         JOIN (SELECT user_id, COUNT(*) AS n_liked FROM liked JOIN items USING (item_id) GROUP BY user_id) USING (user_id)
         GROUP BY user_id, token""",
     "cf_all": """SELECT u.id AS user_id, v.id AS item_id, round(list_dot_product(u.features, v.features), 8) AS score
-        FROM factors u CROSS JOIN factors v WHERE u.id IN (SELECT user_id FROM ratings)
+        FROM vectors_of_all u CROSS JOIN vectors_of_all v WHERE u.id IN (SELECT user_id FROM ratings)
         AND v.id IN (SELECT item_id FROM items)""",
     "cf_unseen": """SELECT * FROM cf_all ANTI JOIN ratings USING (user_id, item_id)""",
     "cf_top": """SELECT user_id, item_id, score, rn AS rank FROM (SELECT *, ROW_NUMBER() OVER
@@ -143,7 +146,7 @@ VIEWS: dict[str, str] = {
         FROM (SELECT item_id, COUNT(*) AS n FROM ratings GROUP BY item_id)""",
     "adjusted": """SELECT f.user_id, f.item_id, round(0.5 * list_dot_product(u.features, v.features)
           + 0.4 * (1 - COALESCE(l.cos, 0)) + 0.1 * (1 - COALESCE(t.cos, 0)), 8) AS adjusted_score
-        FROM cf_unseen f JOIN factors u ON u.id = f.user_id JOIN factors v ON v.id = f.item_id
+        FROM cf_unseen f JOIN vectors_of_all u ON u.id = f.user_id JOIN vectors_of_all v ON v.id = f.item_id
         LEFT JOIN liked_cos l ON l.user_id = f.user_id AND l.item_id = f.item_id
         LEFT JOIN list_cos t ON t.user_id = f.user_id AND t.item_id = f.item_id""",
     "liked_cos": """SELECT f.user_id, f.item_id, AVG(list_dot_product(a.v, b.v)) AS cos FROM cf_unseen f

@@ -57,6 +57,15 @@ def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A given vector for every user and item, that of its id modulo the number of vectors."""
+    given = factors(spark, sf_dir)
+    ids = (table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+           .union(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))).distinct())
+    n = given.agg(F.count(F.lit(1))).scalar()
+    return (ids.withColumn("at", F.pmod("id", n)).join(given.withColumnRenamed("id", "at"), "at").select("id", "features"))
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user, one column per priority, null = not rated."""
     return rating_lines(spark, sf_dir).groupBy("user_id").agg(*[
