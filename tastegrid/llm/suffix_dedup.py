@@ -3,9 +3,9 @@
 Each shard of ``repeats`` sorts the suffixes of its segments. The suffixes that begin a descent
 (left-most S) are named by their substrings and sorted recursively on the names; from their order all others
 follow: a queue by first symbol hands out suffix tuples in order and takes in the tuples of the suffixes one place to
-the left, first upwards, then downwards. The queue holds its tuples in arrays up to a budget and beyond it in
-files, read back in order, so a shard may be larger than memory. Each tuple that the queue hands out carries
-the common prefix with the one before, in steps of eight bytes up to the width that decides.
+the left, first upwards, then downwards. The queue holds positions in arrays up to a budget and beyond it in
+files, read back in order. The shard's text, types and order stay in memory, which the bound on a shard's segments
+keeps small. Neighbours of the finished order are compared afterwards, in steps of eight bytes up to the width that decides.
 """
 
 from __future__ import annotations
