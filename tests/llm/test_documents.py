@@ -1,6 +1,7 @@
 """Sharding, fingerprints, toxicity, leaks and licences on odd rows, planted cases and brute force."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -174,8 +175,8 @@ def test_op4_matches_its_sql(spark):
     assert want and sorted(tuple(r) for r in decontam.decontaminate(docs, bench).collect()) == sorted(want)
 
 
-def test_drop_leaks_of_excerpts(spark):
-    """Excerpts of 11 to 15 words from inside an item, exact or with a word changed, go; eight equal words stay."""
+def test_excerpts_of_items(spark):
+    """Excerpts of 11 to 15 words from inside an item, exact or with a word changed, are found; eight equal words are not."""
     rng = np.random.default_rng(9)
 
     def words(n):
@@ -188,6 +189,25 @@ def test_drop_leaks_of_excerpts(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
     assert {r.doc_id for r in decontam.drop_leaks(docs, bench).collect()} == {6, 7}
+    got = {r.doc_id: (r.first_word, r.end_word) for r in decontam.decontaminate(docs, bench).collect()}
+    assert set(got) == set(range(6)) and all(got[k][0] <= 80 and got[k][1] >= 91 + k for k in range(5))
+    assert all(80 - got[k][0] <= 2 and got[k][1] - (91 + k) <= 2 for k in range(5))  # a fifth may differ at the ends
+
+
+def test_every_excerpt_of_the_given_items(spark):
+    """13 words from the inside of each given benchmark item, between other words; and a bitmap of more bits."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rng, rows = np.random.default_rng(4), []
+    for r in bench.collect():
+        w = re.sub(r"[^\w]+", " ", r.text.lower()).split()
+        if len(w) >= 21:
+            a = int(rng.integers(4, len(w) - 16))
+            out = [f"q{x}" for x in rng.integers(0, 10**6, 60)]
+            rows.append((r.item_id, " ".join(out[:30] + w[a:a + 13] + out[30:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in decontam.decontaminate(docs, bench).filter("doc_id = item_id").collect()}
+    assert len(rows) >= 20 and found == {k for k, _ in rows}
+    assert [decontam._bits(n) for n in (0, 1 << 17, (1 << 17) + 1, 1 << 30)] == [20, 20, 21, decontam.MOST_BITS]
 
 
 # --- licences ----------------------------------------------------------------------------
