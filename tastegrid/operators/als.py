@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.functions.vectors import dot
+from tastegrid.operators.cleaning import id_dictionary
 from tastegrid.operators.pruned import pruned_topn
 from tastegrid.session import shared_dir, stage
 
@@ -85,3 +88,53 @@ def dot_topn(user_factors: DataFrame, item_factors: DataFrame, n: int, seen: Dat
                       item_factors.select(F.col("id").alias("r"), F.col("features").alias("vec")), n,
                       None if seen is None else seen.select(F.col(user).alias("l"), F.col(item).alias("r")))
     return out.select(F.col("l").alias(user), F.col("r").alias(item), "score", "rank")
+
+
+@dataclass
+class KeyedALS:
+    """A fitted model whose ids are numbers of two dictionaries, (id, idx) each, and its results under the true ids."""
+
+    model: ALSModel
+    users: DataFrame
+    items: DataFrame
+    user: str = "user_id"
+    item: str = "item_id"
+
+    def factors(self, side: str = "item") -> DataFrame:
+        """(id, features) under the true ids."""
+        known, made = (self.items, self.model.itemFactors) if side == "item" else (self.users, self.model.userFactors)
+        return known.join(made.withColumnRenamed("id", "idx"), "idx").select("id", F.col("features").cast("array<double>").alias("features"))
+
+    def predict(self, pairs: DataFrame, est: str = "est") -> DataFrame:
+        """``pairs`` with an estimate; as with Spark's model, pairs with an unseen id have no row."""
+        return dot_predict(pairs, self.factors("user"), self.factors("item"), self.user, self.item, est)
+
+    def topn(self, n: int, seen: DataFrame | None = None) -> DataFrame:
+        """(user, item, score, rank): the best n items of every user but those in ``seen``; equal scores by ascending item."""
+        sides = [s.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"))
+                 for s in (self.model.userFactors, self.model.itemFactors)]
+        if seen is not None:
+            seen = self._numbered(seen.select(self.user, self.item))
+        top = dot_topn(*sides, n, seen, "_u", "_i")
+        u, i = self.users.select(F.col("id").alias(self.user), F.col("idx").alias("_u")), self.items.select(F.col("id").alias(self.item), F.col("idx").alias("_i"))
+        return top.join(u, "_u").join(i, "_i").select(self.user, self.item, "score", "rank")
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        u, i = self.users.select(F.col("id").alias(self.user), F.col("idx").alias("_u")), self.items.select(F.col("id").alias(self.item), F.col("idx").alias("_i"))
+        return rows.join(u, self.user).join(i, self.item).drop(self.user, self.item)
+
+
+def als_fit_any(train: DataFrame, user: str = "user_id", item: str = "item_id", value: str = "rating", **params) -> KeyedALS:
+    """``als_fit`` for ids of any sortable type, text and long ones included. The dictionaries keep the ids' order,
+    so equal scores rank as the ids do. Rows with a null id are left out. Over 2^31 - 1 ids of a
+    side raise an error, as Spark's ALS takes int ids."""
+    sides = []
+    for col in (user, item):
+        known = stage(id_dictionary(train, col).withColumnRenamed(col, "id"), "dictionary")
+        if known.count() > (1 << 31) - 1:
+            raise ValueError(f"ALS takes at most 2^31 - 1 ids: {col}")
+        sides.append(known)
+    keyed = KeyedALS(None, *sides, user, item)
+    rows = keyed._numbered(train.select(user, item, value)).select(F.col("_u").cast("int").alias("_u"), F.col("_i").cast("int").alias("_i"), value)
+    keyed.model = als_fit(rows, user="_u", item="_i", value=value, **params)
+    return keyed

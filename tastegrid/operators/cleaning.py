@@ -126,6 +126,23 @@ def dense_index(df: DataFrame, col: str = "user_id", index: str = "idx") -> Data
     return ranged.select(col, (shift + F.row_number().over(w) - 1).alias(index))
 
 
+def id_dictionary(ids: DataFrame, col: str, index: str = "idx") -> DataFrame:
+    """(col, index): distinct ids of any sortable type numbered 0..n-1 in their order (text by its bytes); null has none.
+
+    Spark cuts the ids into ranges of its own sampling, one partition each. They are written with their range, so that
+    ranges, counts and numbers agree even if a task runs twice; each range is numbered by itself and
+    shifted by the counts of the ranges before it, one number per shuffle partition."""
+    known = ids.select(col).filter(F.col(col).isNotNull()).distinct()
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stage(known.repartitionByRange(parts, col).withColumn("_range", F.spark_partition_id()), "dictionary")
+    sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per shuffle partition
+    shift = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    own = Window.partitionBy("_range").orderBy(col)
+    return cut.withColumn("_at", F.row_number().over(own) - 1).join(shift, "_range").select(
+        col, (F.col("_shift") + F.col("_at")).alias(index))
+
+
 def surrogate_row_id(df: DataFrame, key: str, row_id: str = "row_id") -> DataFrame:
     """Number rows 1..n in the order of a unique key."""
     numbers = dense_index(df, key, "_idx")

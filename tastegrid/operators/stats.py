@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +51,18 @@ def histogram(df: DataFrame, col: str = "rating", bins: int = 10) -> DataFrame:
                     F.coalesce("n", F.lit(0)).alias("n")))
 
 
+MOMENTS = 12  # powers kept per bin
+REACH = 8.5   # bandwidths beyond which the kernel, below 2.1e-16, is left out
+
+
 def density(df: DataFrame, col: str = "rating", grid_points: int = 50) -> DataFrame:
-    """Gaussian kernel density on an even grid, Scott bandwidth. Equal values are
-    counted first; each distinct value then adds to the fixed number of grid points.
-    Constant data has no bandwidth: the density is null there."""
+    """Gaussian kernel density on an even grid, Scott bandwidth h, from binned moments.
+
+    Values go to bins half a bandwidth wide; a bin keeps the sums of the powers of (x - centre) / h, made before the
+    shuffle, and each bin meets the grid points within ``REACH``. With s = (x - centre) / h and t = (point - centre) / h,
+    exp(-(t - s)² / 2) = exp(-t² / 2) · Σ s^k / k! · He_k(t); as |s| <= 1/4 and |He_k(t)| · exp(-t² / 2) is at most
+    1.09 · sqrt(k!), what ``MOMENTS`` powers leave out is below 4e-12 per value, and the density's error below 2e-12 / h.
+    Constant data has no bandwidth: the density is null there. No values: no rows."""
     x = F.col(col).cast("double")
     vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
     stat = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"),
@@ -61,14 +71,36 @@ def density(df: DataFrame, col: str = "rating", grid_points: int = 50) -> DataFr
     n = stat.select("n").scalar()
     h = stat.select(F.col("sd") * F.pow("n", F.lit(-0.2))).scalar()
     step = (hi - lo) / (grid_points - 1)
-    counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    points = counts.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))))
+    bins = _moments(vals, lo, h)
     at = lo + F.col("point") * step
-    z = F.try_divide(at - F.col("x"), h)
-    return (points.select("point", at.alias("x_at"), (F.col("c") * F.exp(z * z * -0.5)).alias("k"))
-            .groupBy("point", "x_at").agg(F.sum("k").alias("k"))
-            .select(F.col("point").cast("long").alias("point"), F.col("x_at").alias("x"),
-                    F.try_divide(F.col("k"), n * h * F.sqrt(F.lit(2.0) * F.pi())).alias("density")))
+    first = F.ceil(F.try_divide(F.col("centre") - REACH * h - lo, step))
+    last = F.floor(F.try_divide(F.col("centre") + REACH * h - lo, step))
+    first, last = F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(grid_points - 1)).cast("int")
+    near = F.when(first <= last, F.sequence(first, last))
+    met = bins.withColumn("point", F.explode(near)).withColumn("t", (at - F.col("centre")) / h)
+    sums = met.groupBy("point").agg(F.sum(_hermite_sum("m", "t")).alias("k"))
+    frame = stat.filter("n > 0").select(F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("point"))
+    return frame.join(sums, "point", "left").select(
+        F.col("point").cast("long").alias("point"), at.alias("x"),
+        F.try_divide(F.coalesce("k", F.lit(0.0)), n * h * F.sqrt(F.lit(2.0) * F.pi())).alias("density"))
+
+
+def _moments(vals: DataFrame, lo: Column, h: Column) -> DataFrame:
+    """(bin, centre, m): sums of s^k / k! for k below ``MOMENTS`` over the values ``x`` of each bin of width h / 2."""
+    here = vals.filter(h > 0).withColumn("bin", F.floor((F.col("x") - lo) / (h / 2)))
+    here = here.withColumn("centre", lo + (F.col("bin") + 0.5) * (h / 2)).withColumn("s", (F.col("x") - F.col("centre")) / h)
+    sums = [F.sum(F.pow("s", F.lit(k)) / math.factorial(k)).alias(f"m{k}") for k in range(MOMENTS)]
+    return here.groupBy("bin", "centre").agg(*sums).select("bin", "centre", F.array(*[f"m{k}" for k in range(MOMENTS)]).alias("m"))
+
+
+def _hermite_sum(m: str, t: str) -> Column:
+    """exp(-t² / 2) · Σ m[k] · He_k(t), by He_(k+1)(t) = t · He_k(t) - k · He_(k-1)(t)."""
+    zero = F.struct(F.col(t).alias("t"), F.lit(0.0).alias("k"), F.lit(1.0).alias("now"), F.lit(0.0).alias("before"), F.lit(0.0).alias("sum"))
+
+    def add(acc, one):
+        return F.struct(acc.t.alias("t"), (acc.k + 1).alias("k"), (acc.t * acc.now - acc.k * acc.before).alias("now"),
+                        acc.now.alias("before"), (acc["sum"] + one * acc.now).alias("sum"))
+    return F.exp(F.col(t) * F.col(t) * -0.5) * F.aggregate(m, zero, add, lambda acc: acc["sum"])
 
 
 def argmin(df: DataFrame, metric: str, tie_break: str = "k") -> DataFrame:

@@ -345,6 +345,24 @@ def als_topn(spark, sf):
     return top.join(v.items(spark, sf), "item_id", "left").select("user_id", "item_id", "score", "rank", "title", "genres")
 
 
+def keyed_model(spark, sf):
+    """Ratings under text and long ids, and the model fitted on their train part."""
+    ratings, train, test = (df.select(v.user_key(), v.item_key(), "rating") for df in parts(spark, sf))
+    return ratings, test, als.als_fit_any(train, "user_key", "item_key")
+
+
+@query("als_predict_any_id")
+def als_predict_any_id(spark, sf):
+    _, test, fitted = keyed_model(spark, sf)
+    return fitted.predict(test).select("user_key", "item_key", "rating", "est")
+
+
+@query("als_topn_any_id")
+def als_topn_any_id(spark, sf):
+    ratings, _, fitted = keyed_model(spark, sf)
+    return fitted.topn(5, ratings)
+
+
 @query("factors_lookup")
 def factors_lookup(spark, sf):
     """Item vectors of all items that someone rated 5."""

@@ -160,6 +160,13 @@ def dense_index(spark, sf):
     return cleaning.dense_index(v.rating_lines(spark, sf), "user_id")
 
 
+@query("id_dictionary", """SELECT user_key, ROW_NUMBER() OVER (ORDER BY user_key) - 1 AS idx
+    FROM (SELECT DISTINCT 'u' || user_id AS user_key FROM lines)""")
+def id_dictionary(spark, sf):
+    """Text ids numbered in the order of their bytes."""
+    return cleaning.id_dictionary(v.rating_lines(spark, sf).select(v.user_key()), "user_key")
+
+
 @query("train_test_split", """SELECT 'train' AS part, * FROM train UNION ALL SELECT 'test', * FROM test""")
 def train_test_split(spark, sf):
     return v.ratings(spark, sf).withColumn("part", cleaning.split_part())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.session import stage
@@ -23,6 +23,16 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def user_key(user: str = "user_id") -> Column:
+    """A text id for a user."""
+    return F.concat(F.lit("u"), F.col(user).cast("string")).alias("user_key")
+
+
+def item_key(item: str = "item_id") -> Column:
+    """An id for an item that no int holds."""
+    return (F.col(item).cast("long") + F.lit(1 << 40)).alias("item_key")
+
+
 def rating_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line; a user may rate an item more than once."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")

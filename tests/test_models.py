@@ -99,3 +99,20 @@ def test_tuning_marks_the_least_error(spark, planted):
 def test_argmin_takes_the_first_of_ties(spark):
     df = spark.createDataFrame([(3, 1.0), (1, 1.0), (2, 2.0)], "k int, rmse double")
     assert stats.argmin(df, "rmse").first()["k"] == 1
+
+
+def test_als_on_text_and_long_ids(spark):
+    """Text users and items beyond int: estimates near a planted rank-one table, lists without seen items, null ids left out."""
+    rows = [(f"name {u}", 2**40 + i, float((1 + u % 3) * (1 + i % 2))) for u in range(30) for i in range(20) if (u * 7 + i) % 4]
+    train = spark.createDataFrame([*rows, (None, 2**40, 9.0), ("name 1", None, 9.0)], "who string, what long, stars double")
+    fitted = als.als_fit_any(train, "who", "what", "stars", rank=3, reg=0.01)
+    assert {r.id for r in fitted.factors("user").collect()} == {r[0] for r in rows}
+    assert {r.id for r in fitted.factors("item").collect()} == {r[1] for r in rows}
+    wanted = [(f"name {u}", 2**40 + i) for u in range(30) for i in range(20) if not (u * 7 + i) % 4]
+    pairs = spark.createDataFrame([*wanted, ("nobody", 2**40), (None, 2**40)], "who string, what long")
+    got = {(r.who, r.what): r.est for r in fitted.predict(pairs).collect()}
+    assert set(got) == set(wanted)
+    assert all(abs(e - (1 + int(w.split()[1]) % 3) * (1 + (i - 2**40) % 2)) < 0.3 for (w, i), e in got.items())
+    top = fitted.topn(5, train).collect()
+    assert {(r.who, r.what) for r in top} == set(wanted) and len(top) == len(wanted)
+    assert all(abs(r.score - got[(r.who, r.what)]) < 1e-6 for r in top)

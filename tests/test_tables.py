@@ -1,5 +1,7 @@
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,16 @@ def test_dense_index_and_row_ids_ignore_partitioning(spark, parts):
     assert tuple(rows) == (1, len(set(ids)))
 
 
+@pytest.mark.parametrize("ids, kind", [
+    (["b", "a", "B", "", "ab", "\u00e9", "z" * 3000, "\U0001F600", "a"] + [f"k{i}" for i in range(700)], "string"),
+    ([2**62, -2**62, 2**53, 2**53 + 1, 0, 0], "long"), ([7] * 5, "long"), ([], "string")])
+def test_id_dictionary_keeps_the_order_of_any_ids(spark, ids, kind):
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], f"name {kind}").repartition(5)
+    got = {r["name"]: r["idx"] for r in cleaning.id_dictionary(df, "name").collect()}
+    order = sorted(set(ids), key=lambda i: i.encode() if kind == "string" else i)
+    assert got == {i: n for n, i in enumerate(order)}
+
+
 def test_samples_and_splits_do_not_depend_on_partitioning(spark):
     df = spark.range(2000).select((F.col("id") % 50).alias("user_id"), F.floor(F.col("id") / 50).alias("item_id"))
     a = cleaning.sample_fraction(df, 0.3)
@@ -99,6 +111,22 @@ def test_density_integrates_to_most_of_one(spark):
     assert 0.85 < d.agg(F.sum("density")).first()[0] * 9 / 99 < 1.0
 
 
+def test_density_equals_the_sum_over_all_values(spark):
+    """Against the plain sum, on far outliers too; rows after binning are bounded by the range in half bandwidths."""
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=4000), np.r_[rng.normal(size=500), 1e4], rng.exponential(size=3000) * 1e-3, rng.integers(0, 5, 900).astype(float)):
+        df = spark.createDataFrame(pd.DataFrame({"rating": x}))
+        got = np.array([r.density for r in stats.density(df).orderBy("point").collect()])
+        h = x.std(ddof=1) * len(x) ** -0.2
+        grid = np.linspace(x.min(), x.max(), 50)
+        want = np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+        assert np.abs(got - want).max() < 1e-11 / h
+        bins = stats._moments(df.select(F.col("rating").alias("x")), F.lit(float(x.min())), F.lit(float(h))).count()
+        assert bins <= np.ptp(x) / (h / 2) + 1
+    assert stats.density(spark.createDataFrame([], "rating double")).count() == 0
+    assert stats.density(spark.createDataFrame([(None,), (None,)], "rating double")).count() == 0
+
+
 def test_baseline_by_hand(spark, toy):
     long = cleaning.drop_null_ratings(cleaning.unpivot_wide(toy, ["user_id"], [f"i{k}" for k in range(1, 6)]))
     train, test = long.filter("item_id < 5"), long.filter("item_id = 5")
