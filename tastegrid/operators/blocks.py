@@ -426,6 +426,30 @@ class SparseTopTask(BlockTask):
             yield from _emit(["l", "r", "score"], self.id["l"][l], self.id["r"][r], v)
 
 
+class BlendTopTask(BlockTask):
+    """Sparse products over shared keys and vector products of the same block pair, each computed once; for every
+    ``a`` of ``alphas`` the best n right ids per left id by a · sparse + (1 - a) · dense."""
+
+    schema = "l long, a int, r long, score double"
+    channels = [(np.copy, np.copy)]
+
+    def __init__(self, n: int, alphas: tuple[float, ...]):
+        self.n, self.alphas = n, alphas
+
+    def finish(self):
+        self.add_columns()
+        nl, nr = self._size()
+        if nl and nr:
+            sparse = self.acc[:nl, :nr, 0]
+            dense = None if self.vec["l"] is None or self.vec["r"] is None else self.vec["l"][:nl] @ self.vec["r"][:nr].T
+            for k, a in enumerate(self.alphas):
+                score = a * sparse
+                if dense is not None:
+                    score += (1.0 - a) * dense
+                l, r, v = self._best(np.round(score, 8, out=score), self.n)
+                yield from _emit(["l", "a", "r", "score"], self.id["l"][l], np.full(len(l), k, np.int32), self.id["r"][r], v)
+
+
 class DenseTopTask(BlockTask):
     """Vector products of two blocks in one matrix product; best n per left id."""
 
@@ -554,6 +578,22 @@ def sparse_topn(left: DataFrame, right: DataFrame, lefts: DataFrame, rights: Dat
     return _best_overall(run_blocks(parts, SparseTopTask(n, exclude_self), lblk, rblk), n)
 
 
+def blend_topn(left: DataFrame, right: DataFrame, lefts: DataFrame, rights: DataFrame, n: int, alphas: tuple[float, ...],
+               exclude: DataFrame | None = None, size: int = BLOCK) -> DataFrame:
+    """(l, a, r, score, rank): best n of all ``rights`` (r, vec) for each of ``lefts`` (l, vec) and each place ``a`` in
+    ``alphas``, by alpha · product of sparse rows (l, key, w) and (r, key, w) + (1 - alpha) · product of vectors.
+    Both products are made once, whatever the number of alphas. All vectors of both sides have one length."""
+    lefts, rights = stage(lefts, "lefts"), stage(rights, "rights")
+    lblk, rblk = Blocked(lefts, "l", size, kept=True), Blocked(rights, "r", size, kept=True)
+    parts = [_universe(lblk, lefts, "l", "l", rblk.n), _universe(rblk, rights, "r", "r", lblk.n),
+             _entries(left, right, lblk, rblk, "l", "r")]
+    if exclude is not None:
+        parts.append(_mask(exclude, lblk, rblk, "l", "r"))
+    found = run_blocks(parts, BlendTopTask(n, alphas), lblk, rblk)
+    best = Window.partitionBy("l", "a").orderBy(F.col("score").desc(), F.col("r"))
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= n)
+
+
 def dense_topn(lefts: DataFrame, rights: DataFrame, n: int, exclude: DataFrame | None = None,
                size: int = BLOCK) -> DataFrame:
     """(l, r, score, rank): best n of all ``rights`` (r, vec[, w]) for each of ``lefts``

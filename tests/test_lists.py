@@ -122,6 +122,33 @@ def test_alpha_zero_and_one_give_the_two_orders(spark, catalog):
     assert order[2, 0.0] == [1, 2, 3]  # no vector, nothing liked: the lowest ids
 
 
+def test_blends_of_several_blocks_equal_brute_force(spark):
+    """Every alpha's lists from one pass: ties go to the lower id, pairs left out stay out, no keys or no vector count 0."""
+    from tastegrid.operators import blocks
+    rng = np.random.default_rng(8)
+    words_l, words_r = (rng.integers(0, 3, (m, 12)) * (rng.random((m, 12)) < 0.3) for m in (50, 70))
+    vec_l, vec_r = rng.integers(-2, 3, (50, 4)).astype(float), rng.integers(-2, 3, (70, 4)).astype(float)
+    vec_l[:5], vec_r[60:] = 0.0, 0.0
+
+    def entries(words, name):
+        at = np.argwhere(words)
+        return spark.createDataFrame([(int(i), int(k), float(words[i, k])) for i, k in at], f"{name} long, key long, w double")
+
+    def side(vec, name):
+        return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], f"{name} long, vec array<double>")
+    gone = {(int(l), int(r)) for l, r in rng.integers(0, 50, (300, 2))}
+    alphas = (0.0, 0.3, 0.5, 1.0)
+    top = blocks.blend_topn(entries(words_l, "l"), entries(words_r, "r"), side(vec_l, "l"), side(vec_r, "r"), 4, alphas,
+                            exclude=spark.createDataFrame(sorted(gone), "l long, r long"), size=16).collect()
+    got = {(x.l, x.a, x["rank"]): (x.r, x.score) for x in top}
+    for k, a in enumerate(alphas):
+        score = np.round(a * (words_l @ words_r.T) + (1 - a) * (vec_l @ vec_r.T), 8)
+        for l in range(50):
+            best = sorted((-score[l, r], r) for r in range(70) if (l, r) not in gone)[:4]
+            assert [got[l, k, i + 1] for i in range(4)] == [(r, -s) for s, r in best]
+    assert len(got) == 50 * 4 * 4
+
+
 def test_user_who_rated_the_best_hundred_still_gets_a_list(spark):
     mine = spark.createDataFrame([(1, [1.0])], "id long, features array<double>")
     theirs = spark.createDataFrame([(i, [float(200 - i)]) for i in range(120)], "id long, features array<double>")
