@@ -38,28 +38,26 @@ class Walk:
         self.moves = rng.integers(0, 2, (PERIOD, 256)).astype(np.int64)
         self.moves[:, 0] = 0  # the end of a text holds the cursor
         self.symbol = rng.integers(1, 16, 256).astype(np.uint8)
-        self.slot = np.empty(0, np.int16)
+        self.slot, self.least = np.empty(0, np.int16), np.full(SLOTS, 2.0)
 
     def _grow(self, steps: int) -> None:
-        """slot[t]: the slot whose sample step t replaces, or -1. Drawn in blocks with their own
-        seeds, so it does not depend on the texts met before."""
+        """slot[t]: the slot whose sample step t replaces, or -1. Drawn in blocks with their own seeds, each added to
+        those before with the least priority so far of every slot, so it does not depend on the texts met before."""
         block = 1 << 16
-        if steps <= len(self.slot):
-            return
-        n = -(-steps // block)
-        slot, least, parts = np.empty(0, np.int16), np.full(SLOTS, 2.0), []
-        for k in range(n):
+        parts = [self.slot]
+        for k in range(len(self.slot) // block, -(-steps // block)):
             rng = np.random.default_rng((self.seed, k))
             own, priority = rng.integers(0, SLOTS, block), rng.random(block)
             part = np.full(block, -1, np.int16)
             for s in range(SLOTS):
                 at = np.flatnonzero(own == s)
-                best = np.minimum.accumulate(np.append(least[s], priority[at]))
+                best = np.minimum.accumulate(np.append(self.least[s], priority[at]))
                 new = at[best[1:] < best[:-1]]
                 part[new] = s
-                least[s] = best[-1]
+                self.least[s] = best[-1]
             parts.append(part)
-        self.slot = np.concatenate([slot, *parts])
+        if len(parts) > 1:
+            self.slot = np.concatenate(parts)
 
     def fingerprints(self, texts: list[str]) -> np.ndarray:
         """One row of symbols per text; 0 where a slot has no step."""

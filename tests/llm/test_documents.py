@@ -103,6 +103,33 @@ def test_walk_is_the_same_in_any_company():
     assert edit_embedding.likeness(one_edit[:1], one_edit[1:])[0] > 0.6
 
 
+def plain_fingerprint(walk, text):
+    """The walk one character at a time; each slot keeps the symbol of its step of least priority."""
+    out, least, pos, t = [0] * edit_embedding.SLOTS, [2.0] * edit_embedding.SLOTS, 0, 0
+    while pos < len(text):
+        if t % (1 << 16) == 0:
+            rng = np.random.default_rng((walk.seed, t >> 16))
+            own, priority = rng.integers(0, edit_embedding.SLOTS, 1 << 16).tolist(), rng.random(1 << 16).tolist()
+        c = ((ord(text[pos]) * 2654435761 % 2**32) >> 16) % 255 + 1
+        s, p = own[t % (1 << 16)], priority[t % (1 << 16)]
+        if p < least[s]:
+            out[s], least[s] = int(walk.symbol[c]), p
+        pos += int(walk.moves[t % edit_embedding.PERIOD][c])
+        t += 1
+    return out
+
+
+def test_walk_equals_one_character_at_a_time():
+    """Short texts, and one whose walk goes on over several blocks of steps, before or after shorter ones."""
+    rng = np.random.default_rng(6)
+    texts = ["", "a", "\u00e9\U0001F600 z", *("".join(rng.choice(list("abcdef \u4e2d"), n)) for n in (30, 700, 90_000))]
+    walk = edit_embedding.Walk()
+    for order in (texts, texts[::-1]):
+        for text in order:
+            assert walk.fingerprints([text])[0].tolist() == plain_fingerprint(walk, text)
+    assert walk.fingerprints(texts).tolist() == [plain_fingerprint(walk, t) for t in texts]
+
+
 def test_similar_groups(odd_docs):
     groups = {r.doc_id: r.group_id for r in edit_embedding.similar(odd_docs, threshold=0.5).collect() if r.doc_id is not None and r.doc_id <= 20}
     assert groups[3] == groups[4] == groups[5] == groups[20] == 3
