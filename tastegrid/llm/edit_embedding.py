@@ -12,6 +12,7 @@ equal length, whatever their length.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ SLOTS = 128
 PERIOD = 1 << 13
 # Characters that one task walks at once; a longer text is walked by itself.
 WALK_CHARS = 12_000_000
+# Members of a bucket, or of one side of a pair of its blocks, that a task holds against each other.
+BUCKET_BLOCK = 4096
 
 
 class Walk:
@@ -204,25 +207,102 @@ def edited_likeness(docs: DataFrame, share: int = 4, seed: int = 7) -> DataFrame
                                  "edited_fingerprint string, near_edited double, near_next double")
 
 
-def similar(docs: DataFrame, threshold: float = 0.8, bands: int = 32, width: int = 4, seed: int = 7) -> DataFrame:
-    """(doc_id, group_id): groups of rows with like fingerprints, by bit-sampled banding. A band
-    is a random choice of ``width`` slots; of the fingerprints equal on a band, each is held against the least
-    one and linked at ``threshold``; groups follow the links. Equal fingerprints are always one group; rows
-    without doc_id belong to the group of their fingerprint."""
-    marks = stage(fingerprints(docs, seed), "fingerprints")
+def banding(threshold: float, recall: float = 0.99, most: int = 64) -> tuple[int, int]:
+    """(bands, width): the widest bands of which at most ``most`` find a pair at ``threshold`` with the given chance."""
+    for width in range(SLOTS // 4, 1, -1):
+        agree = threshold ** width
+        bands = 1 if agree >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-agree)) if agree > 1e-12 else most + 1
+        if bands <= most:
+            return bands, width
+    return most, 1
+
+
+def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join the rows of ``fp`` as all links between ``left`` and ``right`` rows would. A row is held only
+    against rows not joined to it yet, so a bucket of near copies costs little more than one look at each."""
+    group, links = np.arange(len(fp)), []
+    for i in left:
+        open_ = right[group[right] != group[i]]
+        if len(open_):
+            for j in open_[likeness(fp[open_], fp[i]) >= threshold]:
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    links.append((int(i), int(j)))
+    return links
+
+
+def near_links(marks: DataFrame, threshold: float = 0.8, bands: int | None = None, width: int | None = None, seed: int = 7,
+               block: int = BUCKET_BLOCK) -> DataFrame:
+    """(a, b): links between the different fingerprints of ``marks`` (fingerprint) that have the same components as all
+    pairs at ``threshold`` or more that meet in a bucket. A bucket of more than ``block`` members is first held against its
+    least one; the members that are not linked to it are held against all, in pairs of blocks, one pair to a
+    group of rows. A bucket met through equal hashes of different bands adds comparisons and no links."""
+    rule = banding(threshold)
+    bands, width = bands or rule[0], width or rule[1]
     rng = np.random.default_rng(seed + 1)
     chosen = [sorted(rng.choice(SLOTS, width, replace=False).tolist()) for _ in range(bands)]
-    distinct = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    keys = [F.struct(F.lit(k).alias("band"), F.concat(*[F.substring("fingerprint", s + 1, 1) for s in c]).alias("key"))
-            for k, c in enumerate(chosen)]
-    probes = stage(distinct.select("fingerprint", F.explode(F.array(*keys)).alias("p")).select("fingerprint", "p.band", "p.key"), "bands")
-    least = probes.groupBy("band", "key").agg(F.min("fingerprint").alias("other"))
-    pairs = probes.join(least, ["band", "key"]).filter("fingerprint <> other").select("fingerprint", "other").distinct()
+    distinct = stage(marks.select("fingerprint").distinct().withColumn("node", F.xxhash64("fingerprint")), "distinct")
+    keys = F.array(*[F.xxhash64(F.lit(k), F.concat(*[F.substring("fingerprint", s + 1, 1) for s in c])) for k, c in enumerate(chosen)])
+    # Only hashes travel until the buckets of one member are gone.
+    probes = distinct.select("node", F.explode(keys).alias("bucket"))
+    loads = probes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stage(probes.join(loads, "bucket").join(distinct, "node").select("bucket", "n", "fingerprint"), "members")
     same = F.expr("""aggregate(sequence(1, length(fingerprint)), struct(0 AS s, 0 AS n), (acc, i) -> struct(
         acc.s + IF(substring(fingerprint, i, 1) = substring(other, i, 1) AND substring(other, i, 1) <> '0', 1, 0) AS s,
         acc.n + IF(substring(fingerprint, i, 1) <> '0' OR substring(other, i, 1) <> '0', 1, 0) AS n))""")
-    links = pairs.withColumn("v", same).filter((F.col("v.n") > 0) & (F.col("v.s") >= threshold * F.col("v.n")))
-    roots = components(links.select(F.col("fingerprint").alias("a"), F.col("other").alias("b")))
+    large = members.filter(F.col("n") > block)
+    least = large.groupBy("bucket").agg(F.min("fingerprint").alias("other"))
+    held = stage(large.join(least, "bucket").withColumn("v", same).withColumn(
+        "near", (F.col("v.n") > 0) & (F.col("v.s") >= threshold * F.col("v.n"))), "held")
+    to_least = held.filter("near AND fingerprint <> other").select(F.col("other").alias("a"), F.col("fingerprint").alias("b"))
+    # The rest of a large bucket, in blocks, against all its blocks; the whole of a small one against itself.
+    rest = held.filter("NOT near").groupBy("bucket").agg(F.count(F.lit(1)).alias("rest"))
+    dealt = held.join(rest, "bucket").withColumns({
+        "blocks": F.ceil(F.col("n") / block).cast("int"), "parts": F.ceil(F.col("rest") / block).cast("int"),
+        "h": F.xxhash64("fingerprint", F.lit(seed))})
+    rights = dealt.withColumn("y", F.pmod("h", "blocks").cast("int")).withColumn(
+        "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", "x", "y", F.lit(1).alias("side"), "fingerprint")
+    lefts = dealt.filter("NOT near").withColumn("x", F.pmod("h", "parts").cast("int")).withColumn(
+        "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "x", "y", F.lit(0).alias("side"), "fingerprint")
+    small = members.filter(F.col("n") <= block).select("bucket", F.lit(-1).alias("x"), F.lit(-1).alias("y"), F.lit(1).alias("side"), "fingerprint")
+    digits = np.zeros(256, np.uint8)
+    digits[np.frombuffer(b"0123456789abcdef", np.uint8)] = np.arange(16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(keys, sides, texts):
+            fp = digits[np.frombuffer("".join(texts).encode(), np.uint8)].reshape(len(texts), SLOTS)
+            side = np.array(sides)
+            right = np.flatnonzero(side == 1)
+            left = np.flatnonzero(side == 0) if keys[1] >= 0 else right
+            return [(texts[i], texts[j]) for i, j in _forest(fp, left, right, threshold) if texts[i] != texts[j]]
+        held_key, sides, texts = None, [], []
+        for b in batches:
+            out = []
+            for *key, side, text in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if key != held_key:
+                    if held_key is not None:
+                        out += linked(held_key, sides, texts)
+                    held_key, sides, texts = key, [], []
+                sides.append(side)
+                texts.append(text)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.string()), "b": pa.array([p[1] for p in out], pa.string())})
+        if held_key is not None:
+            out = linked(held_key, sides, texts)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.string()), "b": pa.array([p[1] for p in out], pa.string())})
+    grouped = rights.union(lefts).union(small).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return grouped.mapInArrow(run, "a string, b string").union(to_least).distinct()
+
+
+def similar(docs: DataFrame, threshold: float = 0.8, bands: int | None = None, width: int | None = None, seed: int = 7,
+            block: int = BUCKET_BLOCK) -> DataFrame:
+    """(doc_id, group_id): groups of rows with like fingerprints, by bit-sampled banding. A band is a random choice
+    of ``width`` slots; fingerprints equal on a band meet in a bucket, all of a bucket are verified at
+    ``threshold`` (see ``near_links``), and groups follow the links. By default bands are as wide as a chance of 0.99 to find
+    a pair at the threshold allows. Equal fingerprints are always one group; rows without doc_id belong to
+    the group of their fingerprint."""
+    marks = stage(fingerprints(docs, seed), "fingerprints")
+    roots = components(near_links(marks, threshold, bands, width, seed, block))
+    distinct = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     named = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
         "root", F.coalesce("root", "fingerprint"))
     ids = named.groupBy("root").agg(F.min("least").alias("group_id"))

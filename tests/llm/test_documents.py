@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastegrid.llm import decontam, edit_embedding, kd_shards, licenses, toxicity
+from tastegrid.llm.components import components
 from test_dedup import ordered
 
 SF = "/root/testdata/sf0.01"
@@ -136,6 +137,60 @@ def test_similar_groups(odd_docs):
     assert groups[1] == 1 and groups[12] == 12
 
 
+def planted_fingerprints(n, pairs):
+    """Random fingerprints with skewed symbols, each of the first ``pairs`` with a copy in which up to a fifth of the slots changed."""
+    rng = np.random.default_rng(11)
+    share = 1 / np.arange(1, 16)
+    fp = (rng.choice(15, (n, edit_embedding.SLOTS), p=share / share.sum()) + 1).astype(np.uint8)
+    near = fp[:pairs].copy()
+    for row in near:
+        at = rng.choice(edit_embedding.SLOTS, rng.integers(1, 26), replace=False)
+        row[at] = row[at] % 15 + 1
+    return np.concatenate([fp, near])
+
+
+@pytest.mark.parametrize("width, bands, block", [(None, None, 4096), (2, 32, 4096), (2, 32, 16)])
+def test_near_links_find_planted_pairs_at_every_load(spark, width, bands, block):
+    """Buckets of one or two members, of about 70, and of 70 in blocks of 16: found pairs against all pairs."""
+    fp = planted_fingerprints(1_500, 500)
+    names = edit_embedding.written(fp)
+    marks = spark.createDataFrame([(x,) for x in names], "fingerprint string")
+    links = edit_embedding.near_links(marks, 0.8, bands, width, block=block)
+    root = {r.node: r.root for r in components(links).collect()}
+    true = {(names[i], names[j]) for i in range(len(fp)) for j in np.flatnonzero(edit_embedding.likeness(fp[i + 1:], fp[i]) >= 0.8) + i + 1}
+    assert len(true) >= 500
+    found = [root.get(a) is not None and root.get(a) == root.get(b) for a, b in true]
+    assert sum(found) >= 0.98 * len(true)
+    either = true | {(b, a) for a, b in true}
+    assert all((r.a, r.b) in either for r in links.collect())
+
+
+def test_near_links_hot_bucket_of_copies_and_strangers(spark):
+    """One band over equal slots: every fingerprint is in one bucket, most near the least, some only near each other."""
+    rng = np.random.default_rng(3)
+    base, other = rng.integers(1, 16, (2, edit_embedding.SLOTS)).astype(np.uint8)
+    rows = []
+    for k in range(300):
+        row = (base if k % 3 else other).copy()
+        at = rng.choice(np.arange(64, edit_embedding.SLOTS), 10, replace=False)
+        row[at] = row[at] % 15 + 1
+        row[:64] = base[:64]
+        rows.append(row)
+    names = edit_embedding.written(np.array(rows))
+    links = edit_embedding.near_links(spark.createDataFrame([(x,) for x in names], "fingerprint string"), 0.8, 12, 1, block=32)
+    root = {r.node: r.root for r in components(links).collect()}
+    groups = [{root[names[k]] for k in range(300) if bool(k % 3) == side} for side in (True, False)]
+    like = edit_embedding.likeness(np.array(rows)[1::3], np.array(rows)[0])
+    assert like.max() < 0.8 and len(groups[0]) == len(groups[1]) == 1 and groups[0] != groups[1]
+
+
+def test_banding_widths():
+    assert edit_embedding.banding(1.0) == (1, 32)
+    for threshold in (0.5, 0.8, 0.9):
+        bands, width = edit_embedding.banding(threshold)
+        assert bands <= 64 and 1 - (1 - threshold ** width) ** bands >= 0.99
+
+
 # --- toxicity ----------------------------------------------------------------------------
 
 
