@@ -1,25 +1,31 @@
 """Licence scans with a trained paragraph classifier, in DataFrame functions and Spark ML only.
 
-Paragraphs are lines. A multinomial logistic regression over hashed word unigrams and bigrams is trained
-on the templates below, alone and inside sampled paragraphs, against a class of unknown paragraphs
-from a bounded sample of the corpus. The bar a family's probability must pass is calibrated on unknown
-paragraphs kept from training. A prediction counts once a template of that family is found in the paragraph:
-a given share of the template's word bigrams stands in it.
+A paragraph is a run of lines up to one without words. It is looked at in windows: each line with the words that follow
+it in its paragraph, as many as the longest template has, so a notice wrapped over lines stands whole in the window of the
+line it starts on. A multinomial logistic regression over hashed word unigrams and bigrams is trained on the
+templates below, alone and inside sampled windows, against a class of unknown windows from a bounded sample of the
+corpus. The bar a family's probability must pass is calibrated on unknown windows kept from training. A
+prediction counts once a template of that family is found in the window: a given share of the template's word bigrams
+stands in it, and every bigram that holds a number or names a GNU licence, so that versions are told apart.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.llm.texts import hash_share
 from tastegrid.session import stage
 
 UNKNOWN = "unknown"
-# Public licence notices by family; a family's name comes first.
+# Public licence notices by family; a family's name comes first. "GPL" is the sentence that names no version.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
@@ -40,13 +46,21 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "Released under the GNU GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Released under the GNU GPL v2.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    ],
+    "GPL": [
         "You should have received a copy of the GNU General Public License along with this program.",
     ],
     "LGPL-2.1": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
-        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
     ],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
@@ -78,6 +92,10 @@ TEMPLATES = {
 SAMPLE_DOCS, SAMPLE = 2_000, 4_000
 WIDTH = 1 << 14
 TEMPLATE_SHARE = 0.75
+# A window that holds this share of a template is no example of unknown text.
+PARTLY = 0.5
+# Bigrams that a confirmed template may not lack.
+DECIDING = r"\d|\bgnu\b"
 
 
 def tokens(text: Column) -> Column:
@@ -92,10 +110,28 @@ def bigrams(words: Column) -> Column:
                                                 lambda a, b: F.concat_ws(" ", a, b))).otherwise(words)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, words) of every line that holds a word; numbers count all lines from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", tokens(F.col("line")).alias("words")).filter(F.size("words") > 0)
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def paragraphs(docs: DataFrame, longest: int) -> DataFrame:
+    """(row, doc_id, paragraph, own, words): a window for every line that holds a word. ``paragraph`` numbers all lines from 0,
+    ``own`` are the line's words, ``words`` those and up to ``longest`` - 1 following ones of the same paragraph."""
+    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
+    none = F.array().cast("array<string>")
+
+    def after(t: Column) -> Column:
+        gap = F.array_position(t, none).cast("int")
+        return F.slice(F.flatten(F.when(gap > 0, F.slice(t, 1, gap - 1)).otherwise(t)), 1, longest - 1)
+
+    def windows(w: Column) -> Column:
+        return F.transform(w, lambda own, i: F.struct(own.alias("own"), F.when(
+            F.size(own) > 0, _let(F.slice(w, i + 2, F.lit(longest - 1)), after)).otherwise(none).alias("after")))
+    # Numbered before the lines are cut: beside the generator every line would get a number of its own.
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    cut = numbered.select("row", "doc_id", F.posexplode(_let(F.transform(lines, tokens), windows)).alias("paragraph", "u"))
+    return cut.filter(F.size("u.own") > 0).select("row", "doc_id", "paragraph", F.col("u.own").alias("own"), F.concat("u.own", "u.after").alias("words"))
 
 
 def _templates(spark) -> DataFrame:
@@ -104,6 +140,48 @@ def _templates(spark) -> DataFrame:
     return one.select("family", "template", tokens(F.col("template")).alias("words"))
 
 
+class Known:
+    """The templates with their bigrams, as literals: some dozens of rows, the same for every corpus."""
+
+    def __init__(self, spark):
+        self.rows = _templates(spark).select("family", "template", F.size("words").alias("n"),
+                                             F.array_distinct(bigrams(F.col("words"))).alias("grams")).collect()
+        self.longest = max(r.n for r in self.rows)
+        # Fewer bigrams of any template than this confirm none.
+        self.fewest = min(math.ceil(TEMPLATE_SHARE * len(r.grams)) for r in self.rows)
+
+    @staticmethod
+    def _words(values) -> Column:
+        return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+
+    def some(self, words: Column) -> Column:
+        """Whether a window holds bigrams enough to confirm the shortest template; others cannot be confirmed."""
+        every = self._words(sorted({g for r in self.rows for g in r.grams}))
+        return F.size(F.array_intersect(bigrams(words), every)) >= self.fewest
+
+    def partly(self, grams: Column) -> Column:
+        """Whether a window holds a good part of some template."""
+        shares = [F.size(F.array_intersect(self._words(r.grams), grams)) >= PARTLY * len(r.grams) for r in self.rows]
+        return reduce(lambda a, b: a | b, shares)
+
+    def best(self, grams: Column, probabilities: Column) -> Column:
+        """The confirmed template of the most probable family: (probability, share, template, family), or null."""
+        number = {f: k + 1 for k, f in enumerate(TEMPLATES)}
+        all_ = F.array(*[F.struct(F.get(probabilities, F.lit(number[r.family])).alias("probability"), self.share(r, grams).alias("share"),
+                                  F.lit(r.template).alias("template"), F.lit(r.family).alias("family")) for r in self.rows])
+        return F.array_max(F.filter(all_, lambda t: t["share"] >= TEMPLATE_SHARE))
+
+    def share(self, r, grams: Column) -> Column:
+        """Share of a template's bigrams among ``grams``; 0 if one of those that decide is missing."""
+        must = [g for g in r.grams if re.search(DECIDING, g)]
+        found = F.size(F.array_intersect(self._words(r.grams), grams)) / len(r.grams)
+        return F.when(F.size(F.array_except(self._words(must), grams)) == 0, found).otherwise(0.0) if must else found
+
+    def own(self, grams: Column, template: Column) -> Column:
+        """The share of the template named in ``template``."""
+        return F.coalesce(*[F.when(template == r.template, self.share(r, grams)) for r in self.rows])
+
+
 def _features():
     return [NGram(n=2, inputCol="words", outputCol="pairs"),
             HashingTF(numFeatures=WIDTH, binary=True, inputCol="grams", outputCol="features")]
@@ -114,21 +192,15 @@ def _with_features(rows: DataFrame) -> DataFrame:
     return hashed.transform(pairs.transform(rows).withColumn("grams", F.concat("words", "pairs"))).drop("pairs", "grams")
 
 
-def train(docs: DataFrame):
+def train(docs: DataFrame, templates: Known):
     """(model, bar): the fitted classifier and the probability that a family must pass."""
     spark = docs.sparkSession
     order = F.xxhash64("words", F.lit(7))
     pick = hash_share(docs.select("doc_id", "text"), F.xxhash64("doc_id", "text"), SAMPLE_DOCS, docs.count())
-    found = stage(paragraphs(pick).dropDuplicates(["words"]), "paragraphs")
-    sample = stage(hash_share(found, order, SAMPLE, found.count()).withColumn("o", F.pmod(order, F.lit(4))), "sample")
+    found = stage(paragraphs(pick, templates.longest).select("words").dropDuplicates(["words"]), "paragraphs")
+    sample = hash_share(found, order, SAMPLE, found.count()).withColumns({"o": F.pmod(order, F.lit(4)), "_grams": bigrams(F.col("words"))})
+    sample = stage(sample.filter(~templates.partly(F.col("_grams"))).drop("_grams"), "unknown")
     known = _templates(spark)
-    # A paragraph that holds a template's words in full is no example of unknown text.
-    holds = [F.size(F.array_except(F.array(*[F.lit(g) for g in r.g]), bigrams(F.col("words")))) == 0
-             for r in known.select(bigrams(F.col("words")).alias("g")).collect()]
-    clean = holds[0]
-    for h in holds[1:]:
-        clean = clean | h
-    sample = stage(sample.filter(~clean), "unknown")
     label = {f: float(k + 1) for k, f in enumerate(TEMPLATES)}
     number = F.coalesce(*[F.when(F.col("family") == f, n) for f, n in label.items()])
     # Templates inside other paragraphs: each with the sampled paragraphs whose hash picks it.
@@ -149,27 +221,26 @@ def train(docs: DataFrame):
 
 
 def licenses(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, family, probability, template, template_share): every paragraph of every row that states a
-    licence. The classifier names the family with the highest probability if that of unknown text stays
-    under the calibrated bar; the best template of the family confirms it. Null and empty texts have no paragraphs;
-    repeated rows give repeated results; of equal templates the first by text counts."""
+    """(doc_id, paragraph, family, probability, template, template_share): every notice of every row; ``paragraph`` is the number of
+    the line it starts on, from 0. The classifier must give unknown text less than the calibrated bar leaves; of the
+    families, the most probable one of which a template is confirmed is named. A notice that stands in the windows of
+    several following lines is told once, for the window that holds most of it, the last of equals; lines that each
+    hold it are told each. Null and empty texts have no paragraphs; repeated rows give repeated results; of equal shares the
+    last template by text counts."""
     spark = docs.sparkSession
-    model, bar = train(docs)
-    names = F.array(F.lit(UNKNOWN), *[F.lit(f) for f in TEMPLATES])
-    scored = model.transform(_with_features(paragraphs(docs)))
-    p = vector_to_array("probability")
-    likely = scored.select("doc_id", "paragraph", "words", p.alias("p")).filter(1 - F.get("p", F.lit(0)) >= bar)
-    families = F.slice("p", 2, len(TEMPLATES))
-    best = F.array_max(families)
-    likely = likely.withColumn("probability", best).withColumn("family", F.get(names, F.array_position(families, best).cast("int")))
-    grams = _templates(spark).select("family", "template", bigrams(F.col("words")).alias("grams"))
-    by_family = grams.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("template", "grams"))).alias("templates"))
-    own = bigrams(F.col("words"))
-    matched = likely.withColumn("_own", own).join(by_family, "family").select(
-        "doc_id", "paragraph", "family", "probability",
-        F.array_max(F.transform("templates", lambda t: F.struct(
-            (F.size(F.array_intersect(t["grams"], F.col("_own"))) / F.size(F.array_distinct(t["grams"]))).alias("share"),
-            t["template"].alias("template")))).alias("m"))
-    return matched.filter(F.col("m.share") >= TEMPLATE_SHARE).select(
-        "doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.col("m.template").alias("template"),
-        F.round("m.share", 6).alias("template_share"))
+    templates = Known(spark)
+    model, bar = train(docs, templates)
+    windows = paragraphs(docs, templates.longest).filter(templates.some(F.col("words")))
+    scored = model.transform(_with_features(windows)).select("row", "doc_id", "paragraph", "own", "words", vector_to_array("probability").alias("p"))
+    likely = scored.filter(1 - F.get("p", F.lit(0)) >= bar).withColumn("grams", bigrams(F.col("words")))
+    matched = likely.withColumn("m", templates.best(F.col("grams"), F.col("p"))).filter("m IS NOT NULL").select(
+        "row", "doc_id", "paragraph", "m.*", bigrams(F.col("own")).alias("own"))
+    matched = matched.withColumn("alone", templates.own(F.col("own"), F.col("template")) >= TEMPLATE_SHARE).drop("own")
+    order = Window.partitionBy("row", "template").orderBy("paragraph")
+    near = matched.withColumns({
+        "before": F.when(F.lag("paragraph").over(order) == F.col("paragraph") - 1, F.lag("share").over(order)),
+        "after": F.when(F.lead("paragraph").over(order) == F.col("paragraph") + 1, F.lead("share").over(order))})
+    told = (F.coalesce(F.col("share") >= F.col("before"), F.lit(True))
+            & (F.col("alone") | F.coalesce(F.col("share") > F.col("after"), F.lit(True))))
+    return near.filter(told).select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), "template",
+                                    F.round("share", 6).alias("template_share"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -308,3 +309,63 @@ def test_op7_odd_rows(odd_docs, no_docs):
     found = licenses.licenses(odd_docs).collect()
     assert [(r.doc_id, r.paragraph, r.family) for r in found] == [(22, 0, "Apache-2.0")]
     assert licenses.licenses(no_docs).collect() == []
+
+
+# Public notices as they stand in source files.
+NOTICES = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation '
+           'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify',
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+                  'License. You may obtain a copy of the License at',
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+               "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+               "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                "License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+                    "following conditions are met:",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+               "with this file, You can obtain one at",
+    "GPL": "You should have received a copy of the GNU General Public License along with this program. If not, see",
+}
+
+
+def plain_share(template, window):
+    """A template's share of a text by itself, in plain Python."""
+    def grams(text):
+        words = re.findall(r"[^\W_]+", text.lower())
+        return {" ".join(p) for p in zip(words, words[1:])} if len(words) > 1 else set(words)
+    want = grams(template)
+    return len(want & grams(window)) / len(want)
+
+
+def test_op7_wrapped_notices(spark):
+    """Notices wrapped at 60 to 80 columns behind comment marks, after a text's own lines and alone."""
+    docs = spark.read.parquet(SF + "/documents.parquet").select("doc_id", "text").filter("text NOT LIKE '%icense%'").limit(300).collect()
+    rows, want, k = [(r.doc_id, r.text) for r in docs], {}, 10 ** 6
+    for width in (60, 72, 80):
+        for mark in ("", "# ", " * "):
+            for family, notice in NOTICES.items():
+                before = docs[k % len(docs)].text.split("\n")[:3] if mark != "# " else []
+                lines = [mark + x for x in textwrap.wrap(notice, width)]
+                assert len(lines) > 1
+                rows.append((k, "\n".join([*before, *([mark] if k % 2 else []), *lines, "", "The end of it."])))
+                want[k] = (len(before) + k % 2, family, notice)
+                k += 1
+    found = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by_id = {i: [r for r in found if r.doc_id == i] for i in want}
+    assert all(r.doc_id in want for r in found)
+    right = [i for i in want if (want[i][1] in {r.family for r in by_id[i]}) and all(r.family == want[i][1] for r in by_id[i])]
+    assert len(right) >= 0.9 * len(want), [(want[i], by_id[i]) for i in want if i not in right][:5]
+    assert all(r.template_share == round(plain_share(r.template, want[r.doc_id][2]), 6) for r in found if r.template_share == 1)
+    assert sum(len(by_id[i]) for i in right) <= 1.3 * len(right)
+
+
+def test_op7_versions_and_repeats(spark):
+    line = "This work is licensed under the GNU General Public License, version {}."
+    docs = [(1, line.format(2)), (2, line.format(3)), (3, line.format(3) + "\n" + line.format(3)), (3, line.format(3)), (4, "\n\n" + line.format(2) + "\n\n"), (5, line.format(7))]
+    docs += [(100 + k, f"Plain words of text number {k} stand here.\nNothing else is said.") for k in range(40)]
+    found = licenses.licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in found) == [
+        (1, 0, "GPL-2.0"), (2, 0, "GPL-3.0"), (3, 0, "GPL-3.0"), (3, 0, "GPL-3.0"), (3, 1, "GPL-3.0"), (4, 2, "GPL-2.0")]
