@@ -149,6 +149,19 @@ class Known:
         self.longest = max(r.n for r in self.rows)
         # Fewer bigrams of any template than this confirm none.
         self.fewest = min(math.ceil(TEMPLATE_SHARE * len(r.grams)) for r in self.rows)
+        # Without any of these words too many bigrams of every template are missing.
+        self.anchors = sorted({w for r in self.rows for w in self._anchors(r.grams)})
+
+    @staticmethod
+    def _anchors(grams) -> list[str]:
+        """The longest words of a template, as many as leave less than the needed share of its bigrams without them."""
+        found, left = [], list(grams)
+        for word in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w)):
+            if len(left) < TEMPLATE_SHARE * len(grams):
+                break
+            found.append(word)
+            left = [g for g in left if word not in g.split(" ")]
+        return found
 
     @staticmethod
     def _words(values) -> Column:
@@ -157,7 +170,7 @@ class Known:
     def some(self, words: Column) -> Column:
         """Whether a window holds bigrams enough to confirm the shortest template; others cannot be confirmed."""
         every = self._words(sorted({g for r in self.rows for g in r.grams}))
-        return F.size(F.array_intersect(bigrams(words), every)) >= self.fewest
+        return F.arrays_overlap(words, self._words(self.anchors)) & (F.size(F.array_intersect(bigrams(words), every)) >= self.fewest)
 
     def partly(self, grams: Column) -> Column:
         """Whether a window holds a good part of some template."""
