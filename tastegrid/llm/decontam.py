@@ -85,7 +85,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: in
     word, bit = _slot(F.col("seed"), bits)
     # At most 2 ** (MOST_BITS - 6) longs; a literal, as a function over arrays takes no subquery.
     held = {r.w: r.b for r in seeds.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).collect()}
-    bitmap = F.split(F.lit(",".join(str(held.get(k, 0)) for k in range(1 << (BITS - 6)))), ",").cast("array<bigint>")
+    bitmap = F.split(F.lit(",".join(str(held.get(k, 0)) for k in range(1 << (bits - 6)))), ",").cast("array<bigint>")
 
     def may_hit(i: Column) -> Column:
         w, b = _slot(_seed(i), bits)

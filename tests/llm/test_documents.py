@@ -301,6 +301,18 @@ def test_every_excerpt_of_the_given_items(spark):
     assert [decontam._bits(n) for n in (0, 1 << 17, (1 << 17) + 1, 1 << 30)] == [20, 20, 21, decontam.MOST_BITS]
 
 
+def test_more_seeds_than_the_least_bitmap_holds(spark):
+    """Excerpts of items of over 2 ** 17 seeds together, which take a wider bitmap, are all found and their documents dropped."""
+    items = [[f"w{i}x{k}" for k in range(110)] for i in range(1_400)]
+    rows = [(i, " ".join([f"a{i}"] * 9 + items[i][40:51] + [f"b{i}"] * 9)) for i in range(0, 1_400, 10)]
+    docs = spark.createDataFrame([*rows, (-1, " ".join(f"q{k}" for k in range(40)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert decontam._bits(100 * len(items)) > decontam.BITS
+    got = {(r.doc_id, r.item_id): (r.first_word, r.end_word) for r in decontam.decontaminate(docs, bench).collect()}
+    assert set(got) == {(i, i) for i, _ in rows} and all(a <= 9 and b >= 20 for a, b in got.values())
+    assert [r.doc_id for r in decontam.drop_leaks(docs, bench).collect()] == [-1]
+
+
 # --- licences ----------------------------------------------------------------------------
 
 
