@@ -116,3 +116,23 @@ def test_als_on_text_and_long_ids(spark):
     top = fitted.topn(5, train).collect()
     assert {(r.who, r.what) for r in top} == set(wanted) and len(top) == len(wanted)
     assert all(abs(r.score - got[(r.who, r.what)]) < 1e-6 for r in top)
+
+
+def test_als_drops_the_shuffle_files_of_earlier_iterations(spark, planted):
+    import re
+    import time
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (files.apply(k).getName() for k in range(files.size()))
+        return {m[1] for m in map(re.compile(r"shuffle_(\d+)_").match, names) if m}
+    df = frame(spark, *planted).withColumn("user_id", F.col("user_id").cast("int"))
+    before = shuffles()
+    model = als.als_fit(df, rank=2, iters=20, nonnegative=False)
+    model.userFactors.count()
+    for _ in range(20):
+        left = len(shuffles() - before)
+        if left <= 14:
+            break
+        time.sleep(0.5)
+    assert left <= 14  # 42 or so are made
