@@ -78,10 +78,11 @@ def factors_lookup(model: ALSModel, ids: DataFrame, side: str = "item", id_col:
 
 def dot_predict(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFrame,
                 user: str = "user_id", item: str = "item_id", est: str = "est") -> DataFrame:
-    """User vector · item vector for the pairs whose two ids have vectors."""
+    """User vector · item vector for the pairs whose two ids have vectors. Vectors travel in the type they have and are
+    multiplied as doubles."""
     u = user_factors.select(F.col("id").alias(user), F.col("features").alias("_u"))
     v = item_factors.select(F.col("id").alias(item), F.col("features").alias("_v"))
-    return pairs.join(u, user).join(v, item).withColumn(est, dot("_u", "_v")).drop("_u", "_v")
+    return pairs.join(u, user).join(v, item).withColumn(est, dot(F.col("_u").cast("array<double>"), F.col("_v").cast("array<double>"))).drop("_u", "_v")
 
 
 def dot_topn(user_factors: DataFrame, item_factors: DataFrame, n: int, seen: DataFrame | None = None,
