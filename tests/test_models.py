@@ -136,3 +136,18 @@ def test_als_drops_the_shuffle_files_of_earlier_iterations(spark, planted):
             break
         time.sleep(0.5)
     assert left <= 14  # 42 or so are made
+
+
+def test_given_float_vectors_stay_floats_and_are_multiplied_as_doubles(spark):
+    from tastegrid.sources import views
+    given = views.vectors(spark, "/root/testdata/sf0.001", as_given=True)
+    assert given.schema["features"].dataType.elementType.simpleString() == "float"
+    rng = np.random.default_rng(5)
+    u, v = rng.normal(size=(2, 64)).astype(np.float32) * 1000
+    f = spark.createDataFrame([(1, u.tolist()), (2, v.tolist())], "id long, features array<float>")
+    pairs = spark.createDataFrame([(1, 2)], "user_id long, item_id long")
+    got = als.dot_predict(pairs, f, f).first()["est"]
+    want = 0.0
+    for x, y in zip(u.tolist(), v.tolist()):
+        want += x * y
+    assert got == want
