@@ -160,6 +160,29 @@ def test_user_who_rated_the_best_hundred_still_gets_a_list(spark):
     assert [r["item_id"] for r in top.orderBy("rank").collect()] == [100, 101, 102, 103, 104]
 
 
+def test_block_pairs_meet_without_a_shuffle_per_pair(spark):
+    """Blocks of both sides meet in a Cartesian product; repeated and negative ids and several tasks keep the lists of brute force."""
+    from tastegrid.operators import blocks
+    rng = np.random.default_rng(3)
+    words_l, words_r = (rng.integers(1, 4, (m, 30)) * (rng.random((m, 30)) < 0.2) for m in (300, 500))
+
+    def entries(words, name):
+        return spark.createDataFrame([(int(i) - 200, int(k), float(words[i, k])) for i, k in np.argwhere(words)], f"{name} long, key long, w double")
+
+    def ids(m, name):
+        return spark.createDataFrame([(i - 200,) for i in range(m)] + [(None,)], f"{name} long")
+    gone = {(int(l) - 200, int(r) - 200) for l, r in rng.integers(0, 300, (2000, 2))}
+    top = blocks.sparse_topn(entries(words_l, "l"), entries(words_r, "r"), ids(300, "l"), ids(500, "r"), 3,
+                             exclude=spark.createDataFrame(sorted(gone), "l long, r long"), size=20)
+    assert "CartesianProduct" in top._jdf.queryExecution().toString()
+    got = {(x.l, x["rank"]): (x.r, x.score) for x in top.collect()}
+    score = words_l @ words_r.T
+    for l in range(300):
+        best = sorted((-score[l, r], r - 200) for r in range(500) if (l - 200, r - 200) not in gone)[:3]
+        assert [got[l - 200, i + 1] for i in range(3)] == [(r, -s) for s, r in best]
+    assert len(got) == 900
+
+
 def test_long_masks_are_not_widened(monkeypatch):
     """A vector row beside 500 long mask rows: the parts stay small."""
     import pyarrow as pa
