@@ -183,6 +183,22 @@ def test_block_pairs_meet_without_a_shuffle_per_pair(spark):
     assert len(got) == 900
 
 
+def test_list_quality_sends_one_row_per_vector(spark):
+    """Means of unit vectors without a row per position; float vectors, a zero vector, a null one and a user without any."""
+    from tastegrid.operators import quality
+    given = {1: [3.0, 4.0], 2: [0.0, 2.0], 3: [0.0, 0.0], 4: None, 5: [1.0, 0.0]}
+    vecs = spark.createDataFrame(list(given.items()), "id long, features array<float>")
+    lists = pairs(spark, [(1, 1), (1, 2), (2, 5), (3, 4), (4, 1), (4, 3)])
+    liked = pairs(spark, [(1, 5), (1, 4), (2, 1), (2, 2)])
+    made = quality.diversity(lists, vecs)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {x.user_id: round(x.diversity, 9) for x in made.collect()} == {1: 0.2, 2: 1.0, 4: 1.5}
+    got = {x.user_id: x.serendipity for x in quality.serendipity(lists, liked, vecs).collect()}
+    assert {u: s if s is None else round(s, 9) for u, s in got.items()} == {1: 0.7, 2: 0.7, 4: None}
+    got = {(x.user_id, x.item_id): round(x.serendipity, 9) for x in quality.item_serendipity(lists, liked, vecs).collect()}
+    assert got == {(1, 1): 0.4, (1, 2): 1.0, (2, 5): 0.7, (3, 4): 1.0, (4, 1): 1.0, (4, 3): 1.0}
+
+
 def test_long_masks_are_not_widened(monkeypatch):
     """A vector row beside 500 long mask rows: the parts stay small."""
     import pyarrow as pa
