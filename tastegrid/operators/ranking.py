@@ -17,12 +17,12 @@ def candidate_cells(users: DataFrame, catalog: list, item: str = "item_id") -> D
     return users.select("*", F.explode(F.array(*[F.lit(i) for i in catalog])).alias(item))
 
 
-def seen_pairs(*frames: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
-    """Union of rated pairs, each pair once."""
+def seen_pairs(*frames: DataFrame, user: str = "user_id", item: str = "item_id", tasks: int | None = None) -> DataFrame:
+    """Union of rated pairs, each pair once; ``tasks``: shuffle partitions, where the session's are too few."""
     out = frames[0].select(user, item)
     for f in frames[1:]:
         out = out.union(f.select(user, item))
-    return out.distinct()
+    return (out.repartition(tasks, user, item) if tasks else out).distinct()
 
 
 def anti_seen(cands: DataFrame, *seen: DataFrame, user: str = "user_id",

@@ -270,7 +270,7 @@ def union_all(spark, sf):
 @query("union_distinct", "SELECT DISTINCT user_id, item_id FROM lines")
 def union_distinct(spark, sf):
     train, test = cleaning.split(v.rating_lines(spark, sf))
-    return ranking.seen_pairs(train, test)
+    return ranking.seen_pairs(train, test, tasks=v.line_tasks(spark, sf))
 
 
 @query("set_difference", "SELECT user_id, item_id FROM cells WHERE rating IS NULL")

@@ -1,3 +1,4 @@
+import math
 import os
 
 import numpy as np
@@ -9,6 +10,8 @@ from pyspark.sql import types as T
 from tastegrid.functions import text as tx
 from tastegrid.operators import cleaning, ranking, stats
 from tastegrid.operators.baseline import baseline, biases, mean_center
+from tastegrid.plans import tables
+from tastegrid.sources import views
 from tastegrid.sources.files import read_ratings, write_table
 
 N = None
@@ -151,3 +154,28 @@ def test_text_functions(spark):
     rows = df.select(tx.feature_text().alias("f"), tx.tokens(tx.feature_text()).alias("t")).collect()
     assert rows[0]["f"] == "toy story 1995 adventure sci-fi" and rows[0]["t"] == ["toy", "story", "1995", "adventure", "sci", "fi"]
     assert rows[1]["f"] == "a b" and rows[1]["t"] == []
+
+
+def test_more_shuffle_partitions_where_lines_are_many(spark, tmp_path, monkeypatch):
+    """No task holds more order lines than the bound, however few shuffle partitions the session has."""
+    lines = [(k % 90 if k % 7 else None, k % 13 if k % 11 else None, float(k % 50)) for k in range(600)]
+    orders = [(k, k % 17 if k % 5 else None, "5-LOW") for k in range(80)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    user = {k: u for k, u, _ in orders}
+    want = {(user[k], i) for k, i, _ in lines if k in user}
+    best = {}
+    for k, i, q in lines:
+        if k in user:
+            best[user[k], i] = max(best.get((user[k], i), 0), math.ceil(q / 10))
+    for bound, tasks in ((600, None), (20, 30)):
+        monkeypatch.setattr(views, "PER_TASK", bound)
+        assert views.line_tasks(spark, str(tmp_path)) == tasks
+        got = tables.union_distinct(spark, str(tmp_path))
+        rated = views.ratings(spark, str(tmp_path))
+        if tasks:
+            for df in (got, rated):
+                assert df._jdf.queryExecution().executedPlan().toString().count("30), REPARTITION_BY_NUM") >= 3
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+        assert {(r.user_id, r.item_id): r.rating for r in rated.collect()} == best
