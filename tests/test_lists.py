@@ -230,3 +230,23 @@ def test_prompt_text(spark, catalog, vecs):
 def test_report_has_one_row_per_metric(spark):
     one = spark.createDataFrame([(1.0, 2.0)], "rmse double, mae double")
     assert stats.model_report({"a": one, "b": one}).count() == 4
+
+
+def test_texts_are_counted_where_they_are_read(spark):
+    """No shuffle of words where ids differ; texts of one id, and those of a null id, are counted together as before."""
+    def shuffled(df):
+        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    alone = spark.createDataFrame([(1, "red fish red"), (2, "fish"), (3, None), (4, "")], "item_id long, features string")
+    got = content.term_counts(alone)
+    assert not shuffled(got)
+    assert {tuple(r) for r in got.collect()} == {(1, "red", 2), (1, "fish", 1), (2, "fish", 1)}
+    again = alone.union(spark.createDataFrame([(1, "Red sky"), (None, "sky red"), (None, "red")], "item_id long, features string")).repartition(3)
+    rows = [tuple(r) for r in content.term_counts(again).collect()]
+    assert sorted(rows, key=str) == sorted([(1, "red", 3), (1, "fish", 1), (1, "sky", 1), (2, "fish", 1), (None, "red", 2), (None, "sky", 1)], key=str)
+    weights = content.term_weights(again, stop_words=[])
+    idf = {w: math.log(8 / (1 + d)) + 1 for w, d in (("red", 2), ("fish", 2), ("sky", 2))}
+    length = math.sqrt((3 * idf["red"]) ** 2 + idf["fish"] ** 2 + idf["sky"] ** 2)
+    got = {(r.item_id, r.token): r.weight for r in weights.collect()}
+    want = {(1, "red"): 3 * idf["red"] / length, (1, "fish"): idf["fish"] / length, (1, "sky"): idf["sky"] / length, (2, "fish"): 1.0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert weights._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # lengths are not joined back
