@@ -151,3 +151,18 @@ def test_given_float_vectors_stay_floats_and_are_multiplied_as_doubles(spark):
     for x, y in zip(u.tolist(), v.tolist()):
         want += x * y
     assert got == want
+
+
+def test_pools_are_those_of_spark_without_its_ranking(spark, planted, monkeypatch):
+    from pyspark.ml.recommendation import ALSModel
+    df = frame(spark, *planted)
+    m = als.als_fit(df, rank=10)
+    recs = m.recommendForAllUsers(30).select("user_id", F.inline("recommendations")).collect()
+    want = {(r.user_id, r.item_id, r.rating) for r in recs}
+    monkeypatch.delattr(ALSModel, "recommendForAllUsers")
+    monkeypatch.delattr(ALSModel, "recommendForUserSubset")
+    got = als.als_candidates(m, 30)
+    assert got.dtypes == [("user_id", "bigint"), ("item_id", "bigint"), ("score", "double")]
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 200 * 30
+    cohort = spark.createDataFrame([(8,), (15,), (15,), (10**6,)], "user_id long")
+    assert {tuple(r) for r in als.als_candidates(m, 30, cohort).collect()} == {r for r in want if r[0] in (8, 15)}
