@@ -16,49 +16,67 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.texts import mixed, pieces, slices, span_sums
+from tastegrid.llm.texts import SLICE_CHARS, mixed, pieces, slices, span_sums
 from tastegrid.session import stage
 
 # Segments of one shard, and of one anchor before its windows are dealt singly.
 SHARD = 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+# Characters that a scan holds as numbers at once, so that its arrays stay in the processor's cache.
+STEP = 1 << 16
+MIXED = mixed(np.arange(256, dtype=np.uint8))
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True  # fixed values: the bytes that part words
 
 
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of ``base``, modulo 2 ** 64."""
+    out = np.full(n, base)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
+
+
+POWERS, INVERSES = powers(BASE, 2 * STEP), powers(INVERSE, 2 * STEP)
+
+
 class Hashes:
     """64-bit hashes of any span of a sequence of values, from running sums. Sums of powers cancel on patterned
     sequences, so longer spans are hashed over the mixed hashes of the short runs in them (``run_hashes``)."""
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        power = np.full(n + 1, BASE)
-        power[0] = 1
-        np.cumprod(power, out=power)
+        few = n < len(POWERS)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * power[:n], out=self.total[1:])
-        power[:] = INVERSE
-        power[0] = 1
-        self.inverse = np.cumprod(power, out=power)
+        np.cumsum(values * (POWERS[:n] if few else powers(BASE, n)), out=self.total[1:])
+        self.inverse = INVERSES if few else powers(INVERSE, n + 1)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.total[end] - self.total[start]) * self.inverse[start]
-        h ^= (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return self._mixed((self.total[end] - self.total[start]) * self.inverse[start], (end - start).astype(np.uint64))
+
+    def runs(self, size: int) -> np.ndarray:
+        """The hashes of all spans of ``size`` values, by start."""
+        n = len(self.total) - size
+        return self._mixed((self.total[size:] - self.total[:n]) * self.inverse[:n], np.uint64(size))
+
+    @staticmethod
+    def _mixed(h: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
+        factor = np.array(0xD6E8FEB86659FD93, np.uint64)
+        h ^= size * factor
         h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
+        h *= factor
         return h ^ (h >> np.uint64(29))
 
 
 def run_hashes(values: np.ndarray, gram: int) -> tuple[np.ndarray, Hashes]:
     """The hashes of all runs of ``gram`` values, and hashes of spans of such runs: a span of n values is one
     of n - gram + 1 runs."""
-    at = np.arange(len(values) - gram + 1)
-    runs = Hashes(values).spans(at, at + gram)
+    runs = Hashes(values).runs(gram)
     return runs, Hashes(mixed(runs))
 
 
@@ -66,12 +84,11 @@ class Units:
     """The units of a slice of texts: ``values`` (64 bits each), ``raw`` (what a shard gets of them) and
     ``first``, the number of units before each text. For words also their byte spans."""
 
-    def __init__(self, texts: list[str], words: bool):
-        self.coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str] | list[bytes], words: bool):
+        self.coded = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         size = np.fromiter(map(len, self.coded), np.int64, len(texts))
         if not words:
             self.raw = np.frombuffer(b"".join(self.coded), np.uint8)
-            self.values = mixed(self.raw)
             self.first = np.append(0, np.cumsum(size))
             return
         flat = np.frombuffer(b" ".join([*self.coded, b""]), np.uint8)
@@ -79,51 +96,65 @@ class Units:
         inside = ~BLANK[flat]
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.values = self.raw = span_sums(flat, self.starts, self.ends)
+        self.raw = span_sums(flat, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, begins)
         self.begins = begins
 
+    @property
+    def values(self) -> np.ndarray:
+        return MIXED[self.raw] if self.raw.dtype == np.uint8 else self.raw
+
 
 def segments(units: Units, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text, start, windows, anchor, segment hash) of all segments of the slice; starts count
     units from the beginning of the slice."""
-    n = len(units.values)
+    n = len(units.raw)
     if n < width:
         return tuple(np.empty(0, np.int64) for _ in range(3)) + tuple(np.empty(0, np.uint64) for _ in range(2))
     g, spans = run_hashes(units.values, gram)
-    at = np.arange(len(g))
     low = np.uint64((1 << 21) - 1)
-    least = (g & ~low) | (at.astype(np.uint64) & low)  # equal hashes: the leftmost
+    least = (g & ~low) | (np.arange(len(g), dtype=np.uint64) & low)  # equal hashes: the leftmost
     reach, need = 1, width - gram + 1
     while reach < need:
         step = min(reach, need - reach)
         least = np.minimum(least[:-step], least[step:])
         reach += step
-    starts = np.arange(n - width + 1)
-    text = np.repeat(np.arange(len(units.first) - 1), np.diff(units.first))[:len(starts)]
-    valid = starts + width <= units.first[1:][text]
-    place = starts + (((least & low).astype(np.int64) - starts) & int(low))
-    new = np.ones(len(starts), bool)
-    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (valid[1:] != valid[:-1])
+    # A segment ends where the anchor changes, at a text's end and behind its last window.
+    begins, ends = units.first[:-1], units.first[1:]
+    new = np.append(True, least[1:] != least[:-1])
+    for edge in (begins, np.maximum(ends - width + 1, begins)):
+        new[edge[edge < len(new)]] = True
     cut = np.flatnonzero(new)
-    windows = np.diff(np.append(cut, len(starts)))
-    keep = valid[cut]
-    cut, windows = cut[keep], windows[keep]
-    return text[cut], cut, windows, g[place[cut]], spans.spans(cut, cut + windows + width - gram)
+    windows = np.diff(np.append(cut, len(new)))
+    text = np.searchsorted(units.first, cut, "right") - 1
+    keep = cut + width <= ends[text]
+    text, cut, windows = text[keep], cut[keep], windows[keep]
+    place = cut + (((least[cut] & low).astype(np.int64) - cut) & int(low))
+    return text, cut, windows, g[place], spans.spans(cut, cut + windows + width - gram)
 
 
 def _segment_rows(docs: DataFrame, words: bool, width: int, gram: int) -> DataFrame:
     """(key, start, windows, anchor, seg) with the segments of each document as arrays. Texts are scanned once, and
     what is found is written."""
+    def scan(keys: list, texts: list[str]) -> pa.RecordBatch:
+        u = Units(texts, words)
+        text, start, windows, anchor, seg = segments(u, width, gram)
+        cut = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(
+            pa.ListArray.from_arrays(cut, pa.array(x)) for x in
+            ((start - u.first[text]).astype(np.int32), windows.astype(np.int32), anchor.view(np.int64), seg.view(np.int64)))],
+            names=["key", "start", "windows", "anchor", "seg"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in slices(batches):
-            u = Units(texts, words)
-            text, start, windows, anchor, seg = segments(u, width, gram)
-            cut = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(
-                pa.ListArray.from_arrays(cut, pa.array(x)) for x in
-                ((start - u.first[text]).astype(np.int32), windows.astype(np.int32), anchor.view(np.int64), seg.view(np.int64)))],
-                names=["key", "start", "windows", "anchor", "seg"])
+        held, size = [], 0
+        for keys, texts in slices(batches, STEP):
+            held.append(scan(keys, texts))
+            size += sum(map(len, texts))
+            if size >= SLICE_CHARS:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
     return stage(docs.select("_key", "text").mapInArrow(
         run, "key long, start array<int>, windows array<int>, anchor array<long>, seg array<long>"), "scanned")
 
@@ -140,10 +171,15 @@ def squeezed(docs: DataFrame) -> DataFrame:
         run, "_key long, doc_id long, text binary")
 
 
+def unsqueezed_bytes(column: pa.Array) -> list[bytes]:
+    """The UTF-8 of the texts of a ``squeezed`` column; a null text is the empty text."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [b"" if t is None else open_(t) for t in column.to_pylist()]
+
+
 def unsqueezed(column: pa.Array) -> list[str]:
     """The texts of a ``squeezed`` column; a null text is the empty text."""
-    open_ = zstandard.ZstdDecompressor().decompress
-    return ["" if t is None else open_(t).decode("utf-8", "surrogatepass") for t in column.to_pylist()]
+    return [t.decode("utf-8", "surrogatepass") for t in unsqueezed_bytes(column)]
 
 
 Matcher = Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, int], list[np.ndarray]]
@@ -181,7 +217,7 @@ def repeated_ranges(docs: DataFrame, words: bool, width: int, gram: int, match:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                u = Units(unsqueezed(part.column(1)), words)
+                u = Units(unsqueezed_bytes(part.column(1)), words)
                 offsets = part.column(2).offsets.to_numpy()
                 flat = part.column(2).flatten()
                 lists = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
@@ -276,8 +312,21 @@ def covered(n: int, ranges: list[dict] | None) -> np.ndarray:
     return np.cumsum(turn[:-1]) > 0
 
 
+def merged(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, start, end) of a column of lists of ranges: row k's ranges in order, those that touch or overlap as one,
+    are ``first[k]`` to ``first[k + 1]``; a null list is empty."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, row = column.flatten(), np.repeat(np.arange(len(size)) << 32, size)
+    start, end = (row + flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    apart = start[1:] > end[:-1]
+    start, end = start[np.append(True, apart)[:len(start)]], end[np.append(apart, True)[:len(end)]]
+    return np.searchsorted(start, np.arange(len(size) + 1) << 32), start & 0xFFFFFFFF, end & 0xFFFFFFFF
+
+
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """(_key, doc_id, text, ranges) of every document, its text ``squeezed``; ranges that touch or overlap are merged per
-    document in the task that reads them."""
-    lists = ranges.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    document in the task that reads them, and so are the few that come twice, once by hash and once from a shard."""
+    lists = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return squeezed(docs).join(lists.withColumnRenamed("key", "_key"), "_key", "left").select("_key", "doc_id", "text", "ranges")

@@ -5,7 +5,8 @@ Each shard of ``repeats`` sorts the suffixes of its segments. The suffixes that
 follow: a queue by first symbol hands out suffix tuples in order and takes in the tuples of the suffixes one place to
 the left, first upwards, then downwards. The queue holds positions in arrays up to a budget and beyond it in
 files, read back in order. The shard's text, types and order stay in memory, which the bound on a shard's segments
-keeps small. Neighbours of the finished order are compared afterwards, in steps of eight bytes up to the width that decides.
+keeps small. Neighbours of the finished order are compared afterwards, in steps of eight bytes up to the width that decides
+and once for each run of places whose neighbours follow each other too.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.repeats import covered, repeated_ranges, unsqueezed, with_ranges
+from tastegrid.llm.repeats import covered, merged, repeated_ranges, unsqueezed_bytes, with_ranges
 from tastegrid.llm.texts import identified, key_free_select
 
 QUEUE_BYTES = 96 << 20
@@ -89,60 +90,78 @@ def suffix_types(text: np.ndarray) -> np.ndarray:
     return step[nearest] > 0
 
 
-def _doubled(names: np.ndarray, rounds: int) -> np.ndarray:
-    """Ranks of the suffixes of the names; the last levels of the recursion, where names are too many
-    for a queue by symbol. Exact for the first 2 ** rounds names."""
-    n, rank, done = len(names), names.astype(np.int64), 1
-    for _ in range(rounds):
-        after = np.zeros(n, np.int64)
-        after[:n - done] = rank[done:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+def _refined(rank: np.ndarray, some: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """New ranks of the places ``some``, which are whole groups of equal rank: ``order`` sorts them by rank and then by what
+    tells equal ones apart, ``new`` tells where another value begins in it. A rank counts the lower places."""
+    r = rank[some[order]]
+    at = np.arange(len(some))
+    head = np.append(True, r[1:] != r[:-1])
+    out = np.empty(len(some), np.int64)
+    out[order] = r + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(head, at, 0))
+    return out
+
+
+def _doubled(names: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes of the names that stand at ``lms``; the last levels of the recursion, where names are
+    too many for a queue by symbol. Each round joins two ranks, or three where they fit a number, and looks only at names still
+    equal that cover less than ``depth`` bytes. Exact for at least those."""
+    n, rank, done = len(names), names.copy(), 1
+    base = n + 1
+    fold = 3 if base < 1 << 21 else 2
+    while True:
+        covers = np.full(n, depth)
+        covers[:n - done] = lms[done:] - lms[:n - done]
+        some = np.flatnonzero((np.bincount(rank, minlength=n)[rank] > 1) & (covers < depth))
+        if not len(some):
+            return rank
+        key = rank[some]
+        after = np.append(rank + 1, 0)
+        for k in range(1, fold):
+            key = key * base + after[np.minimum(some + k * done, n)]
+        order = np.argsort(key)
         s = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.append(0, s[1:] != s[:-1]))
-        rank, done = new, done * 2
-        if rank[order[-1]] == n - 1 or done >= n:
-            break
-    return rank
+        rank[some] = _refined(rank, some, order, np.append(True, s[1:] != s[:-1]))
+        done *= fold
+        if done >= n:
+            return rank
 
 
 def _words8(text: np.ndarray) -> np.ndarray:
     """For each place the next eight symbols as one number, high first; symbols must be bytes."""
     pad = np.append(text.astype(np.uint8), np.zeros(8, np.uint8))
-    out = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | pad[k:k + len(text)]
-    return out
+    return np.ndarray(len(text), ">u8", pad, strides=(1,)).astype(np.uint64)
 
 
 def _name(text: np.ndarray, eight: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Names, in order, of the substrings from each left-most S place to the next one, eight bytes at a
-    time among those still equal. A substring that ends where another goes on is the larger one, as the other
-    falls there; the one that the text's end closes is the smallest."""
+    """Names, in order, of the substrings from each left-most S place to the next one: how many are lower. They are told apart
+    eight bytes at a time among those still equal. A substring that ends where another goes on is the larger one, as the
+    other falls there; the one that the text's end closes is the smallest."""
     size = np.diff(np.append(lms, len(text))) + 1
-    name, offset = np.zeros(len(lms), np.int64), 0
-    while True:
-        part = np.full(len(lms), ~np.uint64(0))
-        rest = np.full(len(lms), 8, np.int64)
-        open_ = np.flatnonzero((size > offset) & (np.bincount(name)[name] > 1 if offset else True))
-        if not len(open_):
-            return name
-        keep = np.minimum(size[open_] - offset, 8)
-        blank = ((8 - keep) * 8).astype(np.uint64)
-        at = lms[open_] + offset
-        got = np.where(at < len(text), eight[np.minimum(at, len(text) - 1)], np.uint64(0))
-        full = np.where(keep == 8, np.uint64(0), (np.uint64(1) << (blank % np.uint64(64))) - np.uint64(1))
-        part[open_] = got | full
-        rest[open_] = 8 - keep
-        if offset < size[-1] <= offset + 8:
+    name, offset, some = np.zeros(len(lms), np.int64), 0, np.arange(len(lms))
+    while len(some):
+        left = size[some] - offset
+        keep = np.clip(left, 0, 8)
+        at = lms[some] + offset
+        part = np.where((at < len(text)) & (keep > 0), eight[np.minimum(at, len(text) - 1)], np.uint64(0))
+        # What lies behind the end is filled with ones.
+        part |= np.where(keep == 8, np.uint64(0), ~np.uint64(0) >> (8 * np.minimum(keep, 7)).astype(np.uint64))
+        rest = 8 - keep
+        if some[-1] == len(lms) - 1 and offset < size[-1] <= offset + 8:
             rest[-1] = -1
-        order = np.lexsort((rest, part, name))
-        a, b, c = name[order], part[order], rest[order]
-        changed = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-        name = np.empty(len(lms), np.int64)
-        name[order] = np.append(0, np.cumsum(changed))
+        first = name[some]
+        order = np.argsort(part) if not offset else np.lexsort((rest, part, first))
+        a, b, c = first[order], part[order], rest[order]
+        if not offset and ((b[1:] == b[:-1]) & (c[1:] != c[:-1])).any():
+            order = np.lexsort((rest, part))
+            b, c = part[order], rest[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))
+        name[some] = _refined(name, some, order, new)
         offset += 8
+        # Whole groups of equal names, all of them as long as this or longer.
+        some = np.flatnonzero((size >= offset) & (np.bincount(name, minlength=len(name))[name] > 1))
+        if not (size[some] > offset).any():
+            break
+    return name
 
 
 def induced_suffix_array(text: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> np.ndarray:
@@ -152,10 +171,9 @@ def induced_suffix_array(text: np.ndarray, depth: int, budget: int = QUEUE_BYTES
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
     is_s = suffix_types(text)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    eight = _words8(text)
     if len(lms):
-        rank = _doubled(_name(text, eight, lms), max(1, int(depth).bit_length()))
-        lms = lms[np.argsort(rank, kind="stable")]
+        rank = _doubled(_name(text, _words8(text), lms), lms, depth)
+        lms = lms[np.argsort(rank * len(lms) + np.arange(len(lms)))]
     lms_at = np.searchsorted(text[lms], np.arange(257)) if len(lms) else np.zeros(257, np.int64)
     size = np.bincount(text, minlength=256)
     begin = np.append(0, np.cumsum(size))
@@ -200,15 +218,32 @@ def induced_suffix_array(text: np.ndarray, depth: int, budget: int = QUEUE_BYTES
 
 
 def common_prefix(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
-    """For each suffix in order, whether it shares ``width`` bytes with the one before."""
-    eight = _words8(text)
-    out = np.zeros(len(order), bool)
-    a, b = order[1:], order[:-1]
-    live = np.flatnonzero(np.maximum(a, b) + width <= len(text))
-    for k in [*range(0, width - 7, 8), width - 8]:
-        live = live[eight[a[live] + k] == eight[b[live] + k]]
-    out[1 + live] = True
-    return out
+    """For each suffix in order, whether it shares ``width`` bytes with the one before. Where two neighbouring places
+    have neighbouring predecessors, the first shares one byte more than the second, if their own bytes are equal: prefixes are counted
+    only for the last place of such a chain."""
+    n = len(text)
+    before = np.full(n, -1)
+    before[order[1:]] = order[:-1]
+    chained = before[1:] == before[:-1] + 1
+    ends = np.flatnonzero(np.append(~chained, True) & (before >= 0))
+    eight, bounds = _words8(text), np.uint64(1) << np.arange(0, 64, 8, np.uint64)
+    size = np.zeros(len(ends), np.int64)
+    room = n - np.maximum(ends, before[ends])
+    live = np.arange(len(ends))
+    for k in range(0, width, 8):
+        live = live[room[live] > k]
+        a, b = ends[live] + k, before[ends[live]] + k
+        equal = 8 - np.searchsorted(bounds, eight[a] ^ eight[b], "right")
+        size[live] = k + equal
+        live = live[equal == 8]
+    # From each place on, the first that differs from its predecessor's, or the chain's end.
+    place = np.arange(n)
+    till = np.where(text == text[before], n, place)
+    till[ends], till[order[0]] = ends, order[0]
+    till = np.minimum.accumulate(till[::-1])[::-1]
+    more = np.zeros(n, np.int64)
+    more[ends] = np.minimum(size, room)
+    return (till + more[till] - place >= width)[order]
 
 
 def shared_windows(content: list[np.ndarray], windows: np.ndarray, keys: np.ndarray, starts: np.ndarray, width: int,
@@ -223,23 +258,18 @@ def shared_windows(content: list[np.ndarray], windows: np.ndarray, keys: np.ndar
     begins = (np.arange(len(text)) - first[owner]) < windows[owner]
     # Only beginnings of windows are held against each other; between two of them the chain must not break.
     shares = common_prefix(text, order, width)
-    group = np.cumsum(~shares)
     mark = begins[order]
-    g, place = group[mark], order[mark]
+    place = order[mark]
+    group = np.cumsum(~shares)[mark]
+    cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     # Two places of one (key, position), from two segments of the shard, are one window.
-    k, p = keys[owner[place]], starts[owner[place]] + place - first[owner[place]]
-    by = np.lexsort((p, k, g))
-    new = np.ones(len(by), bool)
-    new[1:] = (g[by][1:] != g[by][:-1]) | (k[by][1:] != k[by][:-1]) | (p[by][1:] != p[by][:-1])
-    distinct = np.bincount(g[by][new], minlength=int(group[-1]) + 1)
+    at = np.unique(keys, return_inverse=True)[1].astype(np.int64)[owner[place]] << 32 | starts[owner[place]] + place - first[owner[place]]
+    least = np.repeat(np.minimum.reduceat(at, cut), np.diff(np.append(cut, len(at))))
     hit = np.zeros(len(text), bool)
-    hit[place] = distinct[g] > 1
-    if later:  # the first of each group, in every segment that holds it
-        head = np.flatnonzero(np.append(True, g[by][1:] != g[by][:-1]))
-        first_of = np.zeros(int(group[-1]) + 1, np.int64)
-        first_of[g[by][head]] = by[head]
-        f = first_of[g]
-        hit[place[(k == k[f]) & (p == p[f])]] = False
+    if later:  # not the first of each group, in any segment that holds it
+        hit[place] = at != least
+    else:
+        hit[place] = np.repeat(np.maximum.reduceat(at, cut), np.diff(np.append(cut, len(at)))) != least
     return [h[:w] for h, w in zip(np.split(hit, np.cumsum(size)[:-1]), windows)]
 
 
@@ -259,17 +289,16 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, gone, spans, digest = [], [], [], [], []
-            for doc_id, text, ranges in zip(batch.column(1).to_pylist(), unsqueezed(batch.column(2)), batch.column(3).to_pylist()):
-                raw = text.encode("utf-8", "surrogatepass")
-                out = covered(len(raw), ranges)
-                ids.append(doc_id)
+            n, gone, spans, digest = [], [], [], []
+            first, start, end = (x.tolist() for x in merged(batch.column(3)))
+            for k, raw in enumerate(unsqueezed_bytes(batch.column(2))):
+                begins, ends = start[first[k]:first[k + 1]], end[first[k]:first[k + 1]]
                 n.append(len(raw))
-                gone.append(int(out.sum()))
-                spans.append(int((np.diff(out.astype(np.int8), prepend=0) == 1).sum()))
-                digest.append(hashlib.sha256(np.frombuffer(raw, np.uint8)[~out].tobytes() if ranges else raw).hexdigest())
+                gone.append(sum(ends) - sum(begins))
+                spans.append(len(begins))
+                digest.append(hashlib.sha256(b"".join(raw[a:b] for a, b in zip([0, *ends], [*begins, len(raw)]))).hexdigest())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()),
+                "doc_id": batch.column(1), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

@@ -6,6 +6,7 @@ from collections import Counter
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -141,6 +142,101 @@ def test_induced_suffix_array():
         assert suffix_dedup.induced_suffix_array(t, 200, budget).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tobytes())
 
 
+def shares_brute(text, order, width):
+    raw = text.tobytes()
+    return [k > 0 and max(a, order[k - 1]) + width <= len(raw) and raw[a:a + width] == raw[order[k - 1]:order[k - 1] + width]
+            for k, a in enumerate(order)]
+
+
+def test_common_prefix():
+    """On texts with long repeats, whose neighbours in the order form chains, and on orders that form none."""
+    rng = np.random.default_rng(8)
+    for trial in range(120):
+        t = rng.integers(97, 97 + int(rng.integers(1, 27)), int(rng.integers(3, 200))).astype(np.uint8)
+        t = np.concatenate([t, t[int(rng.integers(0, len(t))):], t[:int(rng.integers(1, len(t)))], t])
+        t[rng.random(len(t)) < rng.choice([0, 0.01, 0.1])] = rng.choice([0, 98, 255])
+        order = suffix_dedup.induced_suffix_array(t, 200) if trial % 3 else rng.permutation(len(t))
+        for width in (8, 24, 200):
+            assert suffix_dedup.common_prefix(t, order, width).tolist() == shares_brute(t, order.tolist(), width)
+
+
+def near_segments(n, size=300):
+    """Segments as a shard gets them: passages in four contexts each."""
+    rng = np.random.default_rng(9)
+    words = [rng.integers(97, 123, int(k)).astype(np.uint8) for k in rng.integers(2, 11, 3_000)]
+
+    def prose(n):
+        return np.concatenate([np.append(words[k], 32) for k in rng.integers(0, len(words), n // 3)])[:n].astype(np.uint8)
+    out = []
+    for _ in range(n // 4):
+        passage = prose(size)
+        out += [np.concatenate([prose(30), passage, prose(30)]) for _ in range(4)]
+    return out
+
+
+class Sorts:
+    """Numpy, counting the numbers that are sorted."""
+
+    def __init__(self):
+        self.n = 0
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def argsort(self, a, **how):
+        self.n += len(a)
+        return np.argsort(a, **how)
+
+    def lexsort(self, keys):
+        self.n += sum(map(len, keys))
+        return np.lexsort(keys)
+
+
+def test_op8_shard_sorts_little(monkeypatch):
+    """Per byte of a shard 2.7 numbers are sorted (before: 6.9), as what is settled is not sorted again."""
+    content = near_segments(1_000)
+    keys, size = np.arange(len(content)), np.array([len(c) for c in content])
+    sorts = Sorts()
+    monkeypatch.setattr(suffix_dedup, "np", sorts)
+    found = suffix_dedup.shared_windows(content, size - 199, keys, np.zeros(len(content), int), 200)
+    assert all(f[30:131].all() and not f[:15].any() and not f[146:].any() for f in found)
+    assert sorts.n < 4 * size.sum()
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_scan_holds_short_arrays(spark, monkeypatch, words):
+    """Texts are scanned in steps whose arrays fit a processor's cache, and segments do not depend on the steps."""
+    rng = np.random.default_rng(10)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, int(rng.integers(0, 60))))) for i in range(400)]
+    rows += [(400, ""), (401, "a" * 199), (402, "a" * 200), (403, "b" * 5_000), (404, None), (405, "x y " * 2_000)]
+    docs = spark.createDataFrame(rows, "_key long, text string").coalesce(1)
+    width, gram = (20, 5) if words else (200, 40)
+    got = {}
+    for step in (repeats.STEP, 3_000):
+        monkeypatch.setattr(repeats, "STEP", step)
+        got[step] = {r.key: r for r in repeats._segment_rows(docs, words, width, gram).collect()}
+    assert repeats.STEP < 1 << 17 and len(got[3_000]) == len(rows) and len(set(map(str, got.values()))) == 1
+    # One text by itself, windows by brute force: the least hash of the runs inside, the leftmost of equal ones.
+    for i in (3, 7, 401, 402, 405):
+        u = repeats.Units([rows[i][1]], words)
+        g = repeats.run_hashes(u.values, gram)[0].view(np.int64).tolist() if len(u.raw) >= width else []
+        high = [x & ~((1 << 21) - 1) & (1 << 64) - 1 for x in g]
+        places = [min(range(k, k + width - gram + 1), key=high.__getitem__) for k in range(len(u.raw) - width + 1)]
+        new = [k for k in range(len(places)) if k == 0 or places[k] != places[k - 1]]
+        r = got[3_000][i]
+        assert (r.start, r.anchor) == (new, [g[places[k]] for k in new]) and sum(r.windows) == len(places)
+
+
+def test_merged_ranges():
+    rows = [[(5, 9), (0, 3), (3, 4), (5, 9)], None, [], [(2, 8), (4, 6), (9, 10)], [(0, 2 ** 31 - 1)]]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    column = pa.array([r if r is None else [{"start": a, "end": b} for a, b in r] for r in [[(1, 7)], *rows]], kind)[1:]
+    first, start, end = (x.tolist() for x in repeats.merged(column))
+    assert [list(zip(start[a:b], end[a:b])) for a, b in zip(first, first[1:])] == [
+        [(0, 4), (5, 9)], [], [], [(2, 8), (9, 10)], [(0, 2 ** 31 - 1)]]
+    assert repeats.merged(pa.array([None, []], kind))[0].tolist() == [0, 0, 0]
+
+
 def test_drop_repeats_keeps_first_and_columns(odd_docs, odd_rows):
     out = suffix_dedup.drop_repeats(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == len(odd_rows)
