@@ -166,3 +166,21 @@ def test_pools_are_those_of_spark_without_its_ranking(spark, planted, monkeypatc
     assert {tuple(r) for r in got.collect()} == want and len(want) == 200 * 30
     cohort = spark.createDataFrame([(8,), (15,), (15,), (10**6,)], "user_id long")
     assert {tuple(r) for r in als.als_candidates(m, 30, cohort).collect()} == {r for r in want if r[0] in (8, 15)}
+
+
+def test_tuning_drops_the_shuffle_files_of_earlier_fits(spark, planted):
+    import time
+    df = frame(spark, *planted).withColumn("user_id", F.col("user_id").cast("int"))
+
+    def files():
+        left = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {left.apply(k).getName().split("_")[1] for k in range(left.size()) if left.apply(k).getName().startswith("shuffle_")}
+    before = files()
+    model, grid = als.als_tune(df, ranks=[1, 2], regs=[0.1], iters=[3], folds=2)
+    for _ in range(20):
+        left = len(files() - before)
+        if left <= 12:
+            break
+        time.sleep(0.5)
+    assert left <= 12  # 5 fits, each of which left several
+    assert grid.count() == 2 and model.itemFactors.count() == planted[0].shape[1] and model.getColdStartStrategy() == "drop"
