@@ -1,6 +1,7 @@
 """Products of pairs of ids against brute force, and what they shuffle."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tastegrid.operators import passing, quality
 
@@ -51,3 +52,25 @@ def test_nulls_lengths_and_repeats(spark, monkeypatch):
     none = passing.unit_products(pairs, lefts, rights.limit(0), "u", "i").collect()
     assert len(none) == 10 and all(r["_cos"] is None for r in none)
     assert passing.unit_products(pairs.limit(0), lefts, rights, "u", "i").collect() == []
+
+
+def test_a_row_is_given_once_per_task(spark):
+    sent = spark.createDataFrame([(k, f"s{k}") for k in range(5)], "a int, x string").coalesce(1)
+    held = spark.createDataFrame([(k, f"h{k}") for k in range(7)], "b int, y string").repartition(3)
+    got = passing.crossed(sent, held, ("a", "b")).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.a, r.b) for r in got} == {(a, b) for a in range(5) for b in range(7)} and len(got) == 35
+    tasks = len({r.task for r in got})
+    assert sorted(r.y for r in got if r.y) == [f"h{k}" for k in range(7)]
+    assert sorted(r.x for r in got if r.x) == sorted(tasks * [f"s{k}" for k in range(5)])
+    for r in got:
+        assert (r.x is not None) == (r["_h"] == 0) and (r.y is not None) == (r["_s"] == 0)
+
+
+def test_blocks_cross_to_python_once(spark):
+    """Both packed sides of a product reach a task once, not once per pair of blocks."""
+    from tastegrid.operators import blocks
+    rng = np.random.default_rng(0)
+    lefts = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.normal(size=(400, 8)))], "l long, vec array<double>")
+    rights = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.normal(size=(400, 8)))], "r long, vec array<double>")
+    plan = blocks.dense_topn(lefts, rights, 3, size=32)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (_s" in plan and "CASE WHEN (_h" in plan
